@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -302,18 +303,58 @@ def plain_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _compose(_imitations(cp.astype(np.int32), row, t).astype(np.int32), row, t)
 
 
-def plain_array(text: pa.Array) -> pa.Array:
+def _plain(text: pa.Array) -> pa.Array:
     cp, row = plain_points(text)
     return encode(cp, row, len(text), np.asarray(text.is_valid()))
 
 
-def key_array(text: pa.Array) -> pa.Array:
+def _key(text: pa.Array) -> pa.Array:
     t = tables()
     cp, row = plain_points(text)
     cp, row = _expand(cp, row, t.key_length, t.key_start, t.key_data)
     return encode(cp, row, len(text), np.asarray(text.is_valid()))
 
 
+#: Bytes of text that are turned into arrays at once.
+PART_BYTES = 1 << 20
+
+
+def _in_parts(text: pa.Array, f) -> pa.Array:
+    """``f`` over slices of bounded size; a longer single text is cut at blanks,
+    which no step looks across, and put together again."""
+    if isinstance(text, pa.ChunkedArray):
+        text = text.combine_chunks()
+    if text.nbytes <= PART_BYTES:
+        return f(text)
+    size = np.nan_to_num(np.array(pc.binary_length(text).to_numpy(zero_copy_only=False), float)).astype(np.int64)
+    out, lo = [], 0
+    ends = np.cumsum(size)
+    while lo < len(text):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + PART_BYTES, "right")))
+        if size[lo] <= PART_BYTES:
+            out.append(f(text.slice(lo, hi - lo)))
+        else:
+            hi, whole, pieces, at = lo + 1, text[lo].as_py(), [], 0
+            while at < len(whole):
+                end = at + PART_BYTES // 4
+                cut = whole.rfind(" ", at, end) + 1 if end < len(whole) else len(whole)
+                cut = cut if cut > at else whole.find(" ", end) + 1 or len(whole)
+                pieces.append(whole[at:cut])
+                at = cut
+            out.append(pa.array(["".join(x for p in pieces for x in f(pa.array([p])).to_pylist())], pa.string()))
+        lo = hi
+    return pa.concat_arrays(out)
+
+
+def plain_array(text: pa.Array) -> pa.Array:
+    return _in_parts(text, _plain)
+
+
+def key_array(text: pa.Array) -> pa.Array:
+    return _in_parts(text, _key)
+
+
 def plain(col: Column | str) -> Column:
     """The plain form of a text column."""
     return F.arrow_udf(plain_array, "string")(col)
