@@ -68,6 +68,7 @@ class Tables:
     key_length: np.ndarray
     key_start: np.ndarray
     key_data: np.ndarray
+    kind: np.ndarray  # 1: may have to be replaced, 2: digit, 4: letter, 8: control that stands for a blank
 
 
 def _replacement(c: int) -> str | None:
@@ -88,6 +89,8 @@ def _replacement(c: int) -> str | None:
 
 def _key_replacement(c: int) -> str | None:
     ch = chr(c)
+    if c in CONTROLS_AS_BLANK:
+        return " "
     if c in KEY_LETTERS:
         return KEY_LETTERS[c]
     cat = unicodedata.category(ch)
@@ -107,7 +110,7 @@ KEY_LETTERS = {0x153: "oe", 0x152: "oe", 0xE6: "ae", 0xC6: "ae", 0xDF: "ss", 0x1
 
 
 def _packed(replace) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    length, start, data = np.ones(TOP, np.int32), np.arange(TOP, dtype=np.int64), [np.arange(TOP, dtype=np.int32)]
+    length, start, data = np.ones(TOP, np.int8), np.arange(TOP, dtype=np.int32), [np.arange(TOP, dtype=np.int32)]
     at = TOP
     for c in range(TOP):
         r = replace(c) if not 0xD800 <= c < 0xE000 else None
@@ -151,53 +154,41 @@ def tables() -> Tables:
                     to[ord(a)] = to[ord(b)]
     for a, b in zip(*DIGIT_TWINS):
         to_digit[ord(a)] = ord(b)
-    return Tables(length, start, data, ccc, np.array([p for p, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int32), script, wordy, digit, to_latin, to_cyrillic, to_greek, to_digit, key_length, key_start, key_data)
+    itself = np.array([c in (0, 0xD800) or unicodedata.normalize("NFC", d) == chr(c) if (d := _replacement(c)) is not None else True for c in range(0x3000)] + [False] * (TOP - 0x3000))
+    simple = itself & (ccc == 0) & (script != CYRILLIC) & (script != GREEK) & (to_latin == same)
+    simple[0x1100:0x1200] = False
+    control = np.isin(same, CONTROLS_AS_BLANK)
+    simple |= control
+    return Tables(length, start, data, ccc, np.array([p for p, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int32), script, wordy, digit, to_latin, to_cyrillic, to_greek, to_digit, key_length, key_start, key_data, (~simple).astype(np.uint8) | digit.astype(np.uint8) << 1 | (script > 0).astype(np.uint8) << 2 | control.astype(np.uint8) << 3)
 
 
 # Arrow text <-> code points
 
 
 def decode(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, row of each) of an Arrow array of strings."""
+    """(code points, row of each) of an Arrow array of strings.
+
+    The texts lie end to end in one buffer, which becomes UTF-32 as a whole.
+    """
     text = text.cast(pa.large_string())
-    offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8) if len(text) else np.zeros(1, np.int64)
-    raw = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if text.buffers()[2] else np.zeros(0, np.uint8)
-    lens = np.diff(offsets)
-    if text.null_count:
-        valid = np.asarray(text.is_valid())
-        if (lens[~valid] > 0).any():
-            return decode(pa.array(text.to_pylist(), pa.large_string()))
-    row = np.repeat(np.arange(len(text)), lens)
-    lead = (raw & 0xC0) != 0x80
-    at = np.nonzero(lead)[0]
-    b = raw.astype(np.int32)
-    ext = np.concatenate((b, np.zeros(3, np.int32)))
-    b0 = b[at]
-    size = np.where(b0 < 0x80, 1, np.where(b0 < 0xE0, 2, np.where(b0 < 0xF0, 3, 4)))
-    cp = np.where(size == 1, b0, np.where(size == 2, b0 & 0x1F, np.where(size == 3, b0 & 0x0F, b0 & 0x07)))
-    for k in (1, 2, 3):
-        more = size > k
-        if more.any():
-            cp[more] = cp[more] << 6 | ext[at[more] + k] & 0x3F
-    return cp, row[at]
+    n = len(text)
+    offsets = np.frombuffer(text.buffers()[1], np.int64, n + 1, text.offset * 8) if n else np.zeros(1, np.int64)
+    raw = memoryview(text.buffers()[2])[offsets[0] : offsets[-1]] if text.buffers()[2] else b""
+    size = pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if text.null_count and np.diff(offsets)[~np.asarray(text.is_valid())].any():  # bytes under nulls
+        return decode(pa.array(text.to_pylist(), pa.large_string()))
+    cp = np.frombuffer(bytes(raw).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.int32)
+    return cp, np.repeat(np.arange(n, dtype=np.int32), size)
 
 
 def encode(cp: np.ndarray, row: np.ndarray, n: int, valid: np.ndarray | None = None) -> pa.Array:
     """The Arrow array of ``n`` strings with these code points; rows ascend."""
-    size = np.where(cp < 0x80, 1, np.where(cp < 0x800, 2, np.where(cp < 0x10000, 3, 4)))
-    end = np.cumsum(size)
-    raw = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
-    first = end - size
-    for k in range(1, 5):
-        own = size == k
-        if own.any():
-            c, f = cp[own], first[own]
-            for j in range(k):
-                shift = 6 * (k - 1 - j)
-                raw[f + j] = (c >> shift & 0x3F | 0x80) if j else (c if k == 1 else c >> shift | (0xF00 >> k & 0xFF))
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(row, size, n).astype(np.int64)))) if len(row) else np.zeros(n + 1, np.int64)
+    raw = cp.astype("<i4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    end = np.zeros(len(cp) + 1, np.int64)
+    np.cumsum((cp >= 0).view(np.int8) + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000), out=end[1:])
+    offsets = end[np.searchsorted(row, np.arange(n + 1, dtype=row.dtype if len(row) else np.int64), "left")]
     mask = pa.array(valid).buffers()[1] if valid is not None and not valid.all() else None
-    return pa.Array.from_buffers(pa.large_string(), n, [mask, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.string())
+    return pa.Array.from_buffers(pa.large_string(), n, [mask, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)]).cast(pa.string())
 
 
 def _expand(cp: np.ndarray, row: np.ndarray, length: np.ndarray, start: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,13 +198,20 @@ def _expand(cp: np.ndarray, row: np.ndarray, length: np.ndarray, start: np.ndarr
     high = cp >= TOP
     if high.any():
         n = np.where(high, np.where((cp >= 0xE0000) & (cp < 0xE1000), 0, 1), n)
-    if (n == 1).all():
-        return np.where(high, cp, data[s]), row
-    out = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    res = data[np.minimum(out, len(data) - 1)]
+    other = n != 1
+    res = data[s]
     if high.any():
-        res = np.where(np.repeat(high, n), np.repeat(cp, n), res)
-    return res, np.repeat(row, n)
+        res = np.where(high, cp, res)
+    if not other.any():
+        return res, row
+    # the few that become none or several are written where their offsets say
+    at = np.nonzero(other)[0]
+    m = n[at].astype(np.int64)
+    out = np.repeat(s[at] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+    whole = np.repeat(res, n)
+    first = at + np.concatenate(([0], np.cumsum(m - 1)[:-1]))
+    whole[np.repeat(first - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))] = data[np.minimum(out, len(data) - 1)]
+    return whole, np.repeat(row, n)
 
 
 def _compose(cp: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -294,23 +292,42 @@ def _imitations(cp: np.ndarray, row: np.ndarray, t: Tables) -> np.ndarray:
     return cp
 
 
-def plain_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _doubtful(cp: np.ndarray, row: np.ndarray, n: int, t: Tables, kinds: int) -> np.ndarray:
+    """Whether each row holds anything that may have to be replaced."""
+    kind = t.kind[np.minimum(cp, TOP - 1)]
+    bad = kind & kinds > 0
+    if len(cp) > 1:
+        two = kind[1:] | kind[:-1]
+        bad[1:] |= (two & 6 == 6) & (kind[1:] & 6 != 6) & (row[1:] == row[:-1])
+    out = np.zeros(n, bool)
+    out[row[bad]] = True
+    return out
+
+
+def plain_points(cp: np.ndarray, row: np.ndarray, n: int, kinds: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in the plain form; rows without anything doubtful pass as they are."""
     t = tables()
-    cp, row = decode(text)
-    if not len(cp) or (cp < 0x80).all() and not ((cp < 0x20) | (cp == 0x7F)).any() and not ((cp >= 0x30) & (cp < 0x3A)).any():
+    doubt = _doubtful(cp, row, n, t, kinds)
+    if not doubt.any():
         return cp, row
-    cp, row = _expand(cp, row, t.length, t.start, t.data)
-    return _compose(_imitations(cp.astype(np.int32), row, t).astype(np.int32), row, t)
+    own = doubt[row]
+    c, r = _expand(cp[own], row[own], t.length, t.start, t.data)
+    c, r = _compose(_imitations(c.astype(np.int32), r, t).astype(np.int32), r, t)
+    if own.all():
+        return c, r
+    cp, row = np.concatenate((cp[~own], c)), np.concatenate((row[~own], r))
+    order = np.argsort(row, kind="stable")
+    return cp[order], row[order]
 
 
 def _plain(text: pa.Array) -> pa.Array:
-    cp, row = plain_points(text)
+    cp, row = plain_points(*decode(text), len(text))
     return encode(cp, row, len(text), np.asarray(text.is_valid()))
 
 
 def _key(text: pa.Array) -> pa.Array:
     t = tables()
-    cp, row = plain_points(text)
+    cp, row = plain_points(*decode(text), len(text), kinds=1)
     cp, row = _expand(cp, row, t.key_length, t.key_start, t.key_data)
     return encode(cp, row, len(text), np.asarray(text.is_valid()))
 
