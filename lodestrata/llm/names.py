@@ -106,6 +106,7 @@ class Words:
         return None
 
 
+_PARTICLE = Words(PARTICLES)
 _FACILITY, _UNIT, _BUSINESS = Words(FACILITY), Words([*PHASE, *BUILDING, *(w for w in WINGS if len(w) >= 5)]), Words(BUSINESS)
 
 
@@ -187,10 +188,20 @@ def place(folded: str) -> str:
     """A municipality's own words, without post code, country and small words."""
     text = _POSTCODE.sub(" ", _COUNTRY.sub(" ", folded.replace("'", " ")))
     words = _WORD.findall(text)
-    own = [w for w in words if w not in PARTICLES and len(w) > 1]
+    own = [w for w in words if len(w) > 1 and not _PARTICLE.find(w)]
     return " ".join(own or words)
 
 
+def place_likeness(a: str, b: str) -> float:
+    """Likeness of two municipalities' own words; blanks that slipped don't count."""
+    if a == b:
+        return 1.0
+    x, y = a.replace(" ", ""), b.replace(" ", "")
+    if min(len(x), len(y)) >= 4 and (x.endswith(y) or y.endswith(x)):
+        return 0.95
+    return max(likeness(a, b), likeness(x, y))
+
+
 _NOISE_HEAD = re.compile(r"^(?:https?://)?archive\.example/web/\d+/")
 _SCHEME = re.compile(r"^[a-z]+://")
 _HOST = re.compile(r"^(?:www|m|amp|mobile)\.")
