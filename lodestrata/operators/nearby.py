@@ -340,7 +340,7 @@ def points_in_regions(points: DataFrame, edges: DataFrame) -> DataFrame:
     load = {r["strip"]: r["n"] for r in pts.groupBy(where(F.col("lon")).alias("strip")).agg(F.count("*").alias("n")).collect()}
     parts = F.array(*[F.lit(max(1, math.ceil(load.get(k, 0) / (2 * BLOCK_QUERIES)))) for k in range(len(at) + 1)])
     p = pts.withColumn("strip", where(F.col("lon"))).withColumn("part", F.pmod(F.xxhash64("id"), F.get(parts, F.col("strip"))))
-    e = edges.withColumn("strip", F.explode(F.sequence(where(F.col("x1")), where(F.col("x2"))))).withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("strip")) - 1)).cast("bigint"))
+    e = edges.withColumn("strip", F.explode(F.sequence(where(F.col("x1")), where(F.col("x2"))))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.get(parts, F.col("strip")).cast("bigint") - 1)))
     schema = pa.schema([("id", pa.int64()), ("region", pa.int64())])
 
     def one(own: pa.Table, near: pa.Table) -> pa.Table:

@@ -60,16 +60,16 @@ def related(df: DataFrame, key: str, relations: Sequence[tuple[str, int]], order
     A group's members are reduced to its first quota + 1 in order before they are
     joined, so a hot group is never paired with itself.
     """
-    out = None
+    picked = None
     for p, (col, quota) in enumerate(relations):
         need = sum(q for _, q in relations[: p + 1])
         head = df.where(F.col(col).isNotNull()).select(col, F.col(key).alias("related"), F.col(order).alias("_o")).withColumn("_r", F.row_number().over(W.partitionBy(col).orderBy("_o", "related"))).where(F.col("_r") <= need + 1)
-        part = df.select(key, col).join(head, col).where(F.col(key) != F.col("related")).select(key, "related", "_o", F.lit(p).alias("_p"), F.lit(quota).alias("_q"))
-        out = part if out is None else out.unionByName(part)
-    once = out.groupBy(key, "related").agg(F.min(F.struct("_p", "_o", "_q")).alias("_m")).select(key, "related", "_m.*")
-    w = W.partitionBy(key)
-    own = once.withColumn("_k", F.row_number().over(W.partitionBy(key, "_p").orderBy("_o", "related"))).where("_k <= _q")
-    return own.withColumn("position", F.row_number().over(w.orderBy("_p", "_o", "related"))).where(F.col("position") <= most).select(key, "related", "position", F.col("_p").alias("relation"))
+        part = df.select(key, col).join(head, col).where(F.col(key) != F.col("related")).select(key, "related", "_o", F.lit(p).alias("relation"))
+        if picked is not None:
+            part = part.join(picked.select(key, "related"), [key, "related"], "left_anti")
+        part = part.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy("_o", "related"))).where(F.col("_k") <= quota).drop("_k")
+        picked = part if picked is None else picked.unionByName(part)
+    return picked.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy("relation", "_o", "related"))).where(F.col("position") <= most).select(key, "related", "position", "relation")
 
 
 def change_events(df: DataFrame, key: str, order: Sequence[str], state: Sequence[str]) -> DataFrame:

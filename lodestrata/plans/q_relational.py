@@ -296,9 +296,9 @@ def percentile_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_name, s_nationkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey),
-    c AS (SELECT a.s_suppkey, b.s_suppkey AS related, b.s_name AS o, 0 AS p, 3 AS q FROM s a JOIN s b USING (s_nationkey) WHERE a.s_suppkey <> b.s_suppkey UNION ALL SELECT a.s_suppkey, b.s_suppkey, b.s_name, 1, 6 FROM s a JOIN s b USING (n_regionkey) WHERE a.s_suppkey <> b.s_suppkey),
-    u AS (SELECT s_suppkey, related, min(p) AS p, any_value(o) AS o FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey, p ORDER BY o, related) AS r FROM u),
-    f AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY p, o, related) AS position FROM k WHERE r <= CASE p WHEN 0 THEN 3 ELSE 6 END) SELECT s_suppkey, related, position, p AS relation FROM f WHERE position <= 6""")
+    k0 AS (SELECT a.s_suppkey, b.s_suppkey AS related, b.s_name AS o, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY b.s_name, b.s_suppkey) AS r FROM s a JOIN s b USING (s_nationkey) WHERE a.s_suppkey <> b.s_suppkey QUALIFY r <= 3),
+    k1 AS (SELECT a.s_suppkey, b.s_suppkey AS related, b.s_name AS o, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY b.s_name, b.s_suppkey) AS r FROM s a JOIN s b USING (n_regionkey) WHERE a.s_suppkey <> b.s_suppkey AND (a.s_suppkey, b.s_suppkey) NOT IN (SELECT s_suppkey, related FROM k0) QUALIFY r <= 6),
+    f AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY relation, o, related) AS position FROM (SELECT *, 0 AS relation FROM k0 UNION ALL SELECT *, 1 FROM k1)) SELECT s_suppkey, related, position, relation FROM f WHERE position <= 6""")
 def related_quota(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey")
     return ranking.related(s, "s_suppkey", [("s_nationkey", 3), ("n_regionkey", 6)], "s_name", 6)
