@@ -65,7 +65,7 @@ def _read(batches: Iterator[pa.RecordBatch], every_org: bool) -> Iterator[pa.Rec
                 blocks += [f"{c}|{p.unit}|{s}" for s in names.shortened(p.core, 2 if len(p.core) >= 5 else 1)]
             if c and org and place and (every_org or not p.core):
                 ends = {place[:3], place[-3:]}
-                blocks += [f"{c}|@{w}|{e}" for w in org.split() if len(w) > 3 for e in ends]
+                blocks += [f"{c}|@{names.FULL_NAME.get(w, w)}|{e}" for w in org.split() if len(w) > 3 for e in ends]
             rows.append((sig[k], c or None, p.core, p.unit, place, org, bool(p.promoter), status[k], blocks))
         cols = list(zip(*rows)) or [[] for _ in range(9)]
         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string()))
