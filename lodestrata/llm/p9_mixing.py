@@ -15,7 +15,7 @@ def planned(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, m
     counted = cut(mixing.sized(docs, "doc_id", "text", ["source", "lang"]), "sized")
     targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").collect() if r["source"] is not None}
     # one row per source and language
-    sizes = [(r["source"], r["lang"], r["n"] or 0) for r in counted.groupBy("source", "lang").agg(F.sum("tokens").alias("n")).collect()]
+    sizes = [(r["source"], r["lang"], r["n"] or 0) for r in counted.where(F.col("source").isin(*targets)).groupBy("source", "lang").agg(F.sum("tokens").alias("n")).collect()]
     total = float(sum(n for s, _, n in sizes if s in targets)) if whole else None
     return counted, mixing.plan(sizes, targets, total)
 
