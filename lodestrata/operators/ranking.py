@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import cut
+
 
 def round_robin(df: DataFrame, outer: str, inner: str, key: str, most: int) -> DataFrame:
     """Rows dealt out in turns: in a group of ``outer`` the values of ``inner``
     alternate, and the groups alternate too; the first ``most`` of them."""
-    rc = df.withColumn("_rc", F.row_number().over(W.partitionBy(outer, inner).orderBy(key)))
+    # no more than ``most`` of each can be dealt out, which Spark limits before the shuffle
+    rc = df.withColumn("_rc", F.row_number().over(W.partitionBy(outer, inner).orderBy(key))).where(F.col("_rc") <= most)
     rg = rc.withColumn("_rg", F.row_number().over(W.partitionBy(outer).orderBy("_rc", inner)))
     return rg.orderBy("_rg", outer).limit(most).withColumn("turn", F.col("_rg")).drop("_rc", "_rg")
 
@@ -45,12 +48,28 @@ def relaxed(df: DataFrame, conditions: Sequence[Column]) -> DataFrame:
     return met.join(F.broadcast(best), met["n_met"] == best["_m"]).drop("_m")
 
 
-def percentile_labels(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    """Share of rows at or below and at or above each value, in percent, rounded up."""
-    w = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    up, down = F.cume_dist().over(w.orderBy(value)), F.cume_dist().over(w.orderBy(F.desc(value)))
+def percentile_labels(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
+    """Share of a group's rows at or below and at or above each value, in percent,
+    rounded up. Equal values are counted before they are put in order."""
+    n = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
+    w = W.partitionBy(*group)
+    upto = n.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_c").over(w))
     pct = lambda c: F.least(F.lit(99), F.greatest(F.lit(1), F.ceil(F.round(c * 100, 6)))).cast("int")
-    return df.withColumn("pct_at_or_below", pct(up)).withColumn("pct_at_or_above", pct(down))
+    share = upto.select(*group, value, pct(F.col("_upto") / F.col("_all")).alias("pct_at_or_below"), pct((F.col("_all") - F.col("_upto") + F.col("_c")) / F.col("_all")).alias("pct_at_or_above"))
+    return df.join(share, [*group, value], "left")
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Every row's place in one order over all rows, without one task that sees them
+    all: ranges are numbered alone and shifted by the sizes of those before them."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    # one row per range
+    shift = sizes.withColumn("_s", F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1))).select("_p", F.coalesce("_s", F.lit(0)).alias("_s"))
+    own = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    return own.join(F.broadcast(shift), "_p").withColumn(name, F.col("_r") + F.col("_s")).drop("_p", "_r", "_s")
 
 
 def related(df: DataFrame, key: str, relations: Sequence[tuple[str, int]], order: str, most: int) -> DataFrame:

@@ -287,7 +287,7 @@ def audit_sort(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, row_number() OVER (ORDER BY coalesce(score, -1) DESC, id) AS position FROM (SELECT id, max(grades.site.score) AS score, any_value(country) AS country FROM scores WHERE contains(lower(name), 'campus') GROUP BY id)")
 def ranked_search(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "scores").where(F.lower("name").contains("campus")).groupBy("id").agg(F.max("grades.site.score").alias("score"))
-    return s.select("id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(F.coalesce("score", F.lit(-1.0))), "id")).alias("position"))
+    return ranking.global_rank(s.withColumn("score", F.coalesce("score", F.lit(-1.0))), [F.desc("score"), F.col("id")]).select("id", "position")
 
 
 @query("SELECT c_custkey, least(99, greatest(1, ceil(round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) * 100, 6))))::INT AS pct_at_or_below, least(99, greatest(1, ceil(round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) * 100, 6))))::INT AS pct_at_or_above FROM customer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -48,7 +49,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new path in the shared folder, deleted when the process ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _MADE.append((spark, path))
+    return path
+
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def clear_shared() -> None:
+    """Delete what this process put into the shared folder."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session is gone, and with it the way to the folder
+            return
 
 
 def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:

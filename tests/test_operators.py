@@ -145,3 +145,17 @@ def test_entry_and_catalogue(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert datetime.now().year > 2000
+
+
+def test_global_rank(spark):
+    df = spark.createDataFrame([(i, (i * 7) % 50) for i in range(200)], "id int, v int")
+    got = {r.id: r.position for r in ranking.global_rank(df, [F.desc("v"), F.col("id")]).collect()}
+    want = {i: k + 1 for k, (i, _) in enumerate(sorted(((i, (i * 7) % 50) for i in range(200)), key=lambda x: (-x[1], x[0])))}
+    assert got == want
+    assert ranking.global_rank(df.where("false"), [F.col("id")]).count() == 0
+
+
+def test_percentiles(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 5.0)], "g string, v double")
+    got = sorted((r.g, str(r.v), r.pct_at_or_below, r.pct_at_or_above) for r in ranking.percentile_labels(df.where("v is not null"), "v", ["g"]).collect())
+    assert got == [("a", "1.0", 67, 99), ("a", "1.0", 67, 99), ("a", "2.0", 99, 34), ("b", "5.0", 99, 99)]
