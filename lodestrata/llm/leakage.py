@@ -110,9 +110,10 @@ class Probe:
                     h ^= h >> np.uint64(31)
         return h, known
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, item start in the words) of every seed hit, each pair once."""
-        item, start = [], []
+    def hits(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, item start in the words, document of the seed) of every seed hit,
+        each once; masks are shorter than the gap between documents."""
+        item, start, doc = [], [], []
         for mask, table, its, pos in self.seeds:
             h, known = self.hashes(words, mask)
             at = np.nonzero(known)[0]
@@ -123,8 +124,9 @@ class Probe:
             t = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             item.append(its[t])
             start.append(at[own] - pos[t])
-        both = np.unique(np.column_stack((np.concatenate(item), np.concatenate(start))), axis=0) if item else np.zeros((0, 2), int)
-        return both[:, 0], both[:, 1]
+            doc.append(np.searchsorted(bounds, at, "right")[own] - 1)
+        each = np.unique(np.column_stack([np.concatenate(c) for c in (item, start, doc)]), axis=0) if item else np.zeros((0, 3), int)
+        return each[:, 0], each[:, 1], each[:, 2]
 
 
 def longest_runs(same: np.ndarray) -> np.ndarray:
@@ -151,11 +153,10 @@ def least_edits(item: np.ndarray, words: np.ndarray) -> int:
 
 def _verified(p: Probe, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(document, item, longest run, edits or -1) of the pairs that hold."""
-    item, start = p.hits(words)
+    item, start, doc = p.hits(words, bounds)
     if not len(item):
         return
     size = np.array([len(w) for w in p.items])
-    doc = np.zeros(len(item), np.int64)
     pairs: dict[tuple[int, int], list] = {}
     wide = int(size.max())
     padded = np.zeros((len(p.items), wide), np.int64)
@@ -165,14 +166,12 @@ def _verified(p: Probe, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple
     for lo in range(0, len(item), 20_000):
         s = slice(lo, lo + 20_000)
         at = start[s][:, None] + np.arange(wide)
-        ok = (at >= 0) & (at < len(words))
+        # an item's start or end may lie in the documents around
+        ok = (at >= bounds[doc[s]][:, None]) & (at < bounds[doc[s] + 1][:, None])
         got = np.where(ok, words[np.clip(at, 0, len(words) - 1)], -1)
         own = padded[item[s]]
         same = (got == own) & (own > 0)
         run[s] = longest_runs(same)
-        # the document in which the equal words stand
-        first = np.clip(start[s] + same.argmax(1), 0, len(words) - 1)
-        doc[s] = np.searchsorted(bounds, first, "right") - 1
     for k in range(len(item)):
         key = (int(doc[k]), int(item[k]))
         best = pairs.setdefault(key, [0, []])

@@ -61,3 +61,12 @@ def test_blocks_and_empty(spark, monkeypatch):
     assert found(spark, []) == set()
     d = spark.createDataFrame([(1, ITEM)], "doc_id bigint, text string")
     assert L.leaks(d, "doc_id", "text", d.where("false"), "doc_id", "text").count() == 0
+
+
+def test_a_run_belongs_to_the_document_it_stands_in(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    docs = [(1, "alpha beta survey"), (2, " ".join(WORDS[14:28]) + " omega"), (3, "alpha"), (4, " ".join(long.split()[:13])), (5, " ".join(long.split()[25:]))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    i = spark.createDataFrame([(1, ITEM), (2, long)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.run) for r in L.leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
+    assert got == {(2, 1, 14), (4, 2, 13), (5, 2, 15)}
