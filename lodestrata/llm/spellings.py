@@ -5,9 +5,10 @@ the same words are one node. A node is a vector of character n-grams weighted by
 rarity over all nodes. A sparse cosine join finds the pairs of nodes above a
 threshold: n-grams are ordered from rare to frequent, and only the prefix of each
 vector is joined whose rest is too short to reach the threshold alone, which
-loses no pair. Pairs are checked word by word, and average linkage groups the
-nodes. The linkage merges all pairs that are each other's nearest at once, round
-by round; for average linkage that gives the same groups as one merge at a time,
+loses no pair. Pairs that can't reach it with what follows the prefixes are left
+out; the others are checked word by word, and average linkage groups the nodes.
+The linkage merges all pairs that are each other's nearest at once, round by
+round; for average linkage that gives the same groups as one merge at a time,
 and no group has to fit into one task.
 
 Edge cases: null, empty and blank names and names without letters have no node
@@ -29,8 +30,8 @@ from lodestrata.runtime import cut
 
 GRAM = 3
 COSINE = 0.3
-#: Names that share fewer n-grams than this can't have a word in common, even an altered one.
-LEAST_SHARED = 3
+#: Steps of 1 in which bounds are counted, rounded up; whole numbers are smaller to send.
+STEPS = 65_536
 LINKAGE = 0.35
 
 
@@ -81,19 +82,25 @@ def cosine_pairs(nodes: DataFrame, threshold: float = COSINE, check: bool = True
     rest = own.orderBy(F.desc("df"), F.desc("g")).rowsBetween(W.unboundedPreceding, 0)
     weighed = post.join(df, "g").withColumn("w", F.log1p(F.lit(float(n)) / F.col("df")))
     vec = weighed.withColumn("_rest", F.sum(F.col("w") * F.col("w")).over(rest)).withColumn("_all", F.sum(F.col("w") * F.col("w")).over(own))
-    vec = cut(vec.select("node", "g", "df", (F.col("w") / F.sqrt("_all")).alias("w"), (F.sqrt(F.col("_rest") / F.col("_all")) >= threshold).alias("prefix")), "vectors")
+    vec = vec.withColumn("rest", F.sqrt(F.greatest(F.lit(0.0), (F.col("_rest") - F.col("w") * F.col("w")) / F.col("_all"))))
+    vec = cut(vec.select("node", F.xxhash64("node").alias("id"), F.xxhash64("g").alias("g"), (F.col("w") / F.sqrt("_all")).alias("w"), (F.sqrt(F.col("_rest") / F.col("_all")) >= threshold).alias("prefix"), "rest"), "vectors")
     # numbers instead of names where all pairs with a common n-gram meet
-    pre = vec.where("prefix").select(F.xxhash64("node").alias("id"), F.xxhash64("g").alias("g"))
-    cand = pre.withColumnRenamed("id", "x").join(pre.withColumnRenamed("id", "y"), "g").where("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    pre = vec.where("prefix").withColumn("end", F.min("rest").over(own))
+    x, y = (pre.select(F.col("id").alias(k), "g", F.col("w").alias(f"w{k}"), F.col("rest").alias(f"r{k}"), F.col("end").alias(f"e{k}")) for k in "xy")
+    own_dot = F.col("wx") * F.col("wy")
+    # after the last common n-gram of both prefixes, one vector has only what follows its prefix,
+    # so no cosine is above the sum over the common ones plus the product of these rests
+    up = lambda c: F.ceil(c * STEPS).cast("int")
+    met = x.join(y, "g").where("x < y").groupBy("x", "y").agg(F.sum(up(own_dot)).alias("dot"), F.min(up(F.greatest(F.col("ex") * F.col("ry"), F.col("ey") * F.col("rx")))).alias("more"))
+    cand = cut(met.where(F.col("dot") + F.col("more") >= int(threshold * STEPS)).select("x", "y"), "candidates")
+    x, y = (vec.select(F.col("id").alias(k), "g", F.col("w").alias(f"w{k}")) for k in "xy")
+    pairs = cand.join(x, "x").join(y, ["y", "g"]).groupBy("x", "y").agg(F.sum(own_dot).alias("cosine")).where(F.col("cosine") >= threshold)
     ids = nodes.select(F.xxhash64("node").alias("id"), "node")
-    cand = cand.where(F.col("n") >= LEAST_SHARED).join(ids.select(F.col("id").alias("x"), F.col("node").alias("u")), "x").join(ids.select(F.col("id").alias("y"), F.col("node").alias("v")), "y")
-    cand = cand.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    if check:
-        cand = cand.mapInArrow(_checked, "a string, b string, words double")
-    cand = cut(cand, "candidates")
-    x, y = vec.select(F.col("node").alias("a"), "g", F.col("w").alias("wa")), vec.select(F.col("node").alias("b"), "g", F.col("w").alias("wb"))
-    dots = cand.select("a", "b").join(x, "a").join(y, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return cand.join(dots, ["a", "b"]).where(F.col("cosine") >= threshold)
+    pairs = pairs.join(ids.select(F.col("id").alias("x"), F.col("node").alias("u")), "x").join(ids.select(F.col("id").alias("y"), F.col("node").alias("v")), "y")
+    pairs = cut(pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "cosine"), "pairs")
+    if not check:
+        return pairs
+    return pairs.join(cut(pairs.select("a", "b").mapInArrow(_checked, "a string, b string, words double"), "checked"), ["a", "b"])
 
 
 def average_linkage(edges: DataFrame, threshold: float = LINKAGE, max_rounds: int = 60) -> DataFrame:

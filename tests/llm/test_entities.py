@@ -48,6 +48,19 @@ def test_cosines_equal_brute_force(spark):
     assert shared <= set(got) and all(abs(got[p] - want[p]) < 1e-9 and want[p] >= 0.3 - 1e-9 for p in got) and got
 
 
+def test_no_pair_above_the_threshold_is_lost(spark):
+    rng = np.random.default_rng(5)
+    keys = sorted({" ".join("".join(rng.choice(list("abcdst"), 5)) for _ in range(k % 2 + 1)) for k in range(90)} | {"smith", "smyth"})
+    df = spark.createDataFrame([(k,) for k in keys], "node string")
+    got = {(r.a, r.b) for r in spellings.cosine_pairs(df, 0.3, check=False).collect()}
+    g = {k: set(spellings.grams(k)) for k in keys}
+    w = {x: np.log1p(len(keys) / sum(x in v for v in g.values())) for v in g.values() for x in v}
+    norm = {k: np.sqrt(sum(w[x] ** 2 for x in v)) for k, v in g.items()}
+    want = {(a, b): sum(w[x] ** 2 for x in g[a] & g[b]) / norm[a] / norm[b] for a, b in itertools.combinations(keys, 2)}
+    assert got == {p for p in want if want[p] >= 0.3} and ("smith", "smyth") in got and not any(abs(v - 0.3) < 1e-9 for v in want.values())
+    assert {(r.a, r.b) for r in spellings.cosine_pairs(df, 0.3).collect()} >= {("smith", "smyth")}
+
+
 def test_linkage_equals_one_merge_at_a_time(spark):
     rng = np.random.default_rng(8)
     n = 24
