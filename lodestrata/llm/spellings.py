@@ -103,13 +103,14 @@ def cosine_pairs(nodes: DataFrame, threshold: float = COSINE, check: bool = True
     return pairs.join(cut(pairs.select("a", "b").mapInArrow(_checked, "a string, b string, words double"), "checked"), ["a", "b"])
 
 
-def average_linkage(edges: DataFrame, threshold: float = LINKAGE, max_rounds: int = 60) -> DataFrame:
+def average_linkage(edges: DataFrame, threshold: float = LINKAGE) -> DataFrame:
     """(node, cluster) of all nodes that have an edge (a, b, sim), grouped by
     average linkage; pairs without an edge count as 0."""
     e = cut(edges.select("a", "b", F.col("sim").alias("s")), "edges")
     members = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node"))
     sizes = members.select("cluster", F.lit(1).cast("bigint").alias("size"))
-    for _ in range(max_rounds):
+    # each round merges the nearest pair of all at least, so the rounds end
+    while True:
         mean = e.join(sizes.select(F.col("cluster").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("size").alias("nb")), "b")
         mean = mean.withColumn("avg", F.round(F.col("s") / (F.col("na") * F.col("nb")), 9)).where(F.col("avg") >= threshold)
         both = mean.select("a", "b", "avg").unionByName(mean.select(F.col("b").alias("a"), F.col("a").alias("b"), "avg"))

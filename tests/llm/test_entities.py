@@ -81,6 +81,14 @@ def test_linkage_equals_one_merge_at_a_time(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if any(sim[i].any() for i in g))
 
 
+def test_linkage_goes_on_until_no_pair_merges(spark):
+    # a node's likeness to all before it is the same and falls with its number, so that each round merges one pair
+    n = 63
+    edges = spark.createDataFrame([(f"{a:02d}", f"{b:02d}", 1 - b / 200) for a, b in itertools.combinations(range(n), 2)], "a string, b string, sim double")
+    got = spellings.average_linkage(edges).collect()
+    assert len(got) == n and {r.cluster for r in got} == {"00"}
+
+
 COLS = "key string, name string, operator string, place string, country string, status string, sig string, unit string"
 
 
