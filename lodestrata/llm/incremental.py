@@ -3,11 +3,11 @@
 An inverted index on disk holds, for each distinct way an entry has been
 described (a signature), its tokens and the number of the first entry of its
 project. A batch is reduced to signatures; those the index knows are answered at
-once. Of the others, the tokens probe the index: character 3-grams of the
-project's own name, of which only the prefix of rarest ones is stored and asked
-(an altered letter spoils three, so two names one letter apart share one of the
-prefix), and rare whole tokens (organisation and place, place and part of the
-name, addresses of single articles). Candidates are filtered by length, verified
+once. Of the others, the tokens probe the index: what is left of the project's
+own name without one or two letters (names as far apart as verification allows
+share one of these, swapped letters included), for long names two letters apart
+the prefix of rarest 3-grams, and rare whole tokens (organisation and place,
+addresses of single articles). Candidates are filtered by length, verified
 on their words, unit, place and coordinates, and the batch's new signatures and
 postings are appended. Nothing accepted before is read again but the postings
 and signatures, and nothing is rewritten.
@@ -34,8 +34,10 @@ from lodestrata.runtime import cut, shared_path
 
 BUCKETS = 16
 GRAM = 3
-#: 3-grams that one altered letter can spoil.
-SPOILED = 3
+#: 3-grams that two edits can spoil; a swap of neighbours spoils four.
+SPOILED = 8
+#: Names longer than this are found by 3-grams where two letters are altered.
+LONG = 20
 #: An address that more signatures than this share tells nothing: their entries are found by their names.
 SHARED_ADDRESS = 64
 #: Size of a cell of coordinates, in degrees; neighbours are near.
@@ -100,10 +102,14 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(b.num_rows):
             c, rows = country[k], []
             if c and core[k]:
-                g = grams(core[k])
-                rows += [(f"g|{c}|{unit[k]}|{x}", x, max(1, min(len(g), SPOILED + 1))) for x in g]
-                if place[k]:
-                    rows += [(f"p|{c}|{unit[k]}|{place[k]}|{e}", None, 0) for e in {"^" + core[k][:3], "$" + core[k][-3:]}]
+                # two edits only count where the place is known
+                size, two = len(core[k]), len(core[k]) >= 6 and bool(place[k])
+                rows += [(f"n|{c}|{unit[k]}|{x}", None, 0) for x in names.shortened(core[k], 2 if two and size <= LONG else 1)]
+                if two and size >= LONG - 1:
+                    g = grams(core[k])
+                    rows += [(f"g|{c}|{unit[k]}|{x}", x, min(len(g), SPOILED + 1)) for x in g]
+                    if len(g) <= SPOILED:  # all may be spoiled
+                        rows.append((f"f|{c}|{unit[k]}", None, 0))
             if c and place[k]:
                 rows += [(f"o|{c}|{names.FULL_NAME.get(w, w)}|{e}", None, 0) for w in org[k].split() if len(w) > 3 for e in {place[k][:3], place[k][-3:]}]
             rows += [(f"u|{u}", None, 0) for u in pages[k] or []]

@@ -137,3 +137,20 @@ def test_an_address_of_all_pairs_nothing(spark):
     df = spark.createDataFrame(rows, "no bigint, batch bigint, name string, operator string, place string, country string, lat double, lon double, urls array<string>")
     read = incremental.read(df, "no", "batch", "name", "operator", "place", "country", "lat", "lon", F.col("urls"))
     assert incremental.duplicates(read).count() == 0
+
+
+def batches(spark, rows):
+    df = spark.createDataFrame(rows, "no bigint, batch bigint, name string, operator string, place string, country string, lat double, lon double, urls array<string>")
+    read = incremental.read(df, "no", "batch", "name", "operator", "place", "country", "lat", "lon", F.col("urls"))
+    return {(r.first_no, r.dup_no) for r in incremental.duplicates(read).collect()}
+
+
+def test_swaps_and_two_edits_are_found(spark):
+    long = "bakedimogunafelovitaruseko"
+    rows = [
+        (1, 0, "Briulbo Campus", None, None, "XA", 10.0, 20.0, None), (2, 1, "Brilubo Campus", None, None, "XA", 10.0, 20.0, None),
+        (3, 0, "Miodulem Campus", None, "Paven", "XA", 30.0, 40.0, None), (4, 1, "Midulm Campus", None, "Pavem", "XA", 30.0, 40.0, None),
+        (5, 0, long.title() + " Campus", None, "Luzi", "XA", 50.0, 60.0, None), (6, 1, ("ab" + long[2:12] + "ef" + long[14:]).title() + " Campus", None, "Luzi", "XA", 50.0, 60.0, None),
+    ]
+    assert names.near(long, "ab" + long[2:12] + "ef" + long[14:], 2) == 2
+    assert batches(spark, rows) == {(1, 2), (3, 4), (5, 6)}
