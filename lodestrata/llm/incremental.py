@@ -38,8 +38,6 @@ GRAM = 3
 SPOILED = 8
 #: Names longer than this are found by 3-grams where two letters are altered.
 LONG = 20
-#: An address that more signatures than this share tells nothing: their entries are found by their names.
-SHARED_ADDRESS = 64
 #: Size of a cell of coordinates, in degrees; neighbours are near.
 CELL = 0.02
 #: Last parts of addresses that are no names.
@@ -97,7 +95,7 @@ def grams(core: str) -> list[str]:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sig, country, core, unit, place, org, pages, carried = (c.to_pylist() for c in b.columns)
+        sig, country, core, unit, place, org, pages, carried, cell_a, cell_b = (c.to_pylist() for c in b.columns)
         out: tuple[list, ...] = ([], [], [], [], [])
         for k in range(b.num_rows):
             c, rows = country[k], []
@@ -112,16 +110,21 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rows.append((f"f|{c}|{unit[k]}", None, 0))
             if c and place[k]:
                 rows += [(f"o|{c}|{names.FULL_NAME.get(w, w)}|{e}", None, 0) for w in org[k].split() if len(w) > 3 for e in {place[k][:3], place[k][-3:]}]
-            rows += [(f"u|{u}", None, 0) for u in pages[k] or []]
+            if c:
+                # without common cells or two places, an address is no evidence; cells at most one apart share a block of two
+                where = ["p"] if place[k] else []
+                if cell_a[k] is not None:
+                    where += [f"{x}{y}|{(cell_a[k] + x) // 2}|{(cell_b[k] + y) // 2}" for x in (0, 1) for y in (0, 1)]
+                rows += [(f"u|{c}|{u}|{w}", None, 0) for u in pages[k] or [] for w in where]
             for t, g, n in rows:
-                for col, v in zip(out, (sig[k], t, g, n, t[0] + "c" * bool(t[0] == "o" and carried[k]))):
+                for col, v in zip(out, (sig[k], t, g, n, t[0] + "c" * bool(t[0] == "o" and carried[k] or t[0] == "u" and not core[k]))):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()))], names=["sig", "token", "gram", "prefix", "kind"])
 
 
 def postings(sigs: DataFrame, order: DataFrame) -> DataFrame:
     """(bucket, token, kind, sig): whole tokens, and of the grams the rarest few."""
-    t = sigs.select("sig", "country", "core", "unit", "place", "org", "pages", "carried").mapInArrow(_tokens, "sig bigint, token string, gram string, prefix int, kind string")
+    t = sigs.select("sig", "country", "core", "unit", "place", "org", "pages", "carried", "cell_a", "cell_b").mapInArrow(_tokens, "sig bigint, token string, gram string, prefix int, kind string")
     ranked = t.where("gram is not null").join(order, "gram", "left").groupBy("sig", "prefix").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(0)), F.xxhash64("gram"), "token"))), 1, SPOILED + 1).alias("r"))
     rare = ranked.select("sig", F.explode(F.slice(F.col("r.token"), F.lit(1), F.col("prefix"))).alias("token"), F.lit("g").alias("kind"))
     every = t.where("gram is null").select("sig", "token", "kind").distinct().unionByName(rare)
@@ -215,12 +218,9 @@ class Index:
         own = self.spark.read.schema(STORED["postings"]).parquet(f"{self.path}/postings/load={self.batches}")
         every = own if old is None else old.unionByName(own)
         probe = own.select("bucket", "token", F.col("kind").alias("kind_new"), F.col("sig").alias("new"))
-        # an address that many entries share tells nothing, and would pair them all
-        asked = probe.where("kind_new = 'u'").select("bucket", "token").distinct()
-        common = every.where("kind = 'u'").join(asked, ["bucket", "token"], "left_semi").groupBy("bucket", "token").agg(F.count("*").alias("n")).where(F.col("n") > SHARED_ADDRESS).select("bucket", "token")
-        probe = probe.join(common, ["bucket", "token"], "left_anti")
-        # organisation and place only lead from or to an entry that carries its promoter's name
-        found = probe.join(every.withColumnRenamed("sig", "old"), ["bucket", "token"]).where("not (kind = 'o' and kind_new = 'o')")
+        # organisation and place only lead from or to an entry that carries its promoter's name,
+        # and addresses from or to one without a project's name; all others are found by their names
+        found = probe.join(every.withColumnRenamed("sig", "old"), ["bucket", "token"]).where("not (kind in ('o', 'u') and kind_new = kind)")
         pairs = found.where("new <> old").select("new", "old").distinct()
         said = new.select("sig", "no", *NAMES)
         history = said if known is None else known.select("sig", F.col("first_no").alias("no"), *NAMES).unionByName(said)

@@ -154,3 +154,10 @@ def test_swaps_and_two_edits_are_found(spark):
     ]
     assert names.near(long, "ab" + long[2:12] + "ef" + long[14:], 2) == 2
     assert batches(spark, rows) == {(1, 2), (3, 4), (5, 6)}
+
+
+def test_an_address_of_many_still_leads_to_its_entries(spark):
+    page = ["https://a.example/all-1234"]
+    rows = [(k + 10, 0, f"{c.title()} Campus", None, p, "XA", None, None, page) for k, (c, _, p, _) in enumerate(made())]
+    rows += [(1, 0, "Kodrodo & Tokom", None, None, "XA", 10.019, 20.0, page), (2, 1, "Bewanart Campus", None, None, "XA", 10.021, 20.0, page)]
+    assert batches(spark, rows) == {(1, 2)}
