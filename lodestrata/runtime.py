@@ -33,15 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as on one machine in tests, a temporary
-    folder is made; it lives as long as the process.
+    Only where the setting is absent and everything runs in one process, as in
+    tests, a temporary folder is made; it lives as long as the process. Elsewhere
+    executors would write to disks that others can't read, so that is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
+    if not in_one_process(spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.TemporaryDirectory(prefix="lodestrata-")
@@ -73,20 +80,50 @@ def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
     Lineage ends here, so a lost executor costs a read of files and no
-    recomputation; by-columns, if given, cluster the rows of the files.
+    recomputation; by-columns, if given, cluster the rows of the files. What isn't
+    given to ``free`` before is deleted when the process ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     out = df.repartition(*by) if by else df
     out.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got.cut_path = path
+    return got
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``cut`` made and nobody reads any more."""
+    for t in tables:
+        path = getattr(t, "cut_path", None)
+        if path:
+            drop_path(t.sparkSession, path)
+            _MADE[:] = [m for m in _MADE if m[1] != path]
+            t.cut_path = None
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder of the shared store, in order; none if there is no such folder."""
+    at, fs = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file of this name, made at once."""
+    at, fs = _folder(spark, path)
+    fs.create(at, False).close()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, whatever file system it is on."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
 
 
 _KEPT: dict[str, tempfile.TemporaryDirectory] = {}
