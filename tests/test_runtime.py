@@ -14,7 +14,7 @@ def test_no_machine_local_folder_off_local_mode(spark):
         with pytest.raises(RuntimeError):
             runtime.shared_dir(session(master))
         assert runtime.shared_dir(session(master, "hdfs:///x")) == "hdfs:///x"
-    assert runtime.shared_dir(spark).startswith("file:")
+    assert runtime.shared_dir(session("local[4]")).startswith("file:")
 
 
 def test_cut_tables_are_freed(spark):
