@@ -1,38 +1,66 @@
 """New batches checked for duplicates against everything accepted before.
 
-An inverted index on disk holds, for each distinct way an entry has been
-described (a signature), its tokens and the number of the first entry of its
-project. A batch is reduced to signatures; those the index knows are answered at
-once. Of the others, the tokens probe the index: what is left of the project's
-own name without one or two letters (names as far apart as verification allows
-share one of these, swapped letters included), for long names two letters apart
-the prefix of rarest 3-grams, and rare whole tokens (organisation and place,
-addresses of single articles). Candidates are filtered by length, verified
-on their words, unit, place and coordinates, and the batch's new signatures and
-postings are appended. Nothing accepted before is read again but the postings
-and signatures, and nothing is rewritten.
-
-The order of rarity is frozen with the first batch; it decides the work, not the
-result. Postings are partitioned by a hash of the token.
-
-Edge cases: entries without a country or without letters in the name, and entries
-whose name can't be read, match only their like by address; missing places and
-coordinates are no evidence; an address alone is none either; entries with equal
-words are compared once; a batch may be empty, and so may the table.
+An inverted index in a folder that all executors share holds, for each distinct
+way an entry has been described (a signature), its tokens, what it said, and the
+number of the first entry of its project. It is opened again by any later
+session; a batch counts as taken in when its mark is written, and what a broken
+run left behind is never read.
+
+A batch is reduced to signatures. Those that the index knows are answered by
+their number; the tokens of the others probe the index. Tokens are
+
+* ``n``: what is left of the project's own name without one letter, or two where
+  verification allows two: names as far apart as that, swapped letters included,
+  share one of these at least, so no prefix has to be long enough for them;
+* ``g``: for names of over ``LONG`` letters, the prefix of the rarest 3-grams: two
+  edits spoil ``SPOILED`` at most, so one more than that is sure to meet;
+* ``o``: organisation and place, and ``u``: the address of an article with place or
+  neighbouring cells; these lead from or to an entry that carries no project's
+  name. Two entries with names of their own are found by ``n`` or ``g`` whenever
+  verification could accept them.
+
+Candidates are filtered by length, verified on their words, unit, place,
+coordinates and addresses, and the batch's signatures and postings are appended.
+
+Postings lie in buckets by what an edit hardly moves (country, unit, length and
+first letter of the token), signatures in buckets by country and length of name;
+files are sorted by bucket and in small parts that say which buckets they hold.
+A batch reads only the parts of the buckets that its own tokens and possible
+candidates name, so a small batch reads a small part of the index, however much
+has been accepted. Nothing is rewritten. Labels are settled per batch: signatures
+of earlier batches bring their first number along with the candidate pair.
+
+Edge cases: entries without a country, or whose name and organisation both have
+no letters, match nothing; missing places and coordinates are no evidence; an
+address alone is none either; entries with equal words are compared once; entries
+without a batch number are a batch of their own after all others; an entry whose
+number is smaller than those accepted before becomes the first of its project;
+a batch may be empty, and so may the table; columns that are not named are not
+read.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm import names
-from lodestrata.runtime import cut, shared_path
-
-BUCKETS = 16
+from lodestrata.runtime import cut, free, mark, names_in, shared_path
+
+BUCKETS = 1024
+#: So many buckets are picked out of the files; a batch that needs more reads them all.
+FEW = 256
+#: Bytes of a part of a file that can be left out by its buckets.
+PART_BYTES = 1 << 20
+#: Lengths of names that have buckets of their own; longer ones share the last.
+LENGTHS = 60
 GRAM = 3
 #: 3-grams that two edits can spoil; a swap of neighbours spoils four.
 SPOILED = 8
@@ -40,17 +68,22 @@ SPOILED = 8
 LONG = 20
 #: Size of a cell of coordinates, in degrees; neighbours are near.
 CELL = 0.02
-#: Last parts of addresses that are no names.
-NO_NAME = {"site", "projet", "projects", "liste", "explorer", "dossier"}
-
-SIGNATURE = "country string, core string, unit string, place string, org string, carried boolean, hint string, cell_a int, cell_b int, pages array<string>"
-READ = f"no bigint, batch bigint, {SIGNATURE}"
-STORED = {"postings": "token bigint, kind string, sig bigint, bucket int", "signatures": f"sig bigint, no bigint, {SIGNATURE}, first_no bigint"}
+#: Ordinary words for pages in addresses, which are no names.
+PAGE_WORDS = set("site sites page pages article articles news actualites actualite avis dossier index home start liste list projet projets project projects projekt proyecto progetto".split())
+
+SIGNATURE = "country string, core string, unit string, place string, org string, hint string, cell_a int, cell_b int, pages array<string>"
+READ = f"no bigint, batch bigint, {SIGNATURE}, words array<string>"
+STORED = {
+    "postings": "token bigint, kind string, named boolean, sig bigint, bucket int",
+    "signatures": f"sig bigint, no bigint, {SIGNATURE}, first_no bigint, bucket int",
+    "moved": "first_no bigint, to_no bigint",
+    "order": "gram string, df int",
+}
 NAMES = [c.split()[0] for c in SIGNATURE.split(", ")]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), *(pa.string(),) * 5, pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+    kinds = (pa.int64(), pa.int64(), *(pa.string(),) * 6, pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
     for b in batches:
         no, batch, name, operator, muni, country, lat, lon, urls = (c.to_pylist() for c in b.columns)
         fn, fo, fm = names.folded(name), names.folded(operator), names.folded(muni)
@@ -62,15 +95,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pages = [names.address(u) for u in urls[k] or [] if u]
             hint = names.slug(pages[0]) if pages and (urls[k] or [None])[0] else ""
             squeezed = place.replace(" ", "")
-            if hint in NO_NAME or (squeezed and (squeezed in hint or hint in squeezed or names.likeness(hint, squeezed) > 0.6)):
+            if hint in PAGE_WORDS or squeezed and (squeezed in hint or hint in squeezed or names.likeness(hint, squeezed) > 0.6):
                 hint = ""
             a = b_ = None
             if _valid(lat[k]) and _valid(lon[k]) and not (lat[k] == 0 and lon[k] == 0):
                 # the two may have been swapped, so their order says nothing
                 a, b_ = sorted((int(lat[k] // CELL), int(lon[k] // CELL)))
-            rows.append((no[k], batch[k], (country[k] or "").strip().upper() or None, p.core, p.unit, place, org, bool(p.promoter), hint, a, b_, sorted({u for u in pages if names.is_article(u)})))
+            words = sorted({names.FULL_NAME.get(w, w) for w in org.split() if len(w) > 3})
+            rows.append((no[k], batch[k], (country[k] or "").strip().upper() or None, p.core, p.unit, place, org, hint, a, b_, sorted({u for u in pages if names.is_article(u)}), words))
         cols = list(zip(*rows)) or [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(cols, kinds)], names=["no", "batch", *NAMES])
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(cols, kinds)], names=["no", "batch", *NAMES, "words"])
 
 
 def _valid(x: float | None) -> bool:
@@ -88,70 +122,66 @@ def read(df: DataFrame, no: str, batch: str, name: str, operator: str, place: st
     return got.withColumn("sig", F.xxhash64(*said, F.array_join("pages", " ")))
 
 
-def grams(core: str) -> list[str]:
-    t = f"_{core}_"
-    return sorted({t[k : k + GRAM] for k in range(len(t) - GRAM + 1)})
+def _without_one(word: str) -> str:
+    """SQL: what is left of a word without one of its letters."""
+    return f"transform(sequence(1, length({word})), i -> concat(substring({word}, 1, i - 1), substring({word}, i + 1)))"
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sig, country, core, unit, place, org, pages, carried, cell_a, cell_b = (c.to_pylist() for c in b.columns)
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for k in range(b.num_rows):
-            c, rows = country[k], []
-            if c and core[k]:
-                # two edits only count where the place is known
-                size, two = len(core[k]), len(core[k]) >= 6 and bool(place[k])
-                rows += [(f"n|{c}|{unit[k]}|{x}", None, 0) for x in names.shortened(core[k], 2 if two and size <= LONG else 1)]
-                if two and size >= LONG - 1:
-                    g = grams(core[k])
-                    rows += [(f"g|{c}|{unit[k]}|{x}", x, min(len(g), SPOILED + 1)) for x in g]
-                    if len(g) <= SPOILED:  # all may be spoiled
-                        rows.append((f"f|{c}|{unit[k]}", None, 0))
-            if c and place[k]:
-                rows += [(f"o|{c}|{names.FULL_NAME.get(w, w)}|{e}", None, 0) for w in org[k].split() if len(w) > 3 for e in {place[k][:3], place[k][-3:]}]
-            if c:
-                # without common cells or two places, an address is no evidence; cells at most one apart share a block of two
-                where = ["p"] if place[k] else []
-                if cell_a[k] is not None:
-                    where += [f"{x}{y}|{(cell_a[k] + x) // 2}|{(cell_b[k] + y) // 2}" for x in (0, 1) for y in (0, 1)]
-                rows += [(f"u|{c}|{u}|{w}", None, 0) for u in pages[k] or [] for w in where]
-            for t, g, n in rows:
-                for col, v in zip(out, (sig[k], t, g, n, t[0] + "c" * bool(t[0] == "o" and carried[k] or t[0] == "u" and not core[k]))):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()))], names=["sig", "token", "gram", "prefix", "kind"])
-
-
-def postings(sigs: DataFrame, order: DataFrame) -> DataFrame:
-    """(bucket, token, kind, sig): whole tokens, and of the grams the rarest few."""
-    t = sigs.select("sig", "country", "core", "unit", "place", "org", "pages", "carried", "cell_a", "cell_b").mapInArrow(_tokens, "sig bigint, token string, gram string, prefix int, kind string")
-    ranked = t.where("gram is not null").join(order, "gram", "left").groupBy("sig", "prefix").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(0)), F.xxhash64("gram"), "token"))), 1, SPOILED + 1).alias("r"))
-    rare = ranked.select("sig", F.explode(F.slice(F.col("r.token"), F.lit(1), F.col("prefix"))).alias("token"), F.lit("g").alias("kind"))
-    every = t.where("gram is null").select("sig", "token", "kind").distinct().unionByName(rare)
-    return every.withColumn("token", F.xxhash64("token")).withColumn("bucket", F.pmod("token", F.lit(BUCKETS)).cast("int"))
-
-
-def near_cells(a: dict, b: dict) -> bool | None:
-    if a["cell_a"] is None or b["cell_a"] is None:
-        return None
-    return abs(a["cell_a"] - b["cell_a"]) <= 1 and abs(a["cell_b"] - b["cell_b"]) <= 1
+#: SQL: the distinct 3-grams of a name with its edges.
+GRAMS = f"array_distinct(transform(sequence(1, greatest(1, length(core) + 3 - {GRAM})), i -> substring(concat('_', core, '_'), i, {GRAM})))"
+#: SQL: two edits only count where the place is known.
+TWO = "(length(core) >= 6 and place <> '')"
+#: SQL: what is left of a name without the letters that verification lets go.
+LEFT = f"""case when core = '' then array() when {TWO} and length(core) <= {LONG}
+    then concat(array(core), {_without_one('core')}, flatten(transform({_without_one('core')}, w -> {_without_one('w').replace('i ->', 'k ->').replace('i - 1', 'k - 1').replace('i + 1', 'k + 1')})))
+    else concat(array(core), {_without_one('core')}) end"""
+#: SQL: cells at most one apart share a block of two.
+CELLS = ", ".join(f"concat('{x}{y}|', floor((cell_a + {x}) / 2), '|', floor((cell_b + {y}) / 2))" for x in (0, 1) for y in (0, 1))
+#: SQL: where an entry is; without two places or common cells, an address is no evidence.
+WHERE = f"concat(if(place <> '', array('p'), array()), if(cell_a is not null, array({CELLS}), array()))"
+REST = f"""concat(
+    if(place <> '', flatten(transform(words, w -> transform(array(substring(place, 1, 3), substring(place, -3, 3)), e -> concat_ws('|', 'o', country, w, e)))), array()),
+    flatten(transform(coalesce(pages, array()), p -> transform({WHERE}, w -> concat_ws('|', 'u', country, p, w)))),
+    if({TWO} and length(core) >= {LONG - 1} and size({GRAMS}) <= {SPOILED}, array(concat_ws('|', 'f', country, unit)), array()))"""
 
 
-def same_project(a: dict, b: dict) -> float:
-    """How sure it is that two descriptions mean one project; 0: they don't."""
-    if a["country"] != b["country"] or not a["country"]:
-        return 0.0
-    place = names.place_likeness(a["place"], b["place"]) if a["place"] and b["place"] else None
-    near = near_cells(a, b)
-    org = names.same_name(a["org"], b["org"]) if a["org"] and b["org"] else None
-    shared = bool(set(a["pages"] or []) & set(b["pages"] or []))
-    if a["core"] and b["core"]:
-        if a["unit"] != b["unit"]:
+def signature_bucket(buckets: int) -> Column:
+    return F.expr(f"cast(pmod(crc32(cast(country as binary)) + least(length(core), {LENGTHS}), {buckets}) as int)")
+
+
+def postings(sigs: DataFrame, order: DataFrame, buckets: int) -> DataFrame:
+    """(token, kind, named, sig, bucket): the tokens of each signature."""
+    s = sigs.where("country is not null")
+    one = s.selectExpr("country", "unit", "core <> '' as named", "sig", f"explode(array_distinct({LEFT})) as w")
+    by_name = one.selectExpr("xxhash64('n', country, unit, w) as token", "'n' as kind", "named", "sig", f"cast(pmod(xxhash64('n', country, unit, length(w), substring(w, 1, 1)), {buckets}) as int) as bucket")
+    rest = s.selectExpr("core <> '' as named", "sig", f"explode(array_distinct({REST})) as w").selectExpr("xxhash64(w) as token", "substring(w, 1, 1) as kind", "named", "sig")
+    long = s.where(f"{TWO} and length(core) >= {LONG - 1}").selectExpr("core <> '' as named", "sig", "country", "unit", f"explode({GRAMS}) as gram")
+    rare = long.join(order, "gram", "left").groupBy("named", "sig", "country", "unit").agg(F.expr(f"slice(array_sort(collect_set(struct(coalesce(df, 0) as df, xxhash64(gram) as h, gram))), 1, {SPOILED + 1}) as r"))
+    rare = rare.selectExpr("named", "sig", "country", "unit", "explode(r.gram) as g").selectExpr("xxhash64('g', country, unit, g) as token", "'g' as kind", "named", "sig")
+    return by_name.unionByName(rest.unionByName(rare).withColumn("bucket", F.expr(f"cast(pmod(token, {buckets}) as int)")))
+
+
+def near_cells(a: tuple, b: tuple) -> bool | None:
+    if a[0] is None or b[0] is None:
+        return None
+    return abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) <= 1
+
+
+def same_project(a: tuple, b: tuple) -> float:
+    """How sure it is that two descriptions (``NAMES``) of one country mean one
+    project; 0: they don't."""
+    core_a, unit_a, place_a, org_a, hint_a, *cell_a, pages_a = a[1:]
+    core_b, unit_b, place_b, org_b, hint_b, *cell_b, pages_b = b[1:]
+    place = names.place_likeness(place_a, place_b) if place_a and place_b else None
+    near = near_cells(cell_a, cell_b)
+    org = names.same_name(org_a, org_b) if org_a and org_b else None
+    if core_a and core_b:
+        if unit_a != unit_b:
             return 0.0
-        size = min(len(a["core"]), len(b["core"]))
-        d = names.near(a["core"], b["core"], 2)
-        if d > (2 if size >= 6 else 1):
+        d = names.near(core_a, core_b, 2)
+        if d > (2 if min(len(core_a), len(core_b)) >= 6 else 1):
             return 0.0
+        shared = bool(d) and bool(set(pages_a or ()) & set(pages_b or ()))
         here = place is not None and place >= 0.7
         far = (place is not None and place < 0.6) or (place is None and near is False)
         if far and not (near and d == 0):
@@ -166,7 +196,7 @@ def same_project(a: dict, b: dict) -> float:
     # one entry at least carries its promoter's name
     if place is not None and place < 0.7:
         return 0.0
-    named = a["core"] or a["hint"], b["core"] or b["hint"]
+    named = core_a or hint_a, core_b or hint_b
     alike = names.near(named[0], named[1], 1) <= 1 if all(named) else None
     if alike is False or org == 0.0:
         return 0.0
@@ -176,7 +206,7 @@ def same_project(a: dict, b: dict) -> float:
         return 0.7
     if org is None and alike and (near or place):
         return 0.75
-    if org is None and shared and near:
+    if org is None and near and set(pages_a or ()) & set(pages_b or ()):
         return 0.6
     return 0.0
 
@@ -184,99 +214,163 @@ def same_project(a: dict, b: dict) -> float:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = len(NAMES)
     for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        score = []
-        for row in zip(*cols[2:]):
-            score.append(same_project(dict(zip(NAMES, row[:n])), dict(zip(NAMES, row[n:]))))
-        keep = pa.array([s > 0 for s in score], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([s for s in score if s > 0], pa.float64())], names=["new", "old", "score"])
+        cols = [c.to_pylist() for c in b.columns[3:]]
+        got = [same_project(row[:n], row[n:]) for row in zip(*cols)]
+        keep = pa.array([s > 0 for s in got], pa.bool_())
+        follows = pa.array([not c for c in cols[1]], pa.bool_())
+        yield pa.RecordBatch.from_arrays([*(b.column(k).filter(keep) for k in range(3)), follows.filter(keep), pa.array(got, pa.float64()).filter(keep)], names=["new", "old", "seen", "follows", "score"])
 
 
 class Index:
-    """The postings and signatures accepted so far, in a folder that all share."""
+    """The index in its folder. ``Index(spark, path)`` opens what is there or makes
+    a new one; the number of buckets is fixed when it is made."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS) -> None:
         self.spark = spark
         self.path = path or shared_path(spark, "entry-index")
-        self.order: DataFrame | None = None
-        self.batches = 0
-
-    def _stored(self, what: str) -> DataFrame | None:
-        return self.spark.read.schema(STORED[what] + ", load int").parquet(f"{self.path}/{what}").where(F.col("load") < self.batches).drop("load") if self.batches else None
+        made = [int(n.split("-")[1]) for n in names_in(spark, self.path) if n.startswith("buckets-")]
+        self.buckets = made[0] if made else buckets
+        if not made:
+            mark(spark, f"{self.path}/buckets-{buckets}")
+        marks = [n.split("-") for n in names_in(spark, f"{self.path}/loads")]
+        self.loads, self.highest = [m[1] for m in marks], max((int(m[2]) for m in marks), default=None)
+
+    def stored(self, what: str, only: list[int] | None = None, also: str | None = None) -> DataFrame:
+        """What the loads taken in, and ``also``, have stored, of some buckets or of all."""
+        there = {n.split("=")[1] for n in names_in(self.spark, f"{self.path}/{what}")}
+        loads = [x for x in (*self.loads, also) if x in there]
+        if not loads or only == []:
+            return self.spark.createDataFrame([], STORED[what])
+        got = self.spark.read.schema(STORED[what]).parquet(*[f"{self.path}/{what}/load={x}" for x in loads])
+        if only is not None and len(only) <= FEW:
+            # ten at a time reach the files' dictionaries; parts without any of them are not read
+            some = [F.col("bucket").isin(only[k : k + 10]) for k in range(0, len(only), 10)]
+            got = got.where(functools.reduce(Column.__or__, some))
+        return got.coalesce(self.spark.sparkContext.defaultParallelism)  # many small files, few tasks
+
+    def _append(self, what: str, df: DataFrame, load: str) -> None:
+        out = df.repartition("bucket").sortWithinPartitions("bucket") if "bucket" in df.columns else df.coalesce(1)
+        out.write.option("parquet.block.size", PART_BYTES).mode("overwrite").parquet(f"{self.path}/{what}/load={load}")
+
+    def _reach(self, kinds: list[str]) -> tuple[list[int], list[int]]:
+        """Buckets of signatures that entries of these kinds (country and length) lie
+        in, and those that their candidates lie in."""
+        own, near = set(), set()
+        for country, _, size in (k.rpartition("|") for k in kinds):
+            n, at = int(size), zlib.crc32(country.encode())
+            own.add((at + n) % self.buckets)
+            near |= {(at + m) % self.buckets for m in (range(LENGTHS + 1) if n == 0 else (0, *range(max(1, n - 2), min(LENGTHS, n + 2) + 1)))}
+        return sorted(own), sorted(near)
 
     def add(self, entries: DataFrame) -> None:
         """Take in a batch of ``read`` entries."""
-        sigs = entries.groupBy("sig").agg(F.min("no").alias("no"), *[F.first(c).alias(c) for c in NAMES])
-        known = self._stored("signatures")
-        new = cut(sigs if known is None else sigs.join(known.select("sig"), "sig", "left_anti"), "new")
-        if self.order is None:
-            gram_udf = F.arrow_udf(lambda c: pa.array([grams(x) if x else [] for x in c.to_pylist()], pa.list_(pa.string())), "array<string>")
-            self.order = cut(new.select(F.explode(gram_udf("core")).alias("gram")).groupBy("gram").agg(F.count("*").cast("int").alias("df")), "order")
-        own = postings(new, self.order)
-        old = self._stored("postings")
-        own.write.partitionBy("bucket").parquet(f"{self.path}/postings/load={self.batches}")
-        own = self.spark.read.schema(STORED["postings"]).parquet(f"{self.path}/postings/load={self.batches}")
-        every = own if old is None else old.unionByName(own)
-        probe = own.select("bucket", "token", F.col("kind").alias("kind_new"), F.col("sig").alias("new"))
-        # organisation and place only lead from or to an entry that carries its promoter's name,
-        # and addresses from or to one without a project's name; all others are found by their names
-        found = probe.join(every.withColumnRenamed("sig", "old"), ["bucket", "token"]).where("not (kind in ('o', 'u') and kind_new = kind)")
-        pairs = found.where("new <> old").select("new", "old").distinct()
-        said = new.select("sig", "no", *NAMES)
-        history = said if known is None else known.select("sig", F.col("first_no").alias("no"), *NAMES).unionByName(said)
-        attributes = lambda df, k, c: df.select(F.col("sig").alias(k), *[F.col(n).alias(f"{n}_{c}") for n in NAMES])
-        both = pairs.join(attributes(said, "new", "n"), "new").join(attributes(history, "old", "o"), "old")
+        load, first_load = uuid.uuid4().hex, not self.loads
+        told = entries.where("country is not null and (core <> '' or org <> '')")
+        # as many kinds as countries and lengths
+        about = told.agg(F.min("no").alias("least"), F.max("no").alias("most"), F.collect_set(F.concat_ws("|", "country", F.least(F.length("core"), F.lit(LENGTHS)))).alias("kinds")).first()
+        if about["least"] is None:
+            return
+        own, near = self._reach(about["kinds"])
+        sigs = told.groupBy("sig").agg(F.min("no").alias("no"), *[F.first(c).alias(c) for c in (*NAMES, "words")]).withColumn("bucket", signature_bucket(self.buckets))
+        if not first_load:
+            known = self.stored("signatures", own).groupBy("sig").agg(F.min("first_no").alias("seen"))
+            sigs = sigs.join(known, "sig", "left")
+        both = cut(sigs, "new")
+        new = both if first_load else both.where("seen is null").drop("seen")
+        if first_load:
+            # the order of rarity is that of the first batch; it decides the work, not the result
+            self._append("order", new.selectExpr(f"explode({GRAMS}) as gram").groupBy("gram").agg(F.count("*").cast("int").alias("df")), load)
+        seen = Observation()
+        self._append("postings", postings(new, self.stored("order", also=load), self.buckets).observe(seen, F.collect_set("bucket").alias("buckets")), load)
+        pairs = self._candidates(load, seen.get["buckets"])
+        links = cut(self._links(pairs, new, near), "links")
+        self._label(new, links, load)
+        if not first_load and about["least"] <= self.highest:
+            # entries that come late with smaller numbers: the first of their projects give way to them
+            now = self.spark.read.schema(STORED["signatures"]).parquet(f"{self.path}/signatures/load={load}").select(F.col("sig").alias("new"), "first_no")
+            late = links.where("seen is not null and not follows").join(now, "new").where("first_no < seen").join(new.select(F.col("no").alias("first_no")), "first_no", "left_semi")
+            again = both.where("no < seen").select(F.col("seen").alias("first_no"), F.col("no").alias("to_no"))
+            self._append("moved", again.unionByName(late.select(F.col("seen").alias("first_no"), F.col("first_no").alias("to_no"))), load)
+        self.highest = about["most"] if first_load else max(about["most"], self.highest)
+        mark(self.spark, f"{self.path}/loads/{len(self.loads):08d}-{load}-{self.highest}")
+        self.loads.append(load)
+        free(both, links)
+
+    def _candidates(self, load: str, buckets: list[int]) -> DataFrame:
+        """(new, old): signatures of this load with all others that share a token."""
+        mine = self.spark.read.schema(STORED["postings"]).parquet(f"{self.path}/postings/load={load}")
+        probe = mine.select("token", F.col("kind").alias("kind_new"), F.col("named").alias("named_new"), F.col("sig").alias("new"))
+        every = self.stored("postings", sorted(buckets), also=load).select("token", "named", F.col("sig").alias("old"))
+        found = probe.join(every, "token").where("new <> old and not (kind_new in ('o', 'u') and named_new and named)")
+        return found.select("new", "old").distinct()
+
+    def _links(self, pairs: DataFrame, new: DataFrame, buckets: list[int]) -> DataFrame:
+        """(new, old, seen, follows) of verified pairs; seen is the first number of a
+        signature accepted before."""
+        attributes = lambda df, k, *more: df.selectExpr(f"sig as {k}", *more, *[f"{n} as {n}_{k}" for n in NAMES])
+        every = attributes(new, "old", "cast(null as bigint) as seen")
+        if self.loads:
+            every = every.unionByName(attributes(self.stored("signatures", buckets), "old", "first_no as seen"))
+        both = pairs.join(attributes(new, "new"), "new").join(every, "old")
         # lengths apart by more than verification allows
-        both = both.where("core_n = '' or core_o = '' or abs(length(core_n) - length(core_o)) <= 2")
-        edges = cut(both.select("new", "old", *[f"{n}_n" for n in NAMES], *[f"{n}_o" for n in NAMES]).mapInArrow(_verified, "new bigint, old bigint, score double"), "edges")
-        labels = self._labels(new, known, edges)
-        new.join(labels, "sig").select("sig", "no", *NAMES, "first_no").write.parquet(f"{self.path}/signatures/load={self.batches}")
-        self.batches += 1
-
-    def _labels(self, new: DataFrame, known: DataFrame | None, edges: DataFrame) -> DataFrame:
-        """(sig, first_no): the smallest number that each new signature leads to."""
-        carried = new.select(F.col("sig").alias("new"), F.col("carried").alias("_c"))
-        # an entry that only carries a promoter follows the one it fits best, and joins no others
-        top = edges.join(carried, "new").groupBy("new").agg(F.max("score").alias("top"), F.first("_c").alias("_c"))
-        e = edges.join(top, "new").where("not _c or score = top").select("new", "old")
-        first = None
-        if known is not None:
-            first = e.join(known.select(F.col("sig").alias("old"), "first_no"), "old").groupBy("new").agg(F.min("first_no").alias("seen"))
-        start = new.select("sig", F.col("no").alias("own"), "carried")
-        if first is None:
-            labels = start.select("sig", F.col("own").alias("first_no"))
-        else:
-            labels = start.join(first.withColumnRenamed("new", "sig"), "sig", "left").select("sig", F.least("own", F.coalesce("seen", "own")).alias("first_no"))
-        inner = e.join(new.select(F.col("sig").alias("old")), "old", "left_semi")
-        inner = cut(inner, "inner")
-        labels = cut(labels, "labels")
-        if inner.isEmpty():
-            return labels
-        for _ in range(20):
-            got = inner.join(labels.select(F.col("sig").alias("old"), F.col("first_no").alias("n")), "old").groupBy("new").agg(F.min("n").alias("n"))
-            step = labels.join(got.withColumnRenamed("new", "sig"), "sig", "left").select("sig", F.least("first_no", F.coalesce("n", "first_no")).alias("first_no"), (F.col("n") < F.col("first_no")).alias("moved"))
-            step = cut(step, "labels")
-            labels = step.select("sig", "first_no")
-            if step.where("moved").isEmpty():
+        both = both.where("core_new = '' or core_old = '' or abs(length(core_new) - length(core_old)) <= 2")
+        shown = both.select("new", "old", "seen", *[f"{n}_new" for n in NAMES], *[f"{n}_old" for n in NAMES])
+        held = shown.mapInArrow(_verified, "new bigint, old bigint, seen bigint, follows boolean, score double")
+        # an entry without a project's name follows the one it fits best, and joins no others
+        return held.withColumn("top", F.max("score").over(W.partitionBy("new"))).where("not follows or score = top").select("new", "old", "seen", "follows")
+
+    def _label(self, new: DataFrame, links: DataFrame, load: str) -> None:
+        """Store the signatures with ``first_no``, the smallest number that each leads to."""
+        inner = links.where("seen is null").select("new", "old")
+        before = links.where("seen is not null").groupBy("new").agg(F.min("seen").alias("seen")).withColumnRenamed("new", "sig")
+
+        def step(now: DataFrame) -> DataFrame:
+            got = inner.join(now.select(F.col("sig").alias("old"), F.col("first_no").alias("_n")), "old").groupBy("new").agg(F.min("_n").alias("_n")).withColumnRenamed("new", "sig")
+            return now.join(got, "sig", "left").select("sig", F.least("first_no", F.coalesce("_n", "first_no")).alias("first_no"), F.col("first_no").alias("_last"))
+
+        def twice(now: DataFrame) -> tuple[DataFrame, Observation]:
+            seen = Observation()
+            return step(step(now).drop("_last")).observe(seen, F.count_if(F.col("first_no") < F.col("_last")).alias("moved")), seen
+
+        after, seen = twice(new.join(before, "sig", "left").select("sig", F.least("no", F.coalesce("seen", "no")).alias("first_no")))
+        whole = lambda df: new.drop("words").join(df.select("sig", "first_no"), "sig")
+        self._append("signatures", whole(after), load)
+        if not seen.get["moved"]:
+            return
+        labels = cut(self.spark.read.schema(STORED["signatures"]).parquet(f"{self.path}/signatures/load={load}").select("sig", "first_no"), "labels")
+        while True:  # until no number moves
+            after, seen = twice(labels)
+            now = cut(after, "labels")
+            free(labels)
+            labels = now
+            if not seen.get["moved"]:
                 break
-        return labels
-
-    def signatures(self) -> DataFrame:
-        return self._stored("signatures").select("sig", "first_no")
-
-
-def duplicates(entries: DataFrame) -> DataFrame:
+        self._append("signatures", whole(labels), load)
+        free(labels)
+
+    def first_numbers(self) -> DataFrame:
+        """(sig, first_no) of all signatures taken in."""
+        got = self.stored("signatures").select("sig", "first_no")
+        if not names_in(self.spark, f"{self.path}/moved"):
+            return got
+        moved = self.stored("moved").groupBy("first_no").agg(F.min("to_no").alias("to_no"))
+        while True:  # a number may have given way several times
+            seen = Observation()
+            now = got.join(moved, "first_no", "left").select("sig", F.least("first_no", F.coalesce("to_no", "first_no")).alias("first_no"), (F.col("to_no") < F.col("first_no")).alias("_gone"))
+            got = cut(now.observe(seen, F.count_if("_gone").alias("gone")), "first").select("sig", "first_no")
+            if not seen.get["gone"]:
+                return got
+
+
+def duplicates(entries: DataFrame, index: Index | None = None) -> DataFrame:
     """(first_no, dup_no) of ``read`` entries that come in numbered batches: each
     batch is checked against the index of those before it and then taken in."""
     spark = entries.sparkSession
     path = shared_path(spark, "entries")
-    entries.write.partitionBy("batch").parquet(path)
+    entries.repartition("batch").write.partitionBy("batch").parquet(path)
     stored = spark.read.schema(entries.schema).parquet(path)
-    index = Index(spark)
-    batches = sorted(r["batch"] for r in stored.select("batch").distinct().where("batch is not null").collect())
-    for k in batches:
-        index.add(stored.where(F.col("batch") == k))
-    if not batches:
-        return entries.select(F.col("no").alias("first_no"), F.col("no").alias("dup_no")).limit(0)
-    first = index.signatures()
-    return stored.select("no", "sig").join(first, "sig").where("first_no < no").select("first_no", F.col("no").alias("dup_no"))
+    index = index or Index(spark)
+    # one number per batch
+    for k in sorted((r["batch"] for r in stored.select("batch").distinct().collect()), key=lambda k: (k is None, k)):
+        index.add(stored.where(F.col("batch").eqNullSafe(F.lit(k))))
+    return stored.select("no", "sig").join(index.first_numbers(), "sig").where("first_no < no").select("first_no", F.col("no").alias("dup_no"))

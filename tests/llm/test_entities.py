@@ -128,7 +128,7 @@ def test_batches(spark):
     df = spark.createDataFrame(rows, cols)
     read = lambda d: incremental.read(d, "no", "batch", "name", "operator", "place", "country", "lat", "lon", F.col("urls"))
     got = {(r.first_no, r.dup_no) for r in incremental.duplicates(read(df)).collect()}
-    assert got == {(1, 2), (1, 3), (4, 7), (5, 6)}
+    assert got == {(1, 2), (1, 3), (4, 7), (5, 6), (1, 10)}  # what has no batch number comes last
     assert incremental.duplicates(read(df.where("false"))).count() == 0
 
 
@@ -161,3 +161,69 @@ def test_an_address_of_many_still_leads_to_its_entries(spark):
     rows = [(k + 10, 0, f"{c.title()} Campus", None, p, "XA", None, None, page) for k, (c, _, p, _) in enumerate(made())]
     rows += [(1, 0, "Kodrodo & Tokom", None, None, "XA", 10.019, 20.0, page), (2, 1, "Bewanart Campus", None, None, "XA", 10.021, 20.0, page)]
     assert batches(spark, rows) == {(1, 2)}
+
+
+def entry(no, name, batch=0, country="XA", lat=10.0, lon=20.0):
+    return (no, batch, name, None, "Mont-Paven", country, lat, lon, None)
+
+
+def read_entries(spark, rows):
+    df = spark.createDataFrame(rows, "no bigint, batch bigint, name string, operator string, place string, country string, lat double, lon double, urls array<string>")
+    return incremental.read(df, "no", "batch", "name", "operator", "place", "country", "lat", "lon", F.col("urls"))
+
+
+def test_an_index_is_opened_again_and_read_in_part(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("bdgkmnrstvz")) + rng.choice(list("aeiou")) for _ in range(5))
+    path, sizes = f"file://{tmp_path}/index", []
+    for k in range(3):
+        rows = [entry(10_000 * k + n, f"{word().title()} Campus", country=f"X{n % 9}") for n in range(400)]
+        incremental.Index(spark, path, buckets=512).add(read_entries(spark, rows + ([entry(9, "Brutagund Campus")] if not k else [])))
+        late = incremental.Index(spark, path)  # as another session would
+        assert late.buckets == 512 and len(late.loads) == 2 * k + 1
+        seen = []
+        stored = late.stored
+        late.stored = lambda what, only=None, also=None: seen.append((what, only, stored(what, only, also))) or seen[-1][2]
+        late.add(read_entries(spark, [entry(90_000 + k, "Brutagnud Campus")]))
+        sizes.append({what: len(only) for what, only, _ in seen if only is not None})
+        assert {(r.sig, r.first_no) for r in late.first_numbers().collect()} >= {(r.sig, 9) for r in read_entries(spark, [entry(90_000, "Brutagnud Campus")]).collect()}
+    # as many buckets whatever was accepted before, and a small part of all
+    assert sizes[0] == sizes[1] == sizes[2] and all(n <= 60 for n in sizes[0].values()) and {"postings", "signatures"} <= set(sizes[0])
+    # what a broken run left behind is not read
+    n = late.stored("signatures").count()
+    late._append("signatures", late.stored("signatures"), "broken")
+    assert incremental.Index(spark, path).stored("signatures").count() == n
+
+
+def test_late_entries_with_smaller_numbers_come_first(spark):
+    rows = [entry(50, "Brutagund Campus", 0), entry(60, "Brutagnud Campus", 1), entry(7, "Brutagund Campus", 2), entry(3, "Brutagudn Campus", 3)]
+    assert batches(spark, rows) == {(3, 7), (3, 50), (3, 60)}
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    names_ = ["bakedimo"]
+    for k in range(7):
+        names_.append(names_[-1][:k] + "xyzwvuqx"[k] + names_[-1][k + 1 :])
+    rows = [entry(k, f"{n.title()} Campus") for k, n in enumerate(reversed(names_))]
+    assert batches(spark, rows) == {(0, k) for k in range(1, len(rows))}
+
+
+def test_what_says_nothing_matches_nothing(spark):
+    blank = [(k, 0, None, None, None, c, None, None, None) for k, c in enumerate((None, None, "XA", "XA"))]
+    assert batches(spark, blank) == set()
+
+
+def test_candidates_cover_all_that_verification_allows(spark):
+    rng = np.random.default_rng(9)
+    base = sorted({"".join(rng.choice(list("abcdefgimnorstu"), int(rng.integers(6, 26)))) for _ in range(60)})
+
+    def spoiled(w):
+        for _ in range(2):
+            k = int(rng.integers(0, len(w) - 1))
+            w = [w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + "z" + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + "q" + w[k:]][int(rng.integers(4))]
+        return w
+
+    rows = [entry(k, f"{w} Campus") for k, w in enumerate(base)] + [entry(1000 + k, f"{spoiled(w)} Campus", 1) for k, w in enumerate(base)]
+    read = {r.no: r.core for r in read_entries(spark, rows).collect()}
+    want = {(k, 1000 + k) for k in range(len(base)) if names.near(read[k], read[1000 + k], 2) <= 2 and min(len(read[k]), len(read[1000 + k])) >= 6}
+    assert len(want) > 50 and want <= batches(spark, rows)
