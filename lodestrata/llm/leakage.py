@@ -1,18 +1,22 @@
 """Evaluation passages inside a corpus, found with spaced seeds.
 
-Words of items and documents are brought to one form and numbered by the items'
-vocabulary. Fixed masks select some of the next few words and ignore the others;
-the selected words are hashed at every position of items and documents, and the
-two sides are joined on the hash. Around each hit the passage is verified: a run
-of equal words along the hit's diagonal, or the whole item within a number of
-words replaced, left out or added.
+Words of items and documents are brought to one form and become numbers. Fixed
+masks select some of the next few words and ignore the others; the selected words
+are hashed at every position of items and documents, and the two sides are joined
+on the hash. Around each hit the passage is verified: a run of equal words along
+the hit's diagonal, or the whole item within a number of words replaced, left out
+or added.
 
 The masks miss nothing: an item of n words with e words altered keeps a run of
 at least (n - e) / (e + 1) words, and each item has a solid mask of at most that
 length beside the spaced ones.
 
-Items travel with the tasks, in blocks of at most ``BLOCK_WORDS`` words; each
-block is one pass over the documents, which are never shuffled.
+The documents are read once for their seeds, however many items there are: a
+sieve of the items' hashes, whose size is bounded by ``SIEVE_BITS``, goes to the
+tasks and keeps back the seeds that no item has, and the others meet the items in
+a shuffled join. Documents with a hit, found by a sieve of their numbers, are read
+once more, and only the windows around their hits are sent to be verified, each
+with its own item.
 
 Edge cases: null and empty texts match nothing; items without words match
 nothing; repeated documents and items are each reported; long documents are read
@@ -21,6 +25,7 @@ whole.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -32,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.plain_text import key_array
+from lodestrata.runtime import cut
 
 RUN_WORDS = 12
 WORDS_PER_EDIT = 8
-BLOCK_WORDS = 1_000_000
+#: The largest sieve, in bits (128 MB), and how many bits there are for a hash.
+SIEVE_BITS, BITS_EACH, BLOCK_BITS = 1 << 30, 24, 1 << 19
 #: Masks; 1 selects the word, 0 ignores it.
 MASKS = ("11111", "111011", "1101011", "11100111")
 _TAG = re.compile(r"</?(\w+)[^<>]*>")
@@ -64,79 +71,155 @@ def allowed_edits(n: int) -> int:
     return n // WORDS_PER_EDIT
 
 
-class Probe:
-    """The items of a block, their vocabulary and their hashes by mask."""
-
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
-        words = words_of(texts)
-        keep = [k for k, w in enumerate(words) if w]
-        self.ids = np.array([ids[k] for k in keep], np.int64)
-        self.vocab: dict[str, int] = {}
-        self.items = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words[k]], np.int64) for k in keep]
-        rng = np.random.default_rng(20)
-        self.mult = rng.integers(1, 2**63 - 1, 32).astype(np.uint64) | np.uint64(1)
-        self.seeds = []
-        solid: dict[int, list[int]] = {}
-        for k, w in enumerate(self.items):
-            n, e = len(w), allowed_edits(len(w))
-            run = max(1, math.ceil((n - e) / (e + 1)))
-            if min(run, RUN_WORDS) < len(MASKS[0]):
-                solid.setdefault(min(run, RUN_WORDS), []).append(k)
-        every = list(range(len(self.items)))
-        for mask, own in [*((m, every) for m in MASKS), *(("1" * r, ks) for r, ks in solid.items())]:
-            parts, item, pos = [], [], []
-            for k in own:
-                h = self.hashes(self.items[k], mask)[0]
-                parts.append(h)
-                item.append(np.full(len(h), k))
-                pos.append(np.arange(len(h)))
-            if parts:
-                h = np.concatenate(parts)
-                order = np.argsort(h, kind="stable")
-                self.seeds.append((mask, h[order], np.concatenate(item)[order], np.concatenate(pos)[order]))
-
-    def hashes(self, words: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, whether all selected words are known) at each position."""
-        n = len(words) - len(mask) + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        h, known = np.zeros(n, np.uint64), np.ones(n, bool)
-        with np.errstate(over="ignore"):
-            for k, c in enumerate(mask):
-                if c == "1":
-                    w = words[k : k + n]
-                    known &= w > 0
-                    h = (h + w.astype(np.uint64)) * self.mult[k]
-                    h ^= h >> np.uint64(31)
-        return h, known
-
-    def hits(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, item start in the words, document of the seed) of every seed hit,
-        each once; masks are shorter than the gap between documents."""
-        item, start, doc = [], [], []
-        for mask, table, its, pos in self.seeds:
-            h, known = self.hashes(words, mask)
-            at = np.nonzero(known)[0]
-            h = h[at]
-            lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            n = hi - lo
-            own = np.repeat(np.arange(len(at)), n)
-            t = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            item.append(its[t])
-            start.append(at[own] - pos[t])
-            doc.append(np.searchsorted(bounds, at, "right")[own] - 1)
-        each = np.unique(np.column_stack([np.concatenate(c) for c in (item, start, doc)]), axis=0) if item else np.zeros((0, 3), int)
-        return each[:, 0], each[:, 1], each[:, 2]
-
-
-def longest_runs(same: np.ndarray) -> np.ndarray:
-    """Longest run of true of each row."""
-    best = np.zeros(len(same), np.int32)
-    run = np.zeros(len(same), np.int32)
-    for k in range(same.shape[1]):
-        run = (run + 1) * same[:, k]
-        np.maximum(best, run, out=best)
-    return best
+_NUMBER: dict[str, int] = {}
+
+
+def numbers_of(texts: list[str | None]) -> list[np.ndarray]:
+    """The words of each text as numbers that are the same everywhere."""
+    if len(_NUMBER) > 1_000_000:
+        _NUMBER.clear()
+    out = []
+    for words in words_of(texts):
+        for w in words:
+            if w not in _NUMBER:
+                _NUMBER[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+        out.append(np.array([_NUMBER[w] for w in words], np.uint64))
+    return out
+
+
+_FACTORS = np.random.default_rng(20).integers(1, 2**63 - 1, 32).astype(np.uint64) | np.uint64(1)
+
+
+def seeds(words: np.ndarray, mask: str) -> np.ndarray:
+    """The hash of the selected words at each position; masks never share hashes."""
+    n = len(words) - len(mask) + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.full(n, int(mask, 2), np.uint64)
+    with np.errstate(over="ignore"):
+        for k, c in enumerate(mask):
+            if c == "1":
+                h = (h + words[k : k + n]) * _FACTORS[k]
+                h ^= h >> np.uint64(31)
+    return h
+
+
+def solid_length(n: int) -> int:
+    """Words in the unaltered run that an item of n words is sure to keep."""
+    e = allowed_edits(n)
+    return min(RUN_WORDS, max(1, math.ceil((n - e) / (e + 1))))
+
+
+ITEM = "item_id bigint, size int, solid int, words binary"
+SEED = "hash bigint, item_id bigint, at int, size int"
+HIT = "hash bigint, doc_id bigint, at int"
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = numbers_of(b.column(1).to_pylist())
+        keep = [k for k, w in enumerate(words) if len(w)]
+        size = [len(words[k]) for k in keep]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(size, pa.int32()), pa.array([solid_length(n) for n in size], pa.int32()), pa.array([words[k].tobytes() for k in keep], pa.binary())], names=["item_id", "size", "solid", "words"])
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for item, size, solid, raw in zip(*(c.to_pylist() for c in b.columns)):
+            words = np.frombuffer(raw, np.uint64)
+            own = [seeds(words, m) for m in (*MASKS, *(["1" * solid] if solid < len(MASKS[0]) else []))]
+            h = np.concatenate(own)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item, np.int64)), pa.array(np.concatenate([np.arange(len(x), dtype=np.int32) for x in own])), pa.array(np.full(len(h), size, np.int32))], names=["hash", "item_id", "at", "size"])
+
+
+# Sieves
+
+
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash."""
+    with np.errstate(over="ignore"):
+        m = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (m >> np.uint64(34)) % np.uint64(bits), m % np.uint64(bits)
+
+
+def sieve(keys: DataFrame, col: str) -> np.ndarray:
+    """Bits set for the values of a column, of as many rows as may be: bounded by
+    ``SIEVE_BITS`` and put together by tasks, block by block."""
+    n = keys.count()
+    bits = BLOCK_BITS
+    while bits < min(SIEVE_BITS, n * BITS_EACH):
+        bits *= 2
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.unique(np.concatenate(_places(np.asarray(b.column(0)), bits)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(p // BLOCK_BITS), pa.array(p % BLOCK_BITS)], names=["block", "bit"])
+
+    def joined(t: pa.Table) -> pa.Table:
+        own = np.zeros(BLOCK_BITS, np.uint8)
+        own[t.column("bit").to_numpy()] = 1
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    # equal values count once, so that a block has about as many rows as bits at most
+    got = keys.select(F.col(col).cast("bigint")).distinct().mapInArrow(blocks, "block bigint, bit bigint").groupBy("block").applyInArrow(joined, "block bigint, bits binary")
+    for r in got.collect():
+        at = r["block"] * BLOCK_BITS // 8
+        out[at : at + BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_sieve(h: np.ndarray, held: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(h), bool)
+    for p in _places(h, len(held) * 8):
+        ok &= (held[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return ok
+
+
+def _doc_seeds(docs: DataFrame, held: np.ndarray, masks: list[str]) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(held)  # SIEVE_BITS at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                ids = np.asarray(b.column(0))
+                words = numbers_of(b.column(1).to_pylist())
+                size = np.array([len(w) for w in words], np.int64)
+                flat = np.concatenate(words) if len(words) else np.zeros(0, np.uint64)
+                start = np.concatenate(([0], np.cumsum(size)))[:-1]
+                doc = np.repeat(np.arange(len(size)), size)
+                left = np.repeat(start + size, size) - np.arange(len(flat))  # words from here to the text's end
+                h, d, at = [], [], []
+                for m in masks:
+                    own = seeds(flat, m)
+                    keep = np.nonzero((left[: len(own)] >= len(m)) & in_sieve(own, sent.value))[0]
+                    h.append(own[keep])
+                    d.append(doc[keep])
+                    at.append(keep - start[doc[keep]])
+                d = np.concatenate(d)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(ids[d]), pa.array(np.concatenate(at).astype(np.int32))], names=["hash", "doc_id", "at"])
+
+    return docs.mapInArrow(run, HIT)
+
+
+WINDOW = "doc_id bigint, item_id bigint, starts array<int>, window binary"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document and item, the words around hits that lie close together."""
+    for b in batches:
+        ids, lists = b.column(0).to_pylist(), numbers_of(b.column(1).to_pylist())
+        cols: list[list] = [[], [], [], []]
+        for doc, words, hits in zip(ids, lists, b.column(2).to_pylist()):
+            for hit in hits:
+                n, starts = hit["size"], np.unique(np.array(hit["starts"], np.int64))
+                room = 2 * allowed_edits(n) + 1
+                for part in np.split(starts, np.nonzero(np.diff(starts) > n + 2 * room)[0] + 1):
+                    lo, hi = max(0, int(part[0]) - room), min(len(words), int(part[-1]) + n + room)
+                    for c, v in zip(cols, (doc, hit["item_id"], (part - lo).tolist(), words[lo:hi].tobytes())):
+                        c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))], names=["doc_id", "item_id", "starts", "window"])
 
 
 def least_edits(item: np.ndarray, words: np.ndarray) -> int:
@@ -151,71 +234,31 @@ def least_edits(item: np.ndarray, words: np.ndarray) -> int:
     return int(row.min())
 
 
-def _verified(p: Probe, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, longest run, edits or -1) of the pairs that hold."""
-    item, start, doc = p.hits(words, bounds)
-    if not len(item):
-        return
-    size = np.array([len(w) for w in p.items])
-    pairs: dict[tuple[int, int], list] = {}
-    wide = int(size.max())
-    padded = np.zeros((len(p.items), wide), np.int64)
-    for k, w in enumerate(p.items):
-        padded[k, : len(w)] = w
-    run = np.zeros(len(item), np.int32)
-    for lo in range(0, len(item), 20_000):
-        s = slice(lo, lo + 20_000)
-        at = start[s][:, None] + np.arange(wide)
-        # an item's start or end may lie in the documents around
-        ok = (at >= bounds[doc[s]][:, None]) & (at < bounds[doc[s] + 1][:, None])
-        got = np.where(ok, words[np.clip(at, 0, len(words) - 1)], -1)
-        own = padded[item[s]]
-        same = (got == own) & (own > 0)
-        run[s] = longest_runs(same)
-    for k in range(len(item)):
-        key = (int(doc[k]), int(item[k]))
-        best = pairs.setdefault(key, [0, []])
-        best[0] = max(best[0], int(run[k]))
-        best[1].append(int(start[k]))
-    present: dict[int, np.ndarray] = {}
-    for (d, i), (longest, starts) in pairs.items():
-        own, e = p.items[i], allowed_edits(len(p.items[i]))
-        edits = -1
-        lo, hi = bounds[d], bounds[d + 1]
-        if d not in present:
-            present[d] = np.unique(words[lo:hi])
-        if np.isin(own, present[d]).sum() >= len(own) - e:
-            a, b = max(lo, min(starts) - 2 * e - 1), min(hi, max(starts) + len(own) + 2 * e + 1)
-            edits = least_edits(own, words[a:b])
-            if edits > e:
-                edits = -1
-        if longest >= RUN_WORDS or edits >= 0:
-            yield d, i, longest, edits
-
+def longest_run(item: np.ndarray, words: np.ndarray, start: int) -> int:
+    """Longest run of equal words where the item is laid on at ``start``."""
+    lo, hi = max(0, start), min(len(words), start + len(item))
+    same = np.concatenate(([False], words[lo:hi] == item[lo - start : hi - start], [False]))
+    ends = np.nonzero(~same)[0]
+    return int(np.diff(ends).max()) - 1 if len(ends) > 1 else 0
 
-SCHEMA = "doc_id bigint, item_id bigint, run int, edits int"
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cols: list[list] = [[], [], [], []]
+        for doc, item, starts, window, raw in zip(*(c.to_pylist() for c in b.columns)):
+            own, words = np.frombuffer(raw, np.uint64), np.frombuffer(window, np.uint64)
+            e, edits = allowed_edits(len(own)), -1
+            longest = max(longest_run(own, words, s) for s in starts)
+            if np.isin(own, words).sum() >= len(own) - e:
+                edits = least_edits(own, words)
+                edits = -1 if edits > e else edits
+            if longest >= RUN_WORDS or edits >= 0:
+                for c, v in zip(cols, (doc, item, longest, edits)):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "run", "edits"])
 
-def _pass(docs: DataFrame, probe: Probe) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(probe)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                ids = b.column(0).to_pylist()
-                lists = words_of(b.column(1).to_pylist())
-                n = np.array([len(w) + RUN_WORDS for w in lists])
-                bounds = np.concatenate(([0], np.cumsum(n)))
-                words = np.zeros(int(bounds[-1]), np.int64)
-                for k, w in enumerate(lists):
-                    words[bounds[k] : bounds[k] + len(w)] = [p.vocab.get(x, 0) for x in w]
-                out = [(ids[d], int(p.ids[i]), r, e) for d, i, r, e in _verified(p, words, bounds)]
-                cols = list(zip(*out)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "run", "edits"])
 
-    return docs.mapInArrow(run, SCHEMA)
+SCHEMA = "doc_id bigint, item_id bigint, run int, edits int"
 
 
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
@@ -223,12 +266,19 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     the longest run of equal words, and the edits of the whole item or -1."""
     d = docs.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(doc_text).cast("string").alias("text")).where("doc_id is not null and text is not null")
     it = items.select(F.col(item_key).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
-    size = it.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_WORDS))
-    out = None
-    for k in range(blocks):
-        own = it.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else it
-        rows = own.collect()
-        part = _pass(d, Probe([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        out = part if out is None else out.unionByName(part)
-    return out
+    own = cut(it.mapInArrow(_items, ITEM), "items")
+    probe = cut(own.mapInArrow(_item_seeds, SEED), "item-seeds")
+    # at most as many lengths as the shortest mask has words
+    solid = sorted(r["solid"] for r in own.select("solid").where(F.col("solid") < len(MASKS[0])).distinct().collect())
+    found = _doc_seeds(d, sieve(probe, "hash"), [*MASKS, *("1" * n for n in solid)])
+    hits = found.join(probe.withColumnRenamed("at", "_at"), "hash").groupBy("doc_id", "item_id", "size").agg(F.collect_set(F.col("at") - F.col("_at")).alias("starts"))
+    hits = cut(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "size", "starts")).alias("hits")), "hits")
+    held = d.sparkSession.sparkContext.broadcast(sieve(hits.select("doc_id"), "doc_id"))  # SIEVE_BITS at most
+
+    def with_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_sieve(np.asarray(b.column(0)).view(np.uint64), held.value)))
+
+    around = d.mapInArrow(with_hits, "doc_id bigint, text string").join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_windows, WINDOW)
+    pairs = around.join(own.select("item_id", "words"), "item_id").select("doc_id", "item_id", "starts", "window", "words")
+    return pairs.mapInArrow(_verified, SCHEMA).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.coalesce(F.min(F.when(F.col("edits") >= 0, F.col("edits"))), F.lit(-1)).alias("edits"))

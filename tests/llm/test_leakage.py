@@ -55,14 +55,28 @@ def test_against_brute_force(spark):
     assert found(spark, docs, items) == want and len(want) > 20
 
 
-def test_blocks_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK_WORDS", 20)
+def test_sieves_in_several_blocks_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_BITS", 64)
+    monkeypatch.setattr(L, "BITS_EACH", 64)
     assert found(spark, [(1, ITEM, 1, 1)], [(1, ITEM), (2, ITEM), (3, ""), (4, None)]) == {(1, 1), (1, 2)}
     assert found(spark, []) == set()
     d = spark.createDataFrame([(1, ITEM)], "doc_id bigint, text string")
     assert L.leaks(d, "doc_id", "text", d.where("false"), "doc_id", "text").count() == 0
 
 
+def test_a_full_sieve_keeps_all(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_BITS", 8)
+    monkeypatch.setattr(L, "SIEVE_BITS", 8)
+    assert found(spark, [(1, ITEM, 1, 1), (2, "nothing of it", 1, 1)]) == {(1, 1)}
+
+
+def test_long_and_short_items_side_by_side(spark):
+    long = " ".join(f"w{k % 977}x{k % 1009}" for k in range(100_000))
+    words = long.split()
+    docs = [(1, " ".join(words[70_000:70_020])), (2, " ".join(words[10:21])), (3, "before solar after"), (4, "x " * 30_000 + " ".join(words[5:17]) + " y" * 30_000 + " " + " ".join(words[99_900:99_930]))]
+    assert found(spark, [(*d, 1, 1) for d in docs], [(1, long), (2, "solar"), (3, " ".join(words[:9]))]) == {(1, 1), (3, 2), (4, 1)}
+
+
 def test_a_run_belongs_to_the_document_it_stands_in(spark):
     long = " ".join(f"w{k}" for k in range(40))
     docs = [(1, "alpha beta survey"), (2, " ".join(WORDS[14:28]) + " omega"), (3, "alpha"), (4, " ".join(long.split()[:13])), (5, " ".join(long.split()[25:]))]
