@@ -234,28 +234,59 @@ def least_edits(item: np.ndarray, words: np.ndarray) -> int:
     return int(row.min())
 
 
-def longest_run(item: np.ndarray, words: np.ndarray, start: int) -> int:
-    """Longest run of equal words where the item is laid on at ``start``."""
-    lo, hi = max(0, start), min(len(words), start + len(item))
-    same = np.concatenate(([False], words[lo:hi] == item[lo - start : hi - start], [False]))
-    ends = np.nonzero(~same)[0]
-    return int(np.diff(ends).max()) - 1 if len(ends) > 1 else 0
+def _ragged(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in it) of the elements of rows of these sizes, laid end to end."""
+    first = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - first[row]
+
+
+def longest_runs(same: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Longest run of true in each of n rows that are laid end to end."""
+    at = np.arange(len(same))
+    new = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
+    since = np.maximum.accumulate(np.where(~same, at, np.where(new, at - 1, -1))) if len(row) else at
+    out = np.zeros(n, np.int64)
+    np.maximum.at(out, row, np.where(same, at - since, 0))
+    return out
+
+
+#: Words that are laid against each other at once.
+AT_ONCE = 1 << 20
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols: list[list] = [[], [], [], []]
-        for doc, item, starts, window, raw in zip(*(c.to_pylist() for c in b.columns)):
-            own, words = np.frombuffer(raw, np.uint64), np.frombuffer(window, np.uint64)
-            e, edits = allowed_edits(len(own)), -1
-            longest = max(longest_run(own, words, s) for s in starts)
-            if np.isin(own, words).sum() >= len(own) - e:
-                edits = least_edits(own, words)
-                edits = -1 if edits > e else edits
-            if longest >= RUN_WORDS or edits >= 0:
-                for c, v in zip(cols, (doc, item, longest, edits)):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "run", "edits"])
+        doc, item = np.asarray(b.column(0)), np.asarray(b.column(1))
+        starts, windows, items = b.column(2).to_pylist(), [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()], [np.frombuffer(x, np.uint64) for x in b.column(4).to_pylist()]
+        work = np.cumsum([len(s) * len(i) + len(w) for s, i, w in zip(starts, items, windows)])
+        cuts = [0, *(np.nonzero(np.diff(work // AT_ONCE))[0] + 1).tolist(), len(starts)] if len(starts) else [0]
+        for lo, hi in zip(cuts, cuts[1:]):
+            w, own = windows[lo:hi], items[lo:hi]
+            w_size, i_size = np.array([len(x) for x in w]), np.array([len(x) for x in own])
+            flat_w, flat_i = np.concatenate(w), np.concatenate(own)
+            w_row, _ = _ragged(w_size)
+            i_row, _ = _ragged(i_size)
+            # runs along the diagonals of the hits
+            pair, _ = _ragged(np.array([len(s) for s in starts[lo:hi]]))
+            at = np.concatenate([np.array(s, np.int64) for s in starts[lo:hi]])
+            run = np.zeros(hi - lo, np.int64)
+            for some in np.array_split(np.arange(len(pair)), max(1, int(i_size[pair].sum()) // AT_ONCE)):
+                hit, k = _ragged(i_size[pair[some]])
+                p, place = pair[some][hit], at[some][hit] + k
+                inside = (place >= 0) & (place < w_size[p])
+                got = flat_w[(np.cumsum(w_size) - w_size)[p] + np.where(inside, place, 0)]
+                np.maximum.at(run, pair[some], longest_runs(inside & (got == flat_i[(np.cumsum(i_size) - i_size)[p] + k]), hit, len(some)))
+            # only an item nearly all of whose words are there can be whole
+            with np.errstate(over="ignore"):
+                mixed = lambda x, r: (x + r.astype(np.uint64) * _FACTORS[0]) * _FACTORS[1]
+                there = np.bincount(i_row, np.isin(mixed(flat_i, i_row), mixed(flat_w, w_row)), hi - lo)
+            edits = np.full(hi - lo, -1, np.int64)
+            for k in np.nonzero(there >= i_size - i_size // WORDS_PER_EDIT)[0]:
+                n = least_edits(own[k], w[k])
+                edits[k] = n if n <= allowed_edits(len(own[k])) else -1
+            keep = (run >= RUN_WORDS) | (edits >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][keep]), pa.array(item[lo:hi][keep]), pa.array(run[keep].astype(np.int32)), pa.array(edits[keep].astype(np.int32))], names=["doc_id", "item_id", "run", "edits"])
 
 
 SCHEMA = "doc_id bigint, item_id bigint, run int, edits int"
