@@ -7,8 +7,10 @@ table is a pass. ``all_gates`` puts them together in one table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,13 +90,112 @@ def monotone(scores: DataFrame, key: str, order: str, score: str) -> DataFrame:
     return violations([("order", _rows(bad, key), "scores fall along the declared order")])
 
 
+def pillar_references(defs: DataFrame, pillars: DataFrame, group: str = "pillar", key: str = "indicator") -> DataFrame:
+    """Indicators of a pillar that isn't there, and indicators defined twice."""
+    unknown = defs.join(pillars.select(F.col(group)).distinct(), group, "left_anti")
+    twice = defs.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    return violations([("pillars", _rows(unknown, key), "the pillar is unknown"), ("pillars", _rows(twice, key), "the indicator is defined twice")])
+
+
+def exact_order(defs: DataFrame, key: str = "indicator", order: str = "order", categories: str = "categories") -> DataFrame:
+    """Of indicators (key, order array<string>, categories map<string,double>): an
+    order that doesn't name just the categories, each once, and scores that rise
+    along it."""
+    c = F.coalesce(F.map_keys(categories), F.array().cast("array<string>"))
+    other = F.sort_array(F.coalesce(order, F.array().cast("array<string>"))) != F.sort_array(c)
+    along = F.transform(order, lambda x: F.col(categories)[x])
+    rises = F.exists(F.arrays_zip(F.slice(along, F.lit(1), F.size(along) - 1).alias("a"), F.slice(along, F.lit(2), F.size(along)).alias("b")), lambda p: p["a"] < p["b"])
+    own = defs.where(F.col(order).isNotNull())
+    return violations([
+        ("order", _rows(own.where(other), key), "the declared order does not cover the categories"),
+        ("order", _rows(own.where(~other & (F.size(order) > 1) & rises), key), "scores rise along the declared order"),
+    ])
+
+
+def against_draft(sites: DataFrame, version: str, published: bool, prefix: str = "zz-") -> DataFrame:
+    """Real records scored by a draft, and journal entries of another version."""
+    e = sites.select("id", F.explode("score_history").alias("e")).where(~F.col("e.methodology_version").eqNullSafe(F.lit(version)))
+    real = sites.where(~F.col("id").startswith(prefix))
+    return violations([
+        ("version", _rows(real.where(F.lit(not published)), "id"), "a real record is scored by a draft"),
+        ("version", _rows(e, "id"), "a journal entry is of another version"),
+    ])
+
+
+#: What the dossier indicator says where a dossier can be read.
+DOSSIER = ("full_dossier_online", "partial")
+
+
+def read_traces(sites: DataFrame, facts: DataFrame, project_ids: Sequence[str], scored_ids: Sequence[str], dossier: str = "T2") -> DataFrame:
+    """``missing`` needs a source where a dossier is open, and ``not_collected`` has no
+    place in a published record."""
+    t2 = facts.where((F.col("indicator_id") == dossier) & (F.col("status") == "measured") & F.col("value_str").isin(*DOSSIER)).select("site_id").distinct()
+    missing = facts.where(F.col("indicator_id").isin(*project_ids) & (F.col("status") == "missing") & F.col("source").isNull()).join(t2, "site_id", "left_semi")
+    public = sites.where(F.col("publication.status") == "published").select(F.col("id").alias("site_id"))
+    open_ = facts.where(F.col("indicator_id").isin(*scored_ids) & (F.col("status") == "not_collected")).join(public, "site_id", "left_semi")
+    return violations([
+        ("trace", _rows(missing, "site_id"), "missing without a source although a dossier is open"),
+        ("trace", _rows(open_, "site_id"), "not collected in a published record"),
+    ])
+
+
+#: How a title names where a power figure comes from, and registers.
+POWER_FROM, REGISTER = r"(?i)puissance\s+[\d.]+\s*MW\s*\(([^)]+)\)", r"(?i)EED|RVO|registre r[ée]glementaire|regulatory register"
+
+
+def power_provenance(facts: DataFrame, indicator: str = "L2") -> DataFrame:
+    """A measured figure whose title names a source that is no register."""
+    title = F.coalesce("source.title", F.lit(""))
+    said = F.regexp_extract(title, POWER_FROM, 1)
+    bad = facts.where((F.col("indicator_id") == indicator) & (F.col("status") == "measured") & (said != "") & ~said.rlike(REGISTER))
+    return violations([("power", _rows(bad, "site_id"), "a measured figure rests on no register")])
+
+
+def twice(df: DataFrame, key: str) -> DataFrame:
+    return violations([("twice", _rows(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1"), key), "the id comes twice")])
+
+
+def keys_of(raw: DataFrame, key: str, payload: str, wanted: Sequence[str]) -> DataFrame:
+    """(entity, path, key) of every key of the list, at any depth of a JSON text; what
+    is no JSON has none."""
+    names = frozenset(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list[str]] = [[], [], []]
+            for entity, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    todo = [("$", json.loads(text))] if text else []
+                except (ValueError, RecursionError):
+                    continue
+                while todo:
+                    at, value = todo.pop()
+                    inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+                    for k, v in inner:
+                        todo.append((f"{at}.{k}" if isinstance(value, dict) else f"{at}[{k}]", v))
+                        if isinstance(value, dict) and k in names:
+                            for c, x in zip(cols, (entity, at, k)):
+                                c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["entity", "path", "key"])
+
+    return raw.select(F.col(key).cast("string"), F.col(payload).cast("string")).where(F.col(key).isNotNull()).mapInArrow(run, "entity string, path string, key string")
+
+
+#: Keys that an entry of facts only must not have.
+GRADE_LIKE = ("grade", "grades", "score", "confidence", "letter", "note", "documentation")
+
+
 def grade_like_keys(raw: DataFrame, key: str, payload: str) -> DataFrame:
-    """Records in which any key, at any depth, names a grade."""
-    return violations([("keys", _rows(raw.where(F.col(payload).rlike(r'(?i)"(?:grade|score|rating|letter)s?"\s*:')), key), "a key names a grade")])
+    """Records in which a key, at any depth, is that of a judgement."""
+    return violations([("keys", keys_of(raw, key, payload, GRADE_LIKE).select("entity").distinct(), "a key of a judgement")])
 
 
-def all_gates(sites: DataFrame, facts: DataFrame, expected: Sequence[str]) -> DataFrame:
+def all_gates(sites: DataFrame, facts: DataFrame, expected: Sequence[str], version: str | None = None, published: bool = True, project_ids: Sequence[str] = (), scored_ids: Sequence[str] = ()) -> DataFrame:
+    """Every rule on records and their facts; those on versions need the active one."""
+    parts = [indicator_set(facts, expected), sources(facts), declared_as_measured(facts), estimates_are_tagged(sites, facts), power_provenance(facts), journal(sites), read_traces(sites, facts, project_ids, scored_ids)]
+    if version is not None:
+        parts.append(against_draft(sites, version, published))
     out = id_is_file_name(sites)
-    for part in (indicator_set(facts, expected), sources(facts), estimates_are_tagged(sites, facts), journal(sites)):
+    for part in parts:
         out = out.unionByName(part)
     return out

@@ -118,9 +118,10 @@ class Splits:
         }
 
 
-def _leaves(tree: dict, xyz: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+def _leaves(tree: dict, xyz: np.ndarray, reach: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of every leaf within ``reach`` of each row."""
     row, node = np.arange(len(xyz)), np.zeros(len(xyz), int)
+    reach = np.broadcast_to(reach, len(xyz))
     rows, leaves = [], []
     while len(row):
         d = tree["dim"][node]
@@ -129,7 +130,7 @@ def _leaves(tree: dict, xyz: np.ndarray, reach: float) -> tuple[np.ndarray, np.n
         leaves.append(node[end])
         row, node, d = row[~end], node[~end], d[~end]
         x, cut = xyz[row, d], tree["at"][node]
-        low, high = x - reach <= cut, x + reach > cut
+        low, high = x - reach[row] <= cut, x + reach[row] > cut
         row, node = np.concatenate((row[low], row[high])), np.concatenate((tree["left"][node[low]], tree["right"][node[high]]))
     return np.concatenate(rows or [row]), np.concatenate(leaves or [node])
 
@@ -209,6 +210,42 @@ class BallTree:
         return np.concatenate(found_q or [none]), np.concatenate(found_p or [none])
 
 
+    def nearest(self, query: np.ndarray, reach: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(point or -1, squared distance) of the nearest point of each query within its
+        own ``reach``; of equally near ones the one with the smallest rank."""
+        best, at = reach * reach * (1 + 1e-9), np.full(len(query), -1)
+        rank = np.arange(len(self.pts)) if rank is None else rank
+        stack = [(0, np.arange(len(query)), np.zeros(len(query)))]
+        while stack:
+            node, q, gap = stack.pop()
+            q = q[gap * gap <= best[q]]
+            if not len(q):
+                continue
+            lo, hi, d, cut, a, b = self.nodes[node]
+            if d >= 0:
+                off = query[q, d] - cut
+                left = off <= 0
+                # the far halves first on the stack, so that the near ones are asked before them
+                for kid, own in ((a, ~left), (b, left)):
+                    stack.append((kid, q[own], np.abs(off[own])))
+                for kid, own in ((a, left), (b, ~left)):
+                    stack.append((kid, q[own], np.zeros(int(own.sum()))))
+                continue
+            own = self.order[lo:hi]
+            if not len(own):
+                continue
+            own = own[np.argsort(rank[own], kind="stable")]
+            for k in range(0, len(q), step := max(1, MATRIX_CELLS // len(own))):
+                part = q[k : k + step]
+                way = query[part][:, None, :] - self.pts[own][None, :, :]
+                dist = np.einsum("ijk,ijk->ij", way, way)
+                j = dist.argmin(1)
+                got, point = dist[np.arange(len(part)), j], own[j]
+                better = (got < best[part]) | ((got == best[part]) & ((at[part] < 0) | (rank[point] < rank[at[part]])))
+                best[part[better]], at[part[better]] = got[better], point[better]
+        return at, best
+
+
 def _answer(reach: float, radius_m: float, schema: pa.Schema):
     """Grouped Arrow function: the pairs of one block."""
 
@@ -253,6 +290,51 @@ def points_within(
     return q.groupBy("block").cogroup(c.groupBy("block")).applyInArrow(_answer(reach, radius_m, schema), "query_id bigint, candidate_id bigint, metres double")
 
 
+def nearest_of(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, candidate_id, metres): the nearest candidate of each query, the one
+    with the smaller id where two are equally near.
+
+    The nearest row of a bounded sample of the candidates bounds each query's
+    distance; the query goes to the leaves within that bound only, and every leaf
+    answers with its own nearest. Nothing is paired but one candidate per leaf.
+    """
+    kinds = "query_id bigint, candidate_id bigint, metres double"
+    n = candidates.count()
+    near, scale = _sample(candidates, n)
+    while n and not len(near):  # a sample may be empty by chance
+        near, scale = _sample(candidates.limit(SAMPLE_ROWS), min(n, SAMPLE_ROWS))
+    q_xyz, q_scale = _sample(queries, queries.count())
+    tree = Splits(near, q_xyz, scale, q_scale, 0.0).frozen()
+    cols = [F.col("id").cast("bigint"), "lat", "lon"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = BallTree(near)
+        for b in batches:
+            ids, lat, lon = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            xyz = unit_vectors(lat, lon)
+            reach = np.sqrt(known.nearest(xyz, np.full(len(xyz), 2.1))[1]) * (1 + 1e-9) + 1e-12
+            row, leaf = _leaves(tree, xyz, reach)
+            part = (_mixed(ids[row]) % tree["qp"][leaf].astype(np.uint64)).astype(int)
+            copies = tree["cp"][leaf]
+            row, leaf, part = (np.repeat(x, copies) for x in (row, leaf, part))
+            k = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+            block = tree["first"][leaf] + k * tree["qp"][leaf] + part
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(ids[row]), pa.array(lat[row]), pa.array(lon[row]), pa.array(reach[row])], names=["block", "id", "lat", "lon", "reach"])
+
+    def answer(query: pa.Table, cand: pa.Table) -> pa.Table:
+        qi, qa, qo, reach = (query.column(k).to_numpy() for k in ("id", "lat", "lon", "reach"))
+        ci, ca, co = (cand.column(k).to_numpy() for k in ("id", "lat", "lon"))
+        at = BallTree(unit_vectors(ca, co)).nearest(unit_vectors(qa, qo), reach, ci)[0] if len(ci) else np.full(len(qi), -1)
+        hit = at >= 0
+        j = at[hit]
+        return pa.table({"query_id": pa.array(qi[hit], pa.int64()), "candidate_id": pa.array(ci[j], pa.int64()), "metres": pa.array(great_circle_m(qa[hit], qo[hit], ca[j], co[j]), pa.float64())})
+
+    q = queries.select(*cols).mapInArrow(spread, "block int, id bigint, lat double, lon double, reach double")
+    c = candidates.select(*cols).mapInArrow(_spread(tree, True), "block int, id bigint, lat double, lon double")
+    got = q.groupBy("block").cogroup(c.groupBy("block")).applyInArrow(answer, kinds)
+    return got.groupBy("query_id").agg(F.min(F.struct("metres", "candidate_id")).alias("_m")).select("query_id", "_m.candidate_id", "_m.metres")
+
+
 # Regions
 
 

@@ -1,10 +1,12 @@
 """Deeply nested JSON records as related flat tables.
 
-One depth-first pass over each record emits every part as a tagged row: the
-table it belongs to, its own key, its parent's key, its position and its values.
-``tagged`` yields these rows; ``write_tables`` writes them partitioned by tag and
-``typed`` gives one tag its schema. Nothing is shuffled and each payload is read
-once, however many tables come out.
+One depth-first pass over each record emits every object in it as a tagged row:
+the table it belongs to, its own key, its parent's key, its position and its
+values. The visitor knows no schema: whatever holds objects becomes a table of its
+own, named by the keys that lead to it. ``tagged`` yields these rows;
+``write_tables`` writes them partitioned by tag and ``typed`` gives one tag its
+schema. Nothing is shuffled and each payload is read once, however many tables
+come out. A row's key is the path to it as delivered, so no two rows share one.
 
 What the visitor takes as the same: keys that differ in case, underscores,
 dashes or blanks; text that itself holds JSON; envelopes around a record, at any
@@ -13,9 +15,9 @@ which is an array with gaps; a text where a source object is usual, which is its
 url.
 
 Edge cases: a payload that is null, empty or no JSON gives no rows; so does one
-without a record. Nulls within arrays keep their position. Very long and very
-deep payloads are read whole; nesting deeper than the parser allows counts as
-unreadable. Records that repeat give their rows again. Columns other than the two named are
+without a record. Nulls within arrays keep their position. Very long payloads are
+read whole; nesting deeper than the JSON parser allows counts as unreadable.
+Arrays of plain values are one value of their object, as JSON. Records that repeat give their rows again. Columns other than the two named are
 not read.
 """
 
@@ -27,20 +29,19 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Branches of a record: key in plain form -> (branch, what its elements hold).
 BRANCHES = {"indicators": "indicator", "indicator": "indicator", "facts": "fact", "fact": "fact"}
 #: Parts of a record that hold sources and kinds of their own, never to be read as a record.
 OTHER_PARTS = {"contestation", "verificationsource", "source", "sources", "scorehistory", "publication", "synthesis", "identity"}
-SOURCE_KEYS, SOURCE_FIELDS = ("source", "sources"), ("title", "url", "accessed", "archived_url")
-PROXY_KEYS = ("proxies", "proxy")
-PROXY_FIELDS = ("public_inquiry_held", "environmental_authority_opinion", "cndp_referral", "legal_appeals_count", "council_deliberations")
+#: Keys, in plain form, that mean the same table.
+SAME_TABLE = {**BRANCHES, "sources": "source", "proxy": "proxies"}
 #: Words for yes and no.
 TRUE_WORDS = {"true", "yes", "oui", "ja", "si", "sí", "1", "1.0", "y", "t", "vrai", "wahr", "vero", "sì", "waar", "o", "x"}
 FALSE_WORDS = {"false", "no", "non", "nein", "nee", "0", "0.0", "n", "f", "faux", "falsch", "falso", "onwaar"}
-ENTITY_FIELDS = {"indicator": ("id", "status", "value"), "fact": ("kind", "self_reported")}
+TRUTHS = {"publicinquiryheld"}
 SCHEMA = "tag string, record_no bigint, row_key string, parent_key string, item_no bigint, payload string"
 _PLAIN = re.compile(r"[\s_\-.]+")
 
@@ -62,30 +63,19 @@ def opened(value: Any) -> Any:
     return value
 
 
-def fields(value: Any) -> dict[str, Any]:
-    """An object's values by plain key; the first non-null of several spellings."""
-    out: dict[str, Any] = {}
-    if isinstance(value, dict):
-        for k, v in value.items():
-            p = plain_key(k)
-            if out.get(p) is None:
-                out[p] = v
-    return out
-
-
 def is_number_key(key: str) -> bool:
     return key.strip().lstrip("+-").isdigit()
 
 
-def elements(value: Any) -> Iterator[tuple[int, Any]]:
-    """(position, element) of an array, of an object keyed by numbers or of a lone element."""
+def elements(value: Any) -> list[tuple[str, int, Any]]:
+    """(label, position, element) of an array, of an object keyed by numbers or of a
+    lone element."""
     value = opened(value)
     if isinstance(value, list):
-        yield from enumerate(value)
-    elif isinstance(value, dict) and value and all(map(is_number_key, value)):
-        yield from ((int(k), v) for k, v in value.items())
-    elif value is not None:
-        yield 0, value
+        return [(str(k), k, v) for k, v in enumerate(value)]
+    if isinstance(value, dict) and value and all(map(is_number_key, value)):
+        return [(k.strip(), int(k), v) for k, v in value.items()]
+    return [] if value is None else [("0", 0, value)]
 
 
 def records(value: Any) -> Iterator[dict[str, Any]]:
@@ -94,9 +84,8 @@ def records(value: Any) -> Iterator[dict[str, Any]]:
     while todo:
         value = opened(todo.pop())
         if isinstance(value, dict):
-            own = fields(value)
-            if any(b in own for b in BRANCHES):
-                yield own
+            if any(plain_key(k) in BRANCHES for k in value):
+                yield value
             else:
                 todo += [v for k, v in reversed(value.items()) if plain_key(k) not in OTHER_PARTS]
         elif isinstance(value, list):
@@ -112,38 +101,39 @@ def truth(value: Any) -> bool | None:
     return True if word in TRUE_WORDS else False if word in FALSE_WORDS else None
 
 
-def leaf(value: Any) -> Any:
-    """A scalar as it is; anything with parts as JSON text."""
-    return json.dumps(value, ensure_ascii=False) if isinstance(value, (dict, list)) else value
+def is_table(name: str, value: Any) -> bool:
+    """Whether a value is rows of its own rather than a value of its object."""
+    if isinstance(value, dict) or name == "source":
+        return value is not None
+    return isinstance(value, list) and any(isinstance(opened(v), dict) for v in value)
 
 
 def visit(record_no: int, value: Any) -> Iterator[tuple]:
-    """Tagged rows of one payload, depth first."""
-    for n, rec in enumerate(records(value)):
-        root = f"{record_no}/{n}"
-        yield "record", record_no, root, None, n, {k: leaf(rec[k]) for k in ("id", "name", "schemaversion") if rec.get(k) is not None}
-        for part, branch in BRANCHES.items():
-            if part not in rec:
+    """Tagged rows of one payload, depth first: (tag, record_no, row_key, parent_key,
+    item_no, values by plain key). ``item_no`` is the position in the record's array
+    from which the row descends."""
+    todo = [("record", f"{record_no}/{n}", None, n, rec) for n, rec in enumerate(records(value))]
+    todo.reverse()
+    while todo:
+        tag, key, parent, item_no, obj = todo.pop()
+        vals: dict[str, Any] = {}
+        inner = []
+        for k, v in obj.items():
+            p, v = plain_key(k), opened(v)
+            name = SAME_TABLE.get(p, p)
+            if not is_table(name, v):
+                if vals.get(p) is None and v is not None:
+                    vals[p] = truth(v) if p in TRUTHS else json.dumps(v, ensure_ascii=False) if isinstance(v, list) else v
                 continue
-            for i, item in elements(rec[part]):
-                own = fields(opened(item))
-                if not own:
-                    continue
-                key = f"{root}/{branch}/{i}"
-                yield branch, record_no, key, root, i, {f: leaf(own.get(plain_key(f))) for f in ENTITY_FIELDS[branch]}
-                for p in PROXY_KEYS:
-                    for _, proxies in elements(own.get(p)):
-                        vals = fields(opened(proxies))
-                        if vals:
-                            got = {f: leaf(vals.get(plain_key(f))) for f in PROXY_FIELDS}
-                            got["public_inquiry_held"] = truth(vals.get("publicinquiryheld"))
-                            yield f"{branch}_proxies", record_no, f"{key}/proxies", key, i, got
-                for p in SOURCE_KEYS:
-                    for j, src in elements(own.get(p)):
-                        src = opened(src)
-                        vals = {"url": src.strip()} if isinstance(src, str) and src.strip() else fields(src)
-                        if vals:
-                            yield f"{branch}_source", record_no, f"{key}/source/{j}", key, i, {f: leaf(vals.get(plain_key(f))) for f in SOURCE_FIELDS}
+            own = (name if name != "source" else "record_source") if tag == "record" else f"{tag}_{name}"
+            for label, at, item in elements(v):
+                item = opened(item)
+                if name == "source" and isinstance(item, str) and item.strip():
+                    item = {"url": item.strip()}
+                if isinstance(item, dict) and item:
+                    inner.append((own, f"{key}/{k}/{label}", key, at if tag == "record" else item_no, item))
+        yield tag, record_no, key, parent, item_no, vals
+        todo += reversed(inner)
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +144,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             value = opened(text.as_py())
             if isinstance(value, (dict, list)):
-                try:
-                    rows = list(visit(no, value))
-                except RecursionError:
-                    continue
-                for row in rows:
+                for row in visit(no, value):
                     for c, v in zip(cols, (*row[:5], json.dumps(row[5], ensure_ascii=False))):
                         c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=["tag", "record_no", "row_key", "parent_key", "item_no", "payload"])
@@ -169,20 +155,21 @@ def tagged(df: DataFrame, key: str, payload: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("_k"), F.col(payload).cast("string").alias("_p")).mapInArrow(_emit, SCHEMA)
 
 
+_PROXIES = "public_inquiry_held boolean, environmental_authority_opinion string, cndp_referral string, legal_appeals_count string, council_deliberations string"
+_SOURCE = "title string, url string, accessed string, archived_url string"
 SCHEMAS = {
-    "record": "id string, name string, schemaversion string",
-    "indicator": "id string, status string, value string",
-    "indicator_proxies": "public_inquiry_held boolean, environmental_authority_opinion string, cndp_referral string, legal_appeals_count string, council_deliberations string",
-    "indicator_source": "title string, url string, accessed string, archived_url string",
-    "fact": "kind string, self_reported string",
-    "fact_proxies": "public_inquiry_held boolean, environmental_authority_opinion string, cndp_referral string, legal_appeals_count string, council_deliberations string",
-    "fact_source": "title string, url string, accessed string, archived_url string",
-}
+    "record": "id string, name string, schema_version string",
+    "indicator": "id string, status string, value string", "indicator_proxies": _PROXIES, "indicator_source": _SOURCE,
+    "fact": "kind string, self_reported string", "fact_proxies": _PROXIES, "fact_source": _SOURCE,
+}
 
 
-def typed(rows: DataFrame, tag: str) -> DataFrame:
+def typed(rows: DataFrame, tag: str, schema: str | None = None) -> DataFrame:
     """The flat table of one tag, with its links and its own columns."""
-    return rows.where(F.col("tag") == tag).select("record_no", "row_key", "parent_key", "item_no", F.from_json("payload", SCHEMAS[tag]).alias("_v")).select("record_no", "row_key", "parent_key", "item_no", "_v.*")
+    kinds = [c.split() for c in (schema or SCHEMAS[tag]).split(", ")]
+    v = F.from_json("payload", ", ".join(f"{plain_key(c)} {kind}" for c, kind in kinds))
+    own = rows.where(F.col("tag") == tag).select("record_no", "row_key", "parent_key", "item_no", v.alias("_v"))
+    return own.select("record_no", "row_key", "parent_key", "item_no", *[F.col(f"_v.{plain_key(c)}").alias(c) for c, _ in kinds])
 
 
 def write_tables(rows: DataFrame, path: str) -> None:
@@ -190,16 +177,19 @@ def write_tables(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("tag").parquet(path)
 
 
+def read_tables(spark: SparkSession, path: str) -> DataFrame:
+    """The written rows; a filter on ``tag`` opens one folder."""
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
 def leaves(rows: DataFrame, wanted: dict[str, tuple[str, list[str]]]) -> DataFrame:
-    """(record_no, branch, item_no, leaf, leaf_value) of named leaves.
+    """(record_no, branch, item_no, leaf, leaf_value) of named leaves of typed tables.
 
-    ``wanted``: tag -> (branch, its leaves). One pass over the tagged rows; null
-    leaves give no row.
+    ``wanted``: tag -> (branch, its leaves); null leaves give no row.
     """
-    case: Column = F.lit(None).cast("array<struct<branch:string,leaf:string,leaf_value:string>>")
+    out = None
     for tag, (branch, names) in wanted.items():
-        v = F.from_json("payload", SCHEMAS[tag])
-        own = F.array(*[F.struct(F.lit(branch).alias("branch"), F.lit(n).alias("leaf"), v[n].cast("string").alias("leaf_value")) for n in names])
-        case = F.when(F.col("tag") == tag, own).otherwise(case)
-    out = rows.where(F.col("tag").isin(*wanted)).select("record_no", "item_no", F.explode(case).alias("_l"))
-    return out.select("record_no", "_l.branch", "item_no", "_l.leaf", "_l.leaf_value").where("leaf_value is not null")
+        own = F.explode(F.array(*[F.struct(F.lit(n).alias("leaf"), F.col(n).cast("string").alias("leaf_value")) for n in names]))
+        part = typed(rows, tag).select("record_no", F.lit(branch).alias("branch"), "item_no", own.alias("_l")).select("record_no", "branch", "item_no", "_l.leaf", "_l.leaf_value").where("leaf_value is not null")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.operators.stats import medians
 from lodestrata.runtime import cut
 
 
@@ -25,12 +26,13 @@ def round_robin(df: DataFrame, outer: str, inner: str, key: str, most: int) -> D
 
 
 def closest_to_median(df: DataFrame, value: str, key: str, most: int, digits: int = 1) -> DataFrame:
-    mid = df.agg(F.round(F.median(value), digits).alias("mid"))
+    mid = medians(df, value).select(F.round("median", digits).alias("mid"))
     return df.crossJoin(F.broadcast(mid)).withColumn("gap", F.abs(F.col(value) - F.col("mid"))).orderBy("gap", key).limit(most)
 
 
 def middle_row(df: DataFrame, group: Sequence[str], key: str) -> DataFrame:
-    """The row in the middle by key: at position n // 2, counted from 0."""
+    """The row in the middle by key: at position n // 2, counted from 0. A group is
+    put in order in one task, so it has to be one that a reader could look through."""
     w = W.partitionBy(*group)
     return df.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(key))).where("_r = floor(_n / 2) + 1").drop("_r", "_n")
 

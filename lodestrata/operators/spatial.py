@@ -1,8 +1,7 @@
 """Nearest neighbours, rings, boxes and dedupes by distance, on top of ``nearby``.
 
 Inputs are (id, lat, lon). Nothing is paired that isn't near: nearest neighbours
-are searched in growing circles, and only the points that found nothing go on to
-the next circle.
+are searched in the parts of space that a first bound allows.
 """
 
 from __future__ import annotations
@@ -12,27 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.nearby import EARTH_M, points_within
-from lodestrata.runtime import cut
+from lodestrata.operators.nearby import nearest_of, points_within
 
-#: Half the way round the earth: everything is this near.
-ANYWHERE_M = 3.141592653589794 * EARTH_M
 
-
-def nearest(points: DataFrame, others: DataFrame, first_m: float = 50_000.0, growth: float = 8.0) -> DataFrame:
+def nearest(points: DataFrame, others: DataFrame) -> DataFrame:
     """(query_id, candidate_id, metres): the nearest of the others, the smaller id
     where two are equally near. Points without any other at all give no row."""
-    todo, radius, out = points, first_m, None
-    if others.isEmpty():
-        return points_within(points, others, 1.0)
-    while True:
-        near = points_within(todo, others, min(radius, ANYWHERE_M * 1.01)).groupBy("query_id").agg(F.min(F.struct("metres", "candidate_id")).alias("_m")).select("query_id", "_m.candidate_id", "_m.metres")
-        near = cut(near, "nearest")
-        out = near if out is None else out.unionByName(near)
-        todo = cut(todo.join(near.select(F.col("query_id").alias("id")), "id", "left_anti"), "unmatched")
-        if radius > ANYWHERE_M or todo.isEmpty():
-            return out
-        radius *= growth
+    return nearest_of(points, others)
 
 
 def rings(points: DataFrame, others: DataFrame, edges_m: Sequence[float]) -> DataFrame:
@@ -53,15 +38,24 @@ def distance_dedupe(new: DataFrame, known: DataFrame, radius_m: float) -> DataFr
 def outside_boxes(points: DataFrame, others: DataFrame, half_deg: float) -> DataFrame:
     """Points with no other closer than ``half_deg`` in both latitude and longitude.
 
-    An equi-join on cells of that size, the other side copied to the neighbours.
+    An equi-join on cells of half that size. A point whose own cell holds another
+    is decided by the cell alone. For those of the cells around, the others are
+    reduced to one row per cell and fine step of longitude: the extremes in latitude.
     """
-    cell = lambda c: F.floor(c / half_deg)
-    o = others.select(F.col("lat").alias("_a"), F.col("lon").alias("_o")).distinct()
-    for c, k in (("_a", "_ca"), ("_o", "_co")):
-        o = o.withColumn(k, F.explode(F.array(*[cell(F.col(c)) + d for d in (-1, 0, 1)])))
-    p = points.withColumn("_ca", cell(F.col("lat"))).withColumn("_co", cell(F.col("lon")))
-    close = p.join(o, ["_ca", "_co"]).where((F.abs(F.col("lat") - F.col("_a")) < half_deg) & (F.abs(F.col("lon") - F.col("_o")) < half_deg)).select("id").distinct()
-    return points.join(close, "id", "left_anti")
+    size = half_deg / 2
+    cell = lambda c: F.floor(F.col(c) / size)
+    o = others.select("lat", "lon").distinct().withColumn("_ca", cell("lat")).withColumn("_co", cell("lon"))
+    full = o.select("_ca", "_co").distinct()
+    p = points.withColumn("_ca", cell("lat")).withColumn("_co", cell("lon"))
+    left = p.join(full, ["_ca", "_co"], "left_anti")
+    steps = F.array(*[F.lit(d) for d in range(-2, 3)])
+    asked = left.select("id", F.col("lat").alias("_a"), F.col("lon").alias("_o"), F.col("_ca").alias("_x"), F.col("_co").alias("_y"), F.explode(steps).alias("_i"))
+    asked = asked.select("id", "_a", "_o", (F.col("_x") + F.col("_i")).alias("_ca"), "_y", F.explode(steps).alias("_j")).withColumn("_co", F.col("_y") + F.col("_j")).drop("_y", "_j")
+    # only cells that are asked for keep their points, and of each longitude the extremes that could be near
+    kept = o.join(asked.select("_ca", "_co").distinct(), ["_ca", "_co"], "left_semi").groupBy("_ca", "_co", "lon").agg(F.min("lat").alias("_lo"), F.max("lat").alias("_hi"))
+    near = lambda c: F.abs(F.col(c) - F.col("_a")) < half_deg
+    close = asked.join(kept, ["_ca", "_co"]).where((F.abs(F.col("lon") - F.col("_o")) < half_deg) & (near("_lo") | near("_hi"))).select("id").distinct()
+    return left.drop("_ca", "_co").join(close, "id", "left_anti")
 
 
 def counts_within(points: DataFrame, others: DataFrame, radii_m: Sequence[float]) -> DataFrame:

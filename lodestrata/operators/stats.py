@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules
+from lodestrata.runtime import cut
 
 MIN_N = 5
 # Statuses that count as assessed.
@@ -47,15 +49,44 @@ def modal(df: DataFrame, by: Sequence[str], value: str, order: str) -> DataFrame
     return n.groupBy(*by).agg(F.min(F.struct(-F.col("n"), "_o", value)).alias("_m")).select(*by, F.col(f"_m.{value}").alias("modal"))
 
 
+def medians(df: DataFrame, value: str, group: Sequence[str] = (), name: str = "median") -> DataFrame:
+    """(group, median) of the non-null values of each group, exact, without a task
+    that holds a group: equal values are counted, ranges of (group, value) are summed
+    up alone, and the places in the middle are found by the sums before them.
+
+    Groups may be null; a group without values has no row. Ties count as often as
+    they come; of an even number of values it is the mean of the two in the middle.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*group) if group else F.lit(0)
+    n = df.where(F.col(value).isNotNull()).select(key.alias("_g"), F.col(value).cast("double").alias("_v")).groupBy("_g", "_v").agg(F.count("*").alias("_c"))
+    ranged = cut(n.repartitionByRange(parts, "_g", "_v").withColumn("_p", F.spark_partition_id()), "ranges")
+    # of each group as many rows as it has ranges
+    sums = ranged.groupBy("_g", "_p").agg(F.sum("_c").alias("_s"))
+    own = W.partitionBy("_g")
+    before = sums.withColumn("_all", F.sum("_s").over(own)).withColumn("_before", F.sum("_s").over(own.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s"))
+    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    # only the ranges that hold a middle are put in order
+    middle = before.where((F.col("_before") <= hi) & (F.col("_before") + F.col("_s") > lo)).select(F.col("_g").alias("_g2"), F.col("_p").alias("_p2"), "_all", "_before")
+    rows = ranged.join(middle, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_p") == F.col("_p2")))
+    upto = rows.withColumn("_end", F.col("_before") + F.sum("_c").over(W.partitionBy("_g", "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
+    at = lambda k: (F.col("_end") > k) & (F.col("_end") - F.col("_c") <= k)
+    got = upto.where(at(lo) | at(hi)).groupBy("_g").agg(F.avg("_v").alias(name))
+    return got.select(*([f"_g.{g}" for g in group] if group else []), name)
+
+
 def index(df: DataFrame, group: str, score: str, weight: str, documentation: str, verified: Column, least: int = MIN_N) -> DataFrame:
     """Index of a group: mean, letter with reserve, median documentation, and the
     mean by weight where enough rows have one. Small groups get their count alone."""
     has = F.col(score).isNotNull()
     heavy = has & (F.col(weight) > 0)
     g = df.groupBy(group).agg(
-        F.count(score).alias("n"), F.round(F.avg(score), 1).alias("_mean"), F.round(F.median(documentation), 3).alias("_doc"), F.bool_or(verified).alias("_v"),
+        F.count(score).alias("n"), F.round(F.avg(score), 1).alias("_mean"), F.bool_or(verified).alias("_v"),
         F.count_if(heavy).alias("_nw"), F.round(F.try_divide(F.sum(F.when(heavy, F.col(score) * F.col(weight))), F.sum(F.when(heavy, F.col(weight)))), 1).alias("_wm"),
     )
+    mid = medians(df, documentation, [group], "_mid").withColumnRenamed(group, "_group")
+    g = g.join(mid, F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("_doc", F.round("_mid", 3))
     ok = F.col("n") >= least
     return g.select(
         group, "n", ok.alias("eligible"), F.when(ok, F.col("_mean")).alias("mean"), F.when(ok, rules.reserved(rules.letter(F.col("_mean"), None), F.coalesce("_v", F.lit(False)))).alias("grade"),

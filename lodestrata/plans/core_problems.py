@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import history, nearby, nested
-from lodestrata.runtime import table
+from lodestrata.runtime import shared_path, table
 
 NEAR_M = 2000.0
 
@@ -55,8 +55,11 @@ def p4_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named leaves of the indicators and facts in the raw payloads."""
-    rows = nested.tagged(table(spark, sf_dir, "raw_records"), "record_no", "payload")
+    """Named leaves of the indicators and facts in the raw payloads: written by tag,
+    read as typed tables."""
+    path = shared_path(spark, "nested")
+    nested.write_tables(nested.tagged(table(spark, sf_dir, "raw_records"), "record_no", "payload"), path)
+    rows = nested.read_tables(spark, path)
     wanted = {
         "indicator_proxies": ("indicator", ["public_inquiry_held"]),
         "indicator_source": ("indicator", ["archived_url"]),
@@ -67,9 +70,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows each flat table has, and how many lack their parent."""
+    """How many rows each flat table has, how many are roots, and how many of their keys differ."""
     rows = nested.tagged(table(spark, sf_dir, "raw_records"), "record_no", "payload")
-    return rows.groupBy("tag").agg(F.count("*").alias("n_rows"), F.count_if(F.col("parent_key").isNull()).alias("n_roots"))
+    # keys are counted by their records, each of which lies in one task
+    own = rows.groupBy("tag", "record_no").agg(F.count("*").alias("n"), F.count_if(F.col("parent_key").isNull()).alias("roots"), F.size(F.collect_set("row_key")).alias("keys"))
+    return own.groupBy("tag").agg(F.sum("n").alias("n_rows"), F.sum("roots").alias("n_roots"), F.sum("keys").alias("n_keys"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_satellites, p5_found, p5_tables)}

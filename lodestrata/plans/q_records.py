@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules, text
-from lodestrata.operators import scoring, stats, tables
+from lodestrata.operators import gates, scoring, stats, tables
 from lodestrata.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -109,7 +109,7 @@ def country_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_nationkey, round(median(c_acctbal), 4) AS mid FROM customer GROUP BY c_nationkey")
 def median_of_group(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.round(F.median("c_acctbal"), 4).alias("mid"))
+    return stats.medians(table(spark, d, "customer"), "c_acctbal", ["c_nationkey"]).select("c_nationkey", F.round("median", 4).alias("mid"))
 
 
 @query("SELECT l_suppkey, CASE WHEN count(*) FILTER (l_quantity > 0) >= 5 THEN round(sum(l_extendedprice * l_quantity) / nullif(sum(l_quantity), 0), 3) END AS weighted FROM lineitem GROUP BY l_suppkey")
@@ -121,7 +121,7 @@ def value_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH k AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS v FROM customer) SELECT c_custkey, round(coalesce(v, median(v) OVER (PARTITION BY c_nationkey)), 4) AS filled FROM k")
 def median_backfill(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("v"))
-    mid = k.groupBy("c_nationkey").agg(F.median("v").alias("mid"))
+    mid = stats.medians(k, "v", ["c_nationkey"], "mid")
     return tables.lookup(k, mid, ["c_nationkey"]).select("c_custkey", F.round(F.coalesce("v", "mid"), 4).alias("filled"))
 
 
@@ -186,12 +186,12 @@ def constraint_ranking(spark: SparkSession, d: str) -> DataFrame:
 # Flags, masks, updates
 
 
-@query("""SELECT watch_no, CASE WHEN list_contains(k, 'moratorium') THEN 'moratorium' WHEN list_has_any(k, ['opposition', 'legal_action', 'petition']) THEN 'contested' ELSE 'announced_project' END AS marker
+@query("""SELECT watch_no, CASE WHEN list_contains(k, 'moratorium') THEN 'moratorium' WHEN list_has_any(k, ['opposition', 'appeal', 'petition']) THEN 'opposition' ELSE 'announced_project' END AS marker
     FROM (SELECT watch_no, list_transform(coalesce(facts, []), lambda f: f.kind) AS k FROM watchlist)""")
 def priority_kind(spark: SparkSession, d: str) -> DataFrame:
     k = F.coalesce(F.transform("facts", lambda f: f["kind"]), F.array().cast("array<string>"))
     has = lambda *v: F.coalesce(F.exists(k, lambda x: x.isin(*v)), F.lit(False))
-    return table(spark, d, "watchlist").select("watch_no", rules.ladder([(has("moratorium"), "moratorium"), (has("opposition", "legal_action", "petition"), "contested")], "announced_project").alias("marker"))
+    return table(spark, d, "watchlist").select("watch_no", rules.ladder([(has("moratorium"), "moratorium"), (has("opposition", "appeal", "petition"), "opposition")], "announced_project").alias("marker"))
 
 
 @query("""SELECT watch_no, array_to_string(list_filter([CASE WHEN name IS NULL OR trim(name) = '' THEN 'no_name' END, CASE WHEN source.url IS NULL THEN 'no_source' END, CASE WHEN municipality IS NULL THEN 'no_place' END, CASE WHEN operator IS NULL THEN 'no_operator' END], lambda x: x IS NOT NULL), ',') AS flags,
@@ -280,9 +280,47 @@ def json_field_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")).where("k is not null")
 
 
-@query("""SELECT record_no, regexp_matches(payload, '"(grade|score|rating)s?"\\s*:') AS has_grade FROM raw_records WHERE payload IS NOT NULL""")
+_KEYS = "('id', 'kind', 'grade', 'grades', 'score', 'confidence', 'letter', 'note', 'documentation', 'url', 'archived_url')"
+
+
+@query(f"""WITH r AS (SELECT CAST(record_no AS VARCHAR) AS entity, payload FROM raw_records WHERE CASE WHEN json_valid(payload) THEN true ELSE false END)
+    SELECT entity, key, count(*) AS n FROM (SELECT r.entity, t.key FROM r, json_tree(r.payload) t WHERE t.key IN {_KEYS}) GROUP BY ALL""")
 def recursive_key_scan(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_records").where("payload is not null").select("record_no", F.col("payload").rlike(r'"(grade|score|rating)s?"\s*:').alias("has_grade"))
+    """How often each key of a list stands in each record, at any depth."""
+    found = gates.keys_of(table(spark, d, "raw_records"), "record_no", "payload", [k.strip(" '") for k in _KEYS.strip("()").split(",")])
+    return found.groupBy("entity", "key").agg(F.count("*").alias("n"))
+
+
+_MEASURED = "SELECT DISTINCT row_no, site_id, indicator_id, status, value_str, source.title AS title, source.url AS url FROM indicators"
+
+
+@query(f"""SELECT DISTINCT 'power' AS gate, site_id AS entity, 'a measured figure rests on no register' AS message FROM ({_MEASURED})
+    WHERE status = 'measured' AND regexp_extract(coalesce(title, ''), '(?i)puissance\\s+[\\d.]+\\s*MW\\s*\\(([^)]+)\\)', 1) <> '' AND NOT regexp_matches(regexp_extract(coalesce(title, ''), '(?i)puissance\\s+[\\d.]+\\s*MW\\s*\\(([^)]+)\\)', 1), '(?i)EED|RVO|registre r[ée]glementaire|regulatory register')""")
+def gate_power_provenance(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "indicators")
+    return gates.power_provenance(own.withColumn("indicator_id", F.lit("L2"))).distinct()
+
+
+@query(f"""WITH i AS ({_MEASURED}), open AS (SELECT DISTINCT site_id FROM i WHERE indicator_id = 'T2' AND status = 'measured' AND value_str IN ('full_dossier_online', 'partial'))
+    SELECT DISTINCT 'trace' AS gate, site_id AS entity, 'missing without a source although a dossier is open' AS message FROM i SEMI JOIN open USING (site_id) WHERE status = 'missing' AND url IS NULL AND title IS NULL
+    UNION ALL SELECT DISTINCT 'trace', site_id, 'not collected in a published record' FROM i JOIN (SELECT DISTINCT id FROM scores WHERE project_status = 'operational') s ON s.id = i.site_id WHERE status = 'not_collected'""")
+def gate_read_traces(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "indicators").select("site_id", "indicator_id", "status", "value_str", F.when(F.col("source.url").isNotNull() | F.col("source.title").isNotNull(), F.col("source")).alias("source"))
+    ids = [r[0] for r in own.select("indicator_id").distinct().where("indicator_id is not null").collect()]  # the indicators of the methodology
+    sites = table(spark, d, "scores").select("id", F.struct(F.when(F.col("project_status") == "operational", "published").alias("status")).alias("publication")).distinct()
+    return gates.read_traces(sites, own, ids, ids).distinct()
+
+
+@query("SELECT 'twice' AS gate, id AS entity, 'the id comes twice' AS message FROM watchlist GROUP BY id HAVING count(*) > 1")
+def gate_ids_twice(spark: SparkSession, d: str) -> DataFrame:
+    return gates.twice(table(spark, d, "watchlist"), "id")
+
+
+@query("""SELECT 'version' AS gate, dc_id AS entity, 'a journal entry is of another version' AS message FROM (SELECT dc_id, methodology_version FROM audit WHERE methodology_version IS DISTINCT FROM '1.0' AND dc_id IS NOT NULL)
+    UNION ALL SELECT DISTINCT 'version', dc_id, 'a real record is scored by a draft' FROM audit WHERE NOT starts_with(dc_id, 'zz-')""")
+def gate_versions(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "audit").where("dc_id is not null").groupBy(F.col("dc_id").alias("id")).agg(F.collect_list(F.struct("methodology_version")).alias("score_history"))
+    return gates.against_draft(h, "1.0", published=False)
 
 
 _FOLD = "trim(regexp_replace(lower(translate({x}, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"

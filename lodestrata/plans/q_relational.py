@@ -89,14 +89,15 @@ def merge_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return tables.merge_sources(w, F.concat("country", F.lit("/"), place), ["watch_no"], "url", ["watch_no", "name"]).drop("merge_key")
 
 
-@query("""SELECT o_orderkey, coalesce(n.o_totalprice, b.o_totalprice) AS o_totalprice, CASE WHEN b.o_orderkey IS NULL THEN n.o_orderstatus WHEN b.o_orderstatus = 'F' THEN 'F' WHEN n.o_orderkey IS NOT NULL THEN n.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus
-    FROM (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0) b FULL JOIN (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, 'P' AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0) n USING (o_orderkey)""")
+@query("""SELECT k, coalesce(n.spent, b.c_acctbal) AS amount, CASE WHEN n.k IS NULL THEN b.c_mktsegment WHEN b.k IS NULL THEN 'unknown' WHEN b.c_mktsegment = 'BUILDING' THEN b.c_mktsegment ELSE n.standing END AS standing
+    FROM (SELECT c_custkey AS k, c_acctbal, c_mktsegment FROM customer) b
+    FULL JOIN (SELECT CAST(user_id AS BIGINT) AS k, round(sum(value), 2) AS spent, 'active' AS standing FROM events WHERE user_id IS NOT NULL GROUP BY user_id) n USING (k)""")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    base = o.where("o_orderkey % 3 <> 0")
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("P").alias("o_orderstatus"))
-    status = F.when(F.col("o_o_orderstatus") == "F", "F").otherwise(F.coalesce("n_o_orderstatus", "o_o_orderstatus"))
-    return tables.merged(base, new, "o_orderkey", {"o_orderstatus": status}, ["o_totalprice"])
+    base = table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("k"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("standing"))
+    new = table(spark, d, "events").where("user_id is not null").groupBy(F.col("user_id").cast("bigint").alias("k")).agg(F.round(F.sum("value"), 2).alias("amount"), F.lit("active").alias("standing"))
+    old, now = F.col("o_standing"), F.col("n_standing")
+    standing = F.when(now.isNull(), old).when(old.isNull(), F.lit("unknown")).when(old == "BUILDING", old).otherwise(now)
+    return tables.merged(base, new, "k", {"standing": standing}, ["amount"])
 
 
 # Distances
@@ -137,7 +138,7 @@ def box_anti_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_PTS} SELECT c.id AS c_custkey, arg_min(s.id, (round({_DIST}, 3), s.id)) AS s_suppkey, round(min({_DIST}) / 1000, 3) AS km FROM c CROSS JOIN s GROUP BY c.id")
 def nearest_neighbour(spark: SparkSession, d: str) -> DataFrame:
     c, s = _both(spark, d)
-    return spatial.nearest(c, s.select("id", "lat", "lon"), first_m=1_000_000.0).select(F.col("query_id").alias("c_custkey"), F.col("candidate_id").alias("s_suppkey"), F.round(F.col("metres") / 1000, 3).alias("km"))
+    return spatial.nearest(c, s.select("id", "lat", "lon")).select(F.col("query_id").alias("c_custkey"), F.col("candidate_id").alias("s_suppkey"), F.round(F.col("metres") / 1000, 3).alias("km"))
 
 
 @query(f"WITH {_PTS}, p AS (SELECT * FROM s WHERE s_acctbal > 5000 OR NOT EXISTS (SELECT 1 FROM s WHERE s_acctbal > 5000)) SELECT c.id AS c_custkey, arg_min(s.id, (round({_DIST}, 3), s.id)) AS s_suppkey FROM c CROSS JOIN p s GROUP BY c.id")
@@ -145,7 +146,7 @@ def nearest_preferring(spark: SparkSession, d: str) -> DataFrame:
     c, s = _both(spark, d)
     good = s.where("s_acctbal > 5000")
     pool = s if good.isEmpty() else good
-    return spatial.nearest(c, pool.select("id", "lat", "lon"), first_m=1_000_000.0).select(F.col("query_id").alias("c_custkey"), F.col("candidate_id").alias("s_suppkey"))
+    return spatial.nearest(c, pool.select("id", "lat", "lon")).select(F.col("query_id").alias("c_custkey"), F.col("candidate_id").alias("s_suppkey"))
 
 
 @query(f"WITH {_PTS} SELECT c.id AS c_custkey, CASE WHEN min({_DIST}) <= 100000 THEN 'overlap' WHEN min({_DIST}) <= 500000 THEN 'adjacent' WHEN min({_DIST}) <= 900000 THEN 'near' ELSE 'distant' END AS ring FROM c CROSS JOIN s GROUP BY c.id")

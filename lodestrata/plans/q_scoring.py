@@ -241,9 +241,10 @@ def coalesce_crosscheck(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scores").select("id", F.coalesce(F.nullif(F.trim("operator"), F.lit("")), "municipality").alias("value"), (F.col("operator") == F.col("municipality")).alias("agrees")).distinct()
 
 
-@query("SELECT n.n_nationkey AS n_nationkey, e.event_type AS event_type, coalesce(c.n, 0) AS n FROM nation n CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type) e LEFT JOIN (SELECT user_id % 25 AS k, event_type, count(*) AS n FROM events WHERE event_type <> 'error' OR user_id % 2 = 0 GROUP BY ALL) c ON c.k = n.n_nationkey AND c.event_type = e.event_type")
+@query("SELECT n.n_nationkey AS n_nationkey, e.event_type AS event_type, coalesce(c.n, 0) AS n FROM nation n CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'refund', 'signup', 'view']) AS event_type) e LEFT JOIN (SELECT user_id % 25 AS k, event_type, count(*) AS n FROM events GROUP BY ALL) c ON c.k = n.n_nationkey AND c.event_type = e.event_type")
 def pad_missing_grid(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.operators.tables import padded
 
-    c = table(spark, d, "events").where("event_type <> 'error' or user_id % 2 = 0").groupBy(F.pmod("user_id", F.lit(25)).cast("int").alias("n_nationkey"), "event_type").agg(F.count("*").alias("n"))
-    return padded(table(spark, d, "nation").select("n_nationkey"), ["click", "error", "purchase", "signup", "view"], "event_type", c, ["n_nationkey", "event_type"], {"n": 0}).select("n_nationkey", "event_type", "n")
+    # no event is a refund, so its cells are all padded
+    c = table(spark, d, "events").groupBy(F.pmod("user_id", F.lit(25)).cast("int").alias("n_nationkey"), "event_type").agg(F.count("*").alias("n"))
+    return padded(table(spark, d, "nation").select("n_nationkey"), ["click", "error", "purchase", "refund", "signup", "view"], "event_type", c, ["n_nationkey", "event_type"], {"n": 0}).select("n_nationkey", "event_type", "n")

@@ -10,5 +10,5 @@ POINTS = [(1, 0.5, 0.5, "a"), (2, 1.0, 2.0, "b"), (3, 3.0, 4.0, "b?")]
 def points(where: str, page: int) -> Iterator[tuple]:
     """Rows of the layer; the one clause it knows is an exact label."""
     for row in POINTS:
-        if not where or where == f"label={row[3]!r}":
+        if not where or where == f"label = '{row[3]}'":
             yield row

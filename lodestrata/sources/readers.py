@@ -71,7 +71,7 @@ def long_indicators(sites: DataFrame) -> DataFrame:
     v = F.col("i.value")
     return i.select(
         F.col("id").alias("site_id"), F.col("i.id").alias("indicator_id"), F.col("i.status").alias("status"), v.try_cast("double").alias("value_num"),
-        F.when(v.isin("true", "false"), v.cast("string") == "true").alias("value_bool"), F.when(v.try_cast("double").isNull() & ~v.isin("true", "false"), v).alias("value_str"), F.col("i.proxies").alias("proxies"), F.col("i.source").alias("source"),
+        F.when(v.isin("true", "false"), v.cast("string") == "true").alias("value_bool"), F.when(v.try_cast("double").isNull() & ~v.isin("true", "false"), v).alias("value_str"), F.col("i.proxies").alias("proxies"), F.col("i.source").alias("source"), F.col("i.verification_source").alias("verification_source"),
     )
 
 

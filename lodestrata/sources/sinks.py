@@ -45,7 +45,10 @@ def write_table_text(df: DataFrame, path: str) -> None:
 
 
 def coverage_report(matrix: DataFrame, label: str, columns: list[str], most: int = 1000) -> str:
-    """A small matrix as a Markdown table, in order of its labels."""
-    rows = matrix.select(label, *columns).orderBy(label).limit(most).collect()
+    """A small matrix as a Markdown table, in order of its labels; more rows than
+    ``most`` are an error: such a matrix belongs in a table."""
+    rows = matrix.select(label, *columns).orderBy(label).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     lines = ["| " + " | ".join([label, *columns]) + " |", "|" + "---|" * (len(columns) + 1)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"

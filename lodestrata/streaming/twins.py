@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestrata.runtime import drop_path, names_in
+
 
 def first_seen(stream: DataFrame, key: list[str], time: str, late: str = "8 days") -> DataFrame:
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
@@ -40,16 +42,21 @@ def changes(batch: DataFrame, last: DataFrame | None, key: str, order: list[str]
 
 
 def change_log(stream: DataFrame, path: str, checkpoint: str, key: str, order: list[str], state: list[str]) -> StreamingQuery:
-    """Appends changes to a table under ``path``, one folder per batch, which a
-    replay of the batch replaces."""
+    """Appends changes to a table under ``path/log``, one folder per batch, which a
+    replay of the batch replaces. The last state of each key stands in
+    ``path/state``, one folder per batch, of which the two newest are kept; a
+    batch reads the state before it and never the log."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            log = spark.read.parquet(path).where(F.col("batch") < number)
-            last = log.groupBy(key).agg(*[F.max_by(s, F.struct(*order)).alias(s) for s in state])
-        except Exception:  # nothing written yet
-            last = None
-        changes(batch, last, key, order, state).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        known = sorted(int(n.split("=")[1]) for n in names_in(spark, f"{path}/state") if n.startswith("batch="))
+        before = [n for n in known if n < number]
+        cols = [key, *order, *state]
+        last = spark.read.parquet(f"{path}/state/batch={before[-1]}") if before else None
+        changes(batch, last, key, order, state).write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+        rows = batch.select(*cols) if last is None else last.select(*cols).unionByName(batch.select(*cols))
+        rows.groupBy(key).agg(F.max_by(F.struct(*order, *state), F.struct(*order)).alias("_s")).select(key, "_s.*").write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        for old in before[:-1]:
+            drop_path(spark, f"{path}/state/batch={old}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

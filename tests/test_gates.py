@@ -45,7 +45,7 @@ def test_each_gate_fires_alone(spark, tmp_path, over, gate):
 def test_texts_keys_weights_orders(spark):
     t = spark.createDataFrame([(1, "It was given the grade B today"), (2, "a building B permit"), (3, None), (4, "noté C")], "k int, t string")
     assert sorted(r.entity for r in gates.letters_in_prose(t, "k", "t").collect()) == ["1", "4"]
-    raw = spark.createDataFrame([(1, '{"a": {"Grade": 1}}'), (2, '{"a": "grade"}'), (3, None)], "k int, p string")
+    raw = spark.createDataFrame([(1, '{"a": [{"b": {"grade": 1}}]}'), (2, '{"a": "\\"grade\\": 1", "Grade_": 2}'), (3, None), (4, '{"grade"'), (5, '["note"]')], "k int, p string")
     assert [r.entity for r in gates.grade_like_keys(raw, "k", "p").collect()] == ["1"]
     d = spark.createDataFrame([("p", 0.5, 1), ("p", 0.5, 2), ("q", 0.4, 1), ("q", 0.3, 2)], "g string, w double, o int")
     assert [r.entity for r in gates.weights(d, "g", "w").collect()] == ["q"] and [r.entity for r in gates.monotone(d, "g", "o", "w").collect()] == ["q"]
@@ -60,3 +60,27 @@ def test_public_projection_and_journal(spark, tmp_path):
     assert artifacts.unrecorded_changes(sites, artifacts.with_journal_fields(scores.withColumn("site_grade", F.lit("A")), "1")).count() == 1
     m = artifacts.masked(scores, F.lit(True), ["site_grade"], ["confidence"]).first()
     assert m.site_grade == "pending" and m.confidence is None
+
+
+def test_definitions(spark):
+    defs = spark.createDataFrame([("E1", "p"), ("E1", "p"), ("E2", "x")], "indicator string, pillar string")
+    pillars = spark.createDataFrame([("p",)], "pillar string")
+    assert sorted((r.entity, r.message) for r in gates.pillar_references(defs, pillars).collect()) == [("E1", "the indicator is defined twice"), ("E2", "the pillar is unknown")]
+    rows = [("ok", ["a", "b"], {"b": 1.0, "a": 2.0}), ("rises", ["a", "b"], {"a": 1.0, "b": 2.0}), ("short", ["a"], {"a": 1.0, "b": 2.0}), ("none", None, {"a": 1.0}), ("empty", [], {}), ("nocat", ["a"], None)]
+    d = spark.createDataFrame(rows, "indicator string, order array<string>, categories map<string,double>")
+    assert sorted((r.entity, r.message[:10]) for r in gates.exact_order(d).collect()) == [("nocat", "the declar"), ("rises", "scores ris"), ("short", "the declar")]
+
+
+def test_traces_versions_and_provenance(spark, tmp_path):
+    src = {**SRC, "title": "Puissance 12.5 MW (presse locale)"}
+    s = site(indicators=[{"id": "T2", "status": "measured", "value": "partial", "source": SRC}, {"id": "E1", "status": "missing"}, {"id": "E4", "status": "not_collected"}, {"id": "L2", "status": "measured", "value": 7, "source": src}, {"id": "W4", "status": "measured", "value": 1, "source": SRC}], publication={"status": "published"})
+    sites, facts = load(spark, tmp_path, s)
+    got = {(r.gate, r.entity) for r in gates.all_gates(sites, facts, ["E1", "E4", "L2", "T2", "W4"], version="2", published=False, project_ids=["E1"], scored_ids=["E4"]).collect()}
+    assert got == {("trace", "aa-x"), ("power", "aa-x"), ("version", "aa-x"), ("verification", "aa-x")}
+    assert gates.read_traces(sites, facts, ["E1"], ["E4"]).count() == 2 and gates.against_draft(sites, "1", True).count() == 0
+    ok = load(spark, tmp_path, site(indicators=[{"id": "W4", "status": "measured", "value": 1, "source": SRC, "verification_source": SRC}]))[1]
+    assert gates.declared_as_measured(ok).count() == 0 and gates.power_provenance(ok).count() == 0
+
+
+def test_ids_twice(spark):
+    assert [r.entity for r in gates.twice(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string"), "id").collect()] == ["a"]

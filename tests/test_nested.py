@@ -41,5 +41,18 @@ def test_links_and_tables(spark, tmp_path):
     assert src.parent_key == fact.row_key and fact.parent_key == n.typed(back, "record").first().row_key and src.url == "u"
 
 
+def test_keys_are_unique_and_nothing_is_left_out(spark):
+    twice = {"proxies": [{"public_inquiry_held": True}, {"public_inquiry_held": False}], "proxy": {"cndp_referral": True}, "source": {"url": "a"}, "Sources": ["b", {"url": "c", "parts": [{"no": 1}, {"no": 2}]}]}
+    value = {"id": "r", "indicators": [twice, None, twice], "indicator": {"1": twice, "01": twice}, "contestation": [{"kind": "x", "label": {"fr": "y"}}], "source": {"url": "own"}, "scores": [1, 2]}
+    rows = list(n.visit(7, [value, value]))
+    keys = [r[2] for r in rows]
+    assert len(set(keys)) == len(keys) and {r[3] for r in rows if r[3]} <= set(keys)
+    tags = {t: sum(r[0] == t for r in rows) for t in {r[0] for r in rows}}
+    assert tags == {"record": 2, "indicator": 8, "indicator_proxies": 24, "indicator_source": 24, "indicator_source_parts": 16, "contestation": 2, "contestation_label": 2, "record_source": 2}
+    assert rows[0][5] == {"id": "r", "scores": "[1, 2]"}
+    df = spark.createDataFrame([(7, json.dumps(value))], "no bigint, body string")
+    assert [r.no for r in n.typed(n.tagged(df, "no", "body"), "indicator_source_parts", "no int").orderBy("row_key").collect()] == [1, 2] * 4
+
+
 def test_truth():
     assert [n.truth(v) for v in (True, False, 1, 0, "Ja", " NON ", "?", None, float("nan"))] == [True, False, True, False, True, False, None, None, None]

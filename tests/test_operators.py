@@ -100,7 +100,7 @@ def test_change_stream(spark, tmp_path):
     twins.change_log(stream, str(tmp_path / "log"), str(tmp_path / "cp"), "k", ["o"], ["s"]).awaitTermination(60)
     (src / "2.json").write_text(json.dumps({"k": "a", "o": 4, "s": "y"}))
     twins.change_log(stream, str(tmp_path / "log"), str(tmp_path / "cp"), "k", ["o"], ["s"]).awaitTermination(60)
-    assert sorted(r.o for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 3]
+    assert sorted(r.o for r in spark.read.parquet(str(tmp_path / "log" / "log")).collect()) == [1, 3]
 
 
 def test_first_seen_stream(spark, tmp_path):
@@ -118,7 +118,7 @@ def test_first_seen_stream(spark, tmp_path):
 def test_nearest_everywhere(spark):
     p = spark.createDataFrame([(1, 0.0, 1.0), (2, 80.0, 179.0)], "id bigint, lat double, lon double")
     o = spark.createDataFrame([(7, 0.0, -179.0), (8, 0.0, -179.0)], "id bigint, lat double, lon double")
-    assert sorted((r[0], r[1]) for r in spatial.nearest(p, o, 1000.0, 50.0).collect()) == [(1, 7), (2, 7)]
+    assert sorted((r[0], r[1]) for r in spatial.nearest(p, o).collect()) == [(1, 7), (2, 7)]
     assert spatial.nearest(p, o.where("false")).count() == 0
 
 
@@ -159,3 +159,44 @@ def test_percentiles(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 5.0)], "g string, v double")
     got = sorted((r.g, str(r.v), r.pct_at_or_below, r.pct_at_or_above) for r in ranking.percentile_labels(df.where("v is not null"), "v", ["g"]).collect())
     assert got == [("a", "1.0", 67, 99), ("a", "1.0", 67, 99), ("a", "2.0", 99, 34), ("b", "5.0", 99, 99)]
+
+
+def test_medians_equal_brute_force(spark):
+    import random
+    import statistics
+
+    from lodestrata.operators import stats
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), float(rng.randint(0, 9)) if rng.random() < 0.9 else None, "x") for _ in range(500)] + [("one", 4.0, "x"), ("none", None, "x")]
+    df = spark.createDataFrame(rows, "g string, v double, _c string")
+    want = {}
+    for g, v, _ in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    assert {r.g: r.median for r in stats.medians(df, "v", ["g"]).collect()} == {g: statistics.median(v) for g, v in want.items()}
+    assert stats.medians(df, "v").first().median == statistics.median(v for _, v, _ in rows if v is not None)
+    assert stats.medians(df.where("false"), "v", ["g"]).count() == 0
+
+
+def test_nearest_equals_brute_force(spark):
+    import random
+
+    from lodestrata.operators.nearby import great_circle_m
+
+    rng = random.Random(5)
+    place = lambda k: (k, rng.choice([rng.uniform(-90, 90), 10.0, 90.0]), rng.choice([rng.uniform(-180, 180), 180.0, -180.0]))
+    points, others = [place(k) for k in range(300)], [place(k) for k in range(200)] + [(900, 10.0, 20.0), (800, 10.0, 20.0)]
+    got = {r.query_id: r.metres for r in spatial.nearest(spark.createDataFrame(points, "id bigint, lat double, lon double"), spark.createDataFrame(others, "id bigint, lat double, lon double")).collect()}
+    assert len(got) == 300
+    for k, lat, lon in points:
+        assert abs(got[k] - min(float(great_circle_m(lat, lon, a, o)) for _, a, o in others)) < 1e-3
+
+
+def test_outside_boxes_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    points, others = ([(k, rng.uniform(0, 3), rng.uniform(0, 3)) for k in range(n)] for n in (200, 60))
+    got = {r.id for r in spatial.outside_boxes(spark.createDataFrame(points, "id bigint, lat double, lon double"), spark.createDataFrame(others, "id bigint, lat double, lon double"), 0.2).collect()}
+    assert got == {k for k, a, o in points if not any(abs(a - x) < 0.2 and abs(o - y) < 0.2 for _, x, y in others)} and got
