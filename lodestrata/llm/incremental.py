@@ -132,7 +132,7 @@ GRAMS = f"array_distinct(transform(sequence(1, greatest(1, length(core) + 3 - {G
 #: SQL: two edits only count where the place is known.
 TWO = "(length(core) >= 6 and place <> '')"
 #: SQL: what is left of a name without the letters that verification lets go.
-LEFT = f"""case when core = '' then array() when {TWO} and length(core) <= {LONG}
+LEFT = f"""case when core = '' then array() when length(core) > {LONG} then array(core) when {TWO}
     then concat(array(core), {_without_one('core')}, flatten(transform({_without_one('core')}, w -> {_without_one('w').replace('i ->', 'k ->').replace('i - 1', 'k - 1').replace('i + 1', 'k + 1')})))
     else concat(array(core), {_without_one('core')}) end"""
 #: SQL: cells at most one apart share a block of two.
@@ -142,7 +142,7 @@ WHERE = f"concat(if(place <> '', array('p'), array()), if(cell_a is not null, ar
 REST = f"""concat(
     if(place <> '', flatten(transform(words, w -> transform(array(substring(place, 1, 3), substring(place, -3, 3)), e -> concat_ws('|', 'o', country, w, e)))), array()),
     flatten(transform(coalesce(pages, array()), p -> transform({WHERE}, w -> concat_ws('|', 'u', country, p, w)))),
-    if({TWO} and length(core) >= {LONG - 1} and size({GRAMS}) <= {SPOILED}, array(concat_ws('|', 'f', country, unit)), array()))"""
+    if(length(core) >= {LONG - 1} and size({GRAMS}) <= {SPOILED}, array(concat_ws('|', 'f', country, unit)), array()))"""
 
 
 def signature_bucket(buckets: int) -> Column:
@@ -155,7 +155,7 @@ def postings(sigs: DataFrame, order: DataFrame, buckets: int) -> DataFrame:
     one = s.selectExpr("country", "unit", "core <> '' as named", "sig", f"explode(array_distinct({LEFT})) as w")
     by_name = one.selectExpr("xxhash64('n', country, unit, w) as token", "'n' as kind", "named", "sig", f"cast(pmod(xxhash64('n', country, unit, length(w), substring(w, 1, 1)), {buckets}) as int) as bucket")
     rest = s.selectExpr("core <> '' as named", "sig", f"explode(array_distinct({REST})) as w").selectExpr("xxhash64(w) as token", "substring(w, 1, 1) as kind", "named", "sig")
-    long = s.where(f"{TWO} and length(core) >= {LONG - 1}").selectExpr("core <> '' as named", "sig", "country", "unit", f"explode({GRAMS}) as gram")
+    long = s.where(f"length(core) >= {LONG - 1}").selectExpr("core <> '' as named", "sig", "country", "unit", f"explode({GRAMS}) as gram")
     rare = long.join(order, "gram", "left").groupBy("named", "sig", "country", "unit").agg(F.expr(f"slice(array_sort(collect_set(struct(coalesce(df, 0) as df, xxhash64(gram) as h, gram))), 1, {SPOILED + 1}) as r"))
     rare = rare.selectExpr("named", "sig", "country", "unit", "explode(r.gram) as g").selectExpr("xxhash64('g', country, unit, g) as token", "'g' as kind", "named", "sig")
     return by_name.unionByName(rest.unionByName(rare).withColumn("bucket", F.expr(f"cast(pmod(token, {buckets}) as int)")))

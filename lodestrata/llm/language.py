@@ -12,8 +12,11 @@ and documents mixed, so before the automata are built the sample's sentences are
 sorted by word frequencies over the whole sample, and those that don't belong
 are left out. What is labelled then is every document, whole.
 
-Edge cases: a null, empty or sentence-less text has no language and gives no
-row; mark-up, addresses, case and accents make no difference; very long texts
+A text without any whole sentence, such as one of headings, is one segment with all
+its lines, and its number of sentences is 0.
+
+Edge cases: a null or empty text, or one without words, has no language and gives
+no row; mark-up, addresses, case and accents make no difference; very long texts
 are read whole; if no usable label is there at all, there is nothing to learn
 from and the result is empty. Ties between languages go to the first in order.
 """
@@ -52,8 +55,8 @@ _CODE = np.full(128, len(ALPHABET), np.uint8)
 for _i, _c in enumerate(ALPHABET):
     _CODE[ord(_c)] = _i
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*>")
-_NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|\([^()]*\)")
-_QUOTED = re.compile(r"[«“„\"]\s*([^«»“”„\"]*?)\s*[»”\"]")
+_NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+")
+_QUOTED = re.compile(r"[«“„\"]\s*([^«»“”„\"]*?)\s*[»”\"]|\(\s*([^()]*?)\s*\)")
 _BREAK = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+")
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _END = re.compile(r"[.!?…]\s*[\"'»”’)\]]*\s*$")
@@ -69,8 +72,8 @@ def language_of_label(label: Column) -> Column:
 
 
 def _unquoted(m: re.Match) -> str:
-    """A quotation that is a sentence stands for itself; a mere phrase is left out."""
-    inner = m.group(1)
+    """A quotation or bracket that is a sentence stands for itself; a mere phrase is left out."""
+    inner = m.group(1) or m.group(2) or ""
     return f"\n{inner}\n" if _END.search(inner) and len(_WORDS.findall(inner)) >= MIN_WORDS and inner[:1].isupper() else " "
 
 
@@ -85,6 +88,11 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def pieces(text: str) -> list[str]:
+    """What a text without whole sentences consists of: its lines that hold words."""
+    return [p for p in _TAG.sub("\n", _NOISE.sub(" ", text)).split("\n") if _WORDS.search(p)]
+
+
 _LETTERS = re.compile(r"[^a-z']+")
 
 
@@ -249,9 +257,12 @@ def segment_languages(docs: DataFrame, key: str, label: str, text: str, training
                 b = whole.slice(lo, 1000)
                 parts: list[str] = []
                 owner: list[int] = []
+                whole_ones: list[bool] = []
                 for i, t in enumerate(b.column(2).to_pylist()):
                     if t:
                         own = sentences(t)
+                        whole_ones += [bool(own)] * (len(own) or 1)
+                        own = own or ["\n".join(pieces(t))]
                         parts += own
                         owner += [i] * len(own)
                 cols: list[list] = [[] for _ in _TYPES]
@@ -261,13 +272,13 @@ def segment_languages(docs: DataFrame, key: str, label: str, text: str, training
                     short = reduced(list(once))
                     counts = phrase_counts(short, flat, roots).astype(float)
                     counts[np.array([len(s) for s in short]) == 0] = 1e9
-                    _vote(b.column(0).to_pylist(), b.column(1).to_pylist(), np.array(owner), counts[which], np.array([len(s) for s in short])[which], cols)
+                    _vote(b.column(0).to_pylist(), b.column(1).to_pylist(), np.array(owner), counts[which], np.array([len(s) for s in short])[which], np.array(whole_ones), cols)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=["doc_id", "label", "lang", "main", "n_langs", "n_sentences", "chars", "confidence"])
 
     return docs.select(F.col(key).cast("bigint").alias("_k"), language_of_label(F.col(label)), F.col(text).cast("string")).where("_k is not null").mapInArrow(run, SCHEMA)
 
 
-def _vote(ids: list[int], labels: list[str | None], owner: np.ndarray, counts: np.ndarray, chars: np.ndarray, cols: list[list]) -> None:
+def _vote(ids: list[int], labels: list[str | None], owner: np.ndarray, counts: np.ndarray, chars: np.ndarray, whole: np.ndarray, cols: list[list]) -> None:
     best = counts.argmin(1)
     two = np.sort(counts, 1)[:, :2]
     sure = 1 - two[:, 0] / two[:, 1]
@@ -282,5 +293,5 @@ def _vote(ids: list[int], labels: list[str | None], owner: np.ndarray, counts: n
         for k in langs:
             m = own == k
             w = chars[lo:hi][m]
-            for c, v in zip(cols, (ids[owner[lo]], labels[owner[lo]], LANGUAGES[k], LANGUAGES[main], len(langs), int(m.sum()), int(w.sum()), float(np.average(sure[lo:hi][m], weights=np.maximum(w, 1))))):
+            for c, v in zip(cols, (ids[owner[lo]], labels[owner[lo]], LANGUAGES[k], LANGUAGES[main], len(langs), int(whole[lo:hi][m].sum()), int(w.sum()), float(np.average(sure[lo:hi][m], weights=np.maximum(w, 1))))):
                 c.append(v)

@@ -8,14 +8,22 @@ components, matched and unmatched, is fitted to the vectors without labels:
 * each component has its own means and variances; the variances are regularised
   by a share of those of all pairs and from below, so none collapses on ties;
 * similarities that can't be computed are marginalised, not guessed;
-* in every round of expectation-maximisation the posteriors are made transitive
+* a fit without constraints is the start; from there on, in every round of
+  expectation-maximisation, up to convergence, the posteriors are made transitive
   before they are summed up: if a record would match two others, the product of
   the two posteriors may not exceed the posterior that these two are the same,
   and what exceeds it is taken from the weaker one.
 
-The maximisation sees all pairs: the vectors lie on a grid, and the expected
-counts of its points are summed up by Spark. What comes to the driver is at most
-one row per point of the grid, however many pairs there are.
+The maximisation sees all pairs: the vectors lie on a grid, and pairs that lie
+alike (their own point, that of the record's best match and that of the two
+matches) are counted once by Spark, so a round reads the counts only. What comes
+to the driver is at most one row per point of the grid, however many pairs there
+are. Covariances are diagonal; that is part of the regularisation.
+
+Candidates share a block: what is left of the name without up to two letters, for
+names of over ``LONG`` letters one of five segments, at least one of which two
+edits leave whole, or organisation and place. Blocks with many records are cut
+into pieces that no task has to join alone.
 
 Edge cases: a null country, or a name without any letters, matches nothing;
 missing municipalities and organisations are no evidence either way; repeated
@@ -30,17 +38,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm import names
-from lodestrata.runtime import cut
+from lodestrata.runtime import cut, free
 
 #: Similarities are rounded to this step; the grid has (1 / STEP + 2) points per feature.
 STEP = 0.05
 FEATURES = ("core", "place", "org")
-ROUNDS = 12
+AXIS = round(1 / STEP) + 2
+#: Bounds on the rounds of the start and of the transitive fit; both end when no mean moves by more than ``STILL``.
+ROUNDS, STILL = 60, 1e-4
+#: Names longer than this are found by segments.
+LONG = 20
+#: Records of a block that are joined in one piece.
+PIECE = 5_000
 #: Share of the variance of all pairs that is added to each component's.
 REGULAR = 0.02
 #: No component is narrower than this; a slip of typing moves a similarity so far.
@@ -50,6 +64,20 @@ MIN_POSTERIOR = 0.5
 READ = "sig bigint, country string, core string, unit string, place string, org string, carried boolean, status string, blocks array<string>"
 
 
+def segments(core: str, sought: bool) -> set[str]:
+    """The five segments of a long name, or, of a name that is sought, all substrings
+    that can be a segment of a name at most two edits away."""
+    out, n = set(), len(core)
+    for size in range(n - 2, n + 3) if sought else (n,):
+        ends = [size * k // 5 for k in range(6)]
+        for k in range(5):
+            for move in range(-2, 3) if sought else (0,):
+                a, b = ends[k] + move, ends[k + 1] + move
+                if 0 <= a and b <= n:
+                    out.add(f"{size}/{k}/{core[a:b]}")
+    return out
+
+
 def _read(batches: Iterator[pa.RecordBatch], every_org: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sig, name, operator, muni, country, status = (b.column(k).to_pylist() for k in range(6))
@@ -62,7 +90,10 @@ def _read(batches: Iterator[pa.RecordBatch], every_org: bool) -> Iterator[pa.Rec
             c = (country[k] or "").strip().upper()
             blocks: list[str] = []
             if c and p.core:
-                blocks += [f"{c}|{p.unit}|{s}" for s in names.shortened(p.core, 2 if len(p.core) >= 5 else 1)]
+                if len(p.core) <= LONG:
+                    blocks += [f"{c}|{p.unit}|{s}" for s in names.shortened(p.core, 2 if len(p.core) >= 5 else 1)]
+                if len(p.core) >= LONG - 1:
+                    blocks += [f"{c}|{p.unit}|{s}" for s in segments(p.core, every_org)]
             if c and org and place and (every_org or not p.core):
                 ends = {place[:3], place[-3:]}
                 blocks += [f"{c}|@{names.FULL_NAME.get(w, w)}|{e}" for w in org.split() if len(w) > 3 for e in ends]
@@ -114,9 +145,13 @@ def vectors(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b) of signatures that share a block; a unit that differs parts them."""
-    x = left.select(F.col("sig").alias("a"), F.col("carried").alias("_ca"), F.explode("blocks").alias("block"))
+    x = left.select(F.col("sig").alias("a"), F.explode("blocks").alias("block"))
     y = right.select(F.col("sig").alias("b"), F.explode("blocks").alias("block"))
-    return x.join(y, "block").select("a", "b").distinct()
+    # large blocks are cut by the right side's records, and the left side's go to every piece
+    large = y.groupBy("block").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_k")).where("_k > 1")
+    x = x.join(large, "block", "left").select("a", "block", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1)).alias("_p"))
+    y = y.join(large, "block", "left").select("b", "block", F.pmod("b", F.coalesce("_k", F.lit(1))).cast("int").alias("_p"))
+    return x.join(y, ["block", "_p"]).select("a", "b").distinct()
 
 
 class Mixture:
@@ -148,82 +183,97 @@ class Mixture:
         self.prior = float(np.clip(matched.sum() / max(self.weight.sum(), 1e-9), 1e-6, 1 - 1e-6))
 
     def posterior(self) -> np.ndarray:
-        logs = []
+        return self.posterior_at(self.points)
+
+    def posterior_at(self, points: np.ndarray) -> np.ndarray:
+        logs, seen = [], ~np.isnan(points)
         for (mean, var), prior in zip(self.parts, (self.prior, 1 - self.prior)):
             # a similarity above the matches' mean is no evidence against a match
-            d = self.filled - mean
+            d = np.where(seen, points, 0.0) - mean
             if len(logs) == 0:
                 d = np.minimum(d, 0)
-            logs.append(math.log(prior) + np.where(self.seen, -0.5 * (d**2 / var + np.log(2 * np.pi * var)), 0).sum(1))
+            logs.append(math.log(prior) + np.where(seen, -0.5 * (d**2 / var + np.log(2 * np.pi * var)), 0).sum(1))
         return 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -700, 700)))
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def code(points: np.ndarray) -> np.ndarray:
+    """The number of each point of the grid; what wasn't computed has a place of its own."""
+    steps = np.where(np.isnan(points), 0, np.round(np.nan_to_num(points) / STEP) + 1).astype(np.int64)
+    return (steps[:, 0] * AXIS + steps[:, 1]) * AXIS + steps[:, 2]
+
+
+def every_point() -> np.ndarray:
+    axis = np.array([math.nan, *(k * STEP for k in range(AXIS - 1))])
+    return np.stack(np.meshgrid(axis, axis, axis, indexing="ij"), -1).reshape(-1, 3)
+
+
+def coded() -> Column:
+    """The number of a pair's point, as ``code`` has it."""
+    step = [F.coalesce(F.round(F.col(f) / STEP).cast("int") + 1, F.lit(0)) for f in FEATURES]
+    return (step[0] * AXIS + step[1]) * AXIS + step[2]
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The point of two matches of one record; different units are never the same."""
     for b in batches:
         c = [x.to_pylist() for x in b.columns]
-        got = [compare(x, y) if u == v else (0.0, 0.0, 0.0) for x, y, u, v in zip(zip(c[3], c[4], c[5]), zip(c[7], c[8], c[9]), c[6], c[10])]
-        cols = list(zip(*got)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array([-1.0 if x is None else x for x in v], pa.float64()) for v in cols)], names=["a", "b", "p1", *FEATURES])
+        got = [compare(x, y) if u == v else (0.0, 0.0, 0.0) for x, y, u, v in zip(zip(c[2], c[3], c[4]), zip(c[6], c[7], c[8]), c[5], c[9])]
+        points = np.array([[math.nan if v is None else v for v in g] for g in got], float).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(code(points))], names=["a", "b", "g2"])
 
 
-def _table(spark, points: np.ndarray, p: np.ndarray) -> DataFrame:
-    """The posteriors of the grid's points; null similarities are written as -1."""
-    rows = [(*(-1.0 if math.isnan(x) else float(x) for x in pt), float(q)) for pt, q in zip(points, p)]
-    return spark.createDataFrame(rows, "core double, place double, org double, p double")
+def transitive(post: np.ndarray) -> Column:
+    """Posterior of a pair at point g, when its record's best match is at g1 and the
+    two matches are at g2; -1: there is no better match."""
 
+    def run(g: pa.Array, g1: pa.Array, g2: pa.Array) -> pa.Array:
+        g, g1, g2 = (np.asarray(x.cast(pa.int64())) for x in (g, g1, g2))
+        most = np.where(g2 >= 0, post[np.maximum(g2, 0)] / np.maximum(post[np.maximum(g1, 0)], 1e-9), 1.0)
+        return pa.array(np.minimum(post[g], most))
 
-def _steps(df: DataFrame) -> DataFrame:
-    """Similarities as whole steps, to be joined on."""
-    return df.withColumns({f"_{f}": F.round(F.coalesce(F.col(f), F.lit(-1.0)) / STEP).cast("int") for f in FEATURES})
+    return F.arrow_udf(run, "double")("g", "g1", "g2")
 
 
-def fitted(pairs: DataFrame, right: DataFrame, outer: int = 3) -> DataFrame:
+def fitted(pairs: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, p): posteriors of pairs (a, b, core, place, org, tie), one mixture
-    fitted to all of them, transitive in every outer round."""
-    spark = pairs.sparkSession
-    grid = pairs.groupBy(*FEATURES).agg(F.count("*").cast("double").alias("n")).toPandas()
+    fitted to all of them, transitive in every round."""
+    keyed = pairs.withColumn("g", coded())
+    grid = keyed.groupBy("g").agg(F.count("*").cast("double").alias("n")).toPandas()  # one row per point at most
     if not len(grid):
         return pairs.select("a", "b", F.lit(0.0).alias("p"))
-    mix = Mixture(grid[list(FEATURES)].to_numpy(float), grid["n"].to_numpy(float))
-    for _ in range(ROUNDS * 5):
-        before = [q[0].copy() for q in mix.parts]
+    whole = every_point()
+    numbers = grid["g"].to_numpy(np.int64)
+    mix = Mixture(whole[numbers], grid["n"].to_numpy(float))
+
+    def moved(before: list) -> bool:
+        return any(np.abs(x[0] - y[0]).max() > STILL for x, y in zip(before, mix.parts))
+
+    for _ in range(ROUNDS):
+        before = mix.parts
         mix.fit(mix.posterior() * mix.weight)
-        if all(np.abs(x - q[0]).max() < 1e-4 for x, q in zip(before, mix.parts)):
+        if not moved(before):
             break
+    start = mix.posterior_at(whole)
+    w = W.partitionBy("a").orderBy(F.desc("_p"), F.desc("tie"), "b")
+    none = F.lit(-1).cast("bigint")
+    likely = keyed.withColumn("_p", F.arrow_udf(lambda g: pa.array(start[np.asarray(g)]), "double")("g"))
+    best = cut(likely.withColumn("b1", F.first("b").over(w)).withColumn("g1", F.first("g").over(w)), "best")
     said = right.select(F.col("sig").alias("b"), *[F.col(c).alias(f"{c}_r") for c in (*FEATURES, "unit")])
-    keyed = _steps(pairs)
-    steps = [f"_{f}" for f in FEATURES]
-    out = None
-    for k in range(outer):
-        post = _steps(_table(spark, mix.points, mix.posterior())).select(*steps, "p")
-        # at most (1 / STEP + 2) ** 3 rows, whatever the data
-        scored = keyed.join(F.broadcast(post), steps)
-        w = W.partitionBy("a").orderBy(F.desc("p"), F.desc("tie"), "b")
-        best = scored.withColumn("b1", F.first("b").over(w)).withColumn("p1", F.first("p").over(w))
-        best = cut(best, "posteriors")
-        doubt = best.where("b <> b1 and p >= 0.01").select("a", "b", "p1", "b1")
-        x = doubt.join(said, "b").join(said.select(F.col("b").alias("b1"), *[F.col(c).alias(c.replace("_r", "_1")) for c in said.columns[1:]]), "b1")
-        x = x.select("a", "b", "p1", "core_r", "place_r", "org_r", "unit_r", "core_1", "place_1", "org_1", "unit_1")
-        two = x.mapInArrow(_likely, "a bigint, b bigint, p1 double, core double, place double, org double")
-        far = _table(spark, *_every_point(mix))
-        same = _steps(two).join(F.broadcast(_steps(far).select(*steps, F.col("p").alias("p_same"))), steps).select("a", "b", (F.col("p_same") / F.greatest("p1", F.lit(1e-9))).alias("most"))
-        out = best.join(same, ["a", "b"], "left").withColumn("p", F.least("p", F.coalesce("most", F.lit(1.0))))
-        out = cut(out.select("a", "b", *FEATURES, "tie", "p"), "transitive")
-        if k + 1 < outer:
-            got = out.groupBy(*FEATURES).agg(F.sum("p").alias("n")).toPandas()
-            at = {tuple(-1 if math.isnan(v) else round(v / STEP) for v in r[:3]): r[3] for r in got[[*FEATURES, "n"]].to_numpy(float)}
-            mix.fit(np.array([at.get(tuple(-1 if math.isnan(v) else round(v / STEP) for v in pt), 0.0) for pt in mix.points]))
-    return out.select("a", "b", "p")
-
-
-def _every_point(mix: Mixture) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors on the whole grid, unseen similarities included."""
-    axis = [math.nan, *(round(k * STEP, 6) for k in range(int(1 / STEP) + 1))]
-    points = np.array([(x, y, z) for x in axis for y in axis for z in axis])
-    other = Mixture.__new__(Mixture)
-    other.points, other.seen = points, ~np.isnan(points)
-    other.filled, other.parts, other.prior = np.where(other.seen, points, 0.0), mix.parts, mix.prior
-    return points, other.posterior()
+    doubt = best.where("b <> b1 and _p >= 0.01").select("a", "b", "b1")
+    x = doubt.join(said, "b").join(said.select(F.col("b").alias("b1"), *[F.col(c).alias(c.replace("_r", "_1")) for c in said.columns[1:]]), "b1")
+    x = x.select("a", "b", "core_r", "place_r", "org_r", "unit_r", "core_1", "place_1", "org_1", "unit_1").mapInArrow(_between, "a bigint, b bigint, g2 bigint")
+    lie = cut(best.join(x, ["a", "b"], "left").select("a", "b", "g", F.when(F.col("g2").isNull(), none).otherwise(F.col("g1")).alias("g1"), F.coalesce("g2", none).alias("g2")), "points")
+    counts = cut(lie.groupBy("g", "g1", "g2").agg(F.count("*").alias("n")), "counts")
+    for _ in range(ROUNDS):
+        before = mix.parts
+        expected = counts.select("g", (transitive(mix.posterior_at(whole)) * F.col("n")).alias("e")).groupBy("g").agg(F.sum("e").alias("e")).toPandas()  # one row per point at most
+        at = np.zeros(len(whole))
+        at[expected["g"].to_numpy(np.int64)] = expected["e"]
+        mix.fit(at[numbers])
+        if not moved(before):
+            break
+    free(best, counts)
+    return lie.select("a", "b", transitive(mix.posterior_at(whole)).alias("p"))
 
 
 def match(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -29,16 +29,30 @@ BUSINESS = "hosting computing technologies technology systems system holding inf
 SHORT = {"hldg", "rz", "dc", "intl", "int", "grp"}
 GROUPS = set("groupe gruppe group grupo gruppo groep the".split())
 TITLES = set("dr mr mrs ms ing prof herr frau mme mlle m sr sra dott sig sigra dipl".split())
-# Short forms of first names.
+# Usual short forms of first names; more can be added with ``add_short_forms``.
 NICKNAMES = {
-    "alexander": "alex sasha sandy xander", "antonius": "toon ton anton tonny", "elisabeth": "lise lisa liz beth elise betty lisbeth", "francesco": "cesco franco checco",
-    "frederic": "fred freddy", "friederike": "rike fritzi frieda", "giuseppe": "beppe peppe pino", "guillermo": "memo guille willy", "ignacio": "nacho",
-    "isabelle": "isa belle bella", "johannes": "hans jan johan jo", "katherine": "kate kathy katie kat", "margaret": "peggy maggie meg marge greta",
-    "richard": "dick rick richie", "robert": "bob rob bobby", "theodora": "dora thea theo", "wilhelmina": "mina willa minna wil", "william": "bill will billy liam",
+    "alexander": "alex sandy sasha xander", "andrew": "andy drew", "anthony": "tony", "antonius": "anton ton tonny toon", "benjamin": "ben", "catherine": "cathy", "charles": "charlie chuck", "christopher": "chris kit", "daniel": "dan danny",
+    "david": "dave", "dorothea": "dot dotty", "edward": "ed eddie ted", "elisabeth": "beth betty elise lisa lisbeth lise liz", "francesco": "cesco checco franco", "francisco": "paco pancho", "frederic": "fred freddy", "friederike": "frieda fritzi rike",
+    "giuseppe": "beppe peppe pino", "guillermo": "guille memo willy", "hendrik": "henk", "heinrich": "heinz", "ignacio": "nacho", "isabelle": "isa bella belle", "james": "jim jimmy", "jean": "jeannot", "johannes": "hans jan jo johan",
+    "john": "jack johnny", "jose": "pepe", "joseph": "joe", "josef": "sepp", "katherine": "kate kathy katie kat", "lawrence": "larry", "luigi": "gigi", "manuel": "manolo", "margaret": "greta maggie marge meg peggy", "matthew": "matt", "michael": "mick mike",
+    "nicholas": "nick", "patricia": "pat patty", "peter": "pete", "richard": "dick rick richie", "robert": "bob bobby rob", "salvatore": "totò", "samuel": "sam", "stephen": "steve", "susanna": "sue susie", "theodora": "dora thea theo", "thomas": "tom tommy",
+    "walter": "wally", "wilhelmina": "mina minna wil willa", "william": "bill billy liam will", "zachary": "zack",
 }
 #: Small words of place names.
-PARTICLES = set("saint sainte st ste s san santa sta sankt sur les am an der de di del la le l d bad mont chateau ch oeuvry i in bei im a".split())
+PARTICLES = set("saint sainte st ste s san santa sta sankt sur les am an der de di del la le l d bad mont chateau ch i in bei im a".split())
 FULL_NAME = {n: k for k, v in NICKNAMES.items() for n in v.split()}
+
+
+def add_short_forms(path: str) -> None:
+    """Take in a public list: lines of a full name and its short forms, with commas."""
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            full, *short = (w.strip().lower() for w in line.split(","))
+            FULL_NAME.update((w, full) for w in short if w)
+    for cached in (organisation, project, same_name):
+        cached.cache_clear()
+
+
 _WORD = re.compile(r"[^\W_]+")
 _INITIALS = re.compile(r"\b((?:[^\W\d_]\.){1,4}[^\W\d_])\b\.?")
 _PLACE_END = re.compile(r"\s*\([^()]*\)\s*$|\s+-\s+.*$")
@@ -202,7 +216,6 @@ def place_likeness(a: str, b: str) -> float:
     return max(likeness(a, b), likeness(x, y))
 
 
-_NOISE_HEAD = re.compile(r"^(?:https?://)?archive\.example/web/\d+/")
 _SCHEME = re.compile(r"^[a-z]+://")
 _HOST = re.compile(r"^(?:www|m|amp|mobile)\.")
 _TAIL = re.compile(r"[#?].*$")

@@ -30,5 +30,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "cluster").where("name_a < name_b").select("name_a", "name_b").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters)}
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each name's own words, by cosine."""
+    return spellings.nearest(cut(named(spark, sf_dir).select("node").distinct(), "nodes"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p2_nearest)}
 ORACLE: dict[str, str] = {}

@@ -47,6 +47,9 @@ CYRILLIC_TWINS = ("АВЕЅІЈКМНОРСТУХаеіјосрѕухһԁԛԝӏ"
 GREEK_TWINS = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο", "ABEZHIKMNOPTYXvo")
 #: Letters of other alphabets, and phonetic ones, that are never plain in Latin text.
 OTHER_TWINS = ("ɑɡɩıȷʏօոսհցքѡⲟⲣⲥᴏᴄᴠᴡᴢꜱ", "agiijyonuhgqwopcocvwzs")
+#: Letters that look like a Latin letter only beside Latin ones; alone they are good Greek.
+SIMILAR_TWINS = ("αγηικρτυχω", "aynikptuxw")
+CHEROKEE_TWINS = ("ᎪᏴᏟᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCEGHJKLMPSTVWZ")
 DIGIT_TWINS = ("OoОоΟοIlІΙӏ", "00000011111")
 
 
@@ -65,6 +68,7 @@ class Tables:
     to_cyrillic: np.ndarray
     to_greek: np.ndarray
     to_digit: np.ndarray
+    similar: np.ndarray  # looks like a Latin letter only beside Latin ones
     key_length: np.ndarray
     key_start: np.ndarray
     key_data: np.ndarray
@@ -142,13 +146,15 @@ def tables() -> Tables:
     pairs.sort()
     same = np.arange(TOP, dtype=np.int32)
     to_latin, to_cyrillic, to_greek, to_digit = same.copy(), same.copy(), same.copy(), same.copy()
-    for twins, latin in (CYRILLIC_TWINS, GREEK_TWINS, OTHER_TWINS):
+    every = (SIMILAR_TWINS, CYRILLIC_TWINS, GREEK_TWINS, OTHER_TWINS, CHEROKEE_TWINS)
+    for twins, latin in every:
         for a, b in zip(twins, latin):
             to_latin[ord(a)] = ord(b)
-    for (twins, latin), to in ((CYRILLIC_TWINS, to_cyrillic), (GREEK_TWINS, to_greek)):
+    for (twins, latin), to in ((CYRILLIC_TWINS, to_cyrillic), (SIMILAR_TWINS, to_greek), (GREEK_TWINS, to_greek)):
         for a, b in zip(twins, latin):
             to[ord(b)] = ord(a)
-        for other, looks in (CYRILLIC_TWINS, GREEK_TWINS, OTHER_TWINS):
+    for (twins, _), to in ((CYRILLIC_TWINS, to_cyrillic), ((GREEK_TWINS[0] + SIMILAR_TWINS[0], ""), to_greek)):
+        for other, looks in every:
             for a, b in zip(other, looks):
                 if a not in twins and to[ord(b)] != ord(b):
                     to[ord(a)] = to[ord(b)]
@@ -159,7 +165,7 @@ def tables() -> Tables:
     simple[0x1100:0x1200] = False
     control = np.isin(same, CONTROLS_AS_BLANK)
     simple |= control
-    return Tables(length, start, data, ccc, np.array([p for p, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int32), script, wordy, digit, to_latin, to_cyrillic, to_greek, to_digit, key_length, key_start, key_data, (~simple).astype(np.uint8) | digit.astype(np.uint8) << 1 | (script > 0).astype(np.uint8) << 2 | control.astype(np.uint8) << 3)
+    return Tables(length, start, data, ccc, np.array([p for p, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int32), script, wordy, digit, to_latin, to_cyrillic, to_greek, to_digit, np.isin(same, [ord(x) for x in SIMILAR_TWINS[0]]), key_length, key_start, key_data, (~simple).astype(np.uint8) | digit.astype(np.uint8) << 1 | (script > 0).astype(np.uint8) << 2 | control.astype(np.uint8) << 3)
 
 
 # Arrow text <-> code points
@@ -261,7 +267,9 @@ def _imitations(cp: np.ndarray, row: np.ndarray, t: Tables) -> np.ndarray:
 
     A word's script is that of the letters which have no twin elsewhere. A word
     of twins alone is Latin if a Latin letter is among them or if it has at most
-    three letters; else it is what it is. In a run of digits, letters that look
+    three letters; else it is what it is. Letters that are merely similar count as
+    their own script's where no Latin letter is in the word. If both scripts have as
+    many sure letters, the one with more letters wins, Latin where they are equal. In a run of digits, letters that look
     like 0 and 1 are digits.
     """
     inside = np.minimum(cp, TOP - 1)
@@ -277,11 +285,16 @@ def _imitations(cp: np.ndarray, row: np.ndarray, t: Tables) -> np.ndarray:
     count = lambda m: np.bincount(w[m], minlength=n)
     sure_latin = count((script == LATIN) & (t.to_cyrillic[c] == c) & (t.to_greek[c] == c) & (t.to_latin[c] == c))
     sure_cyrillic = count((script == CYRILLIC) & (t.to_latin[c] == c))
-    sure_greek = count((script == GREEK) & (t.to_latin[c] == c))
+    among_latin = (count(script == LATIN) > 0)[w]
+    sure_greek = count((script == GREEK) & ((t.to_latin[c] == c) | t.similar[c] & ~among_latin))
     latin, foreign, letters = count(script == LATIN), count((script == CYRILLIC) | (script == GREEK)), count(script > 0)
     digits = count(t.digit[c])
     as_digit = count((script > 0) & (t.to_digit[c] != c))
-    goal = np.where((sure_cyrillic > 0) & (sure_cyrillic >= sure_latin) & (sure_cyrillic >= sure_greek), CYRILLIC, np.where((sure_greek > 0) & (sure_greek >= sure_latin), GREEK, 0))
+    cyrillic, greek = count(script == CYRILLIC), count(script == GREEK)
+    wins = lambda sure, own: (sure > 0) & ((sure > sure_latin) | (sure == sure_latin) & (own > latin))
+    goal = np.where(wins(sure_cyrillic, cyrillic) & (sure_cyrillic >= sure_greek), CYRILLIC, np.where(wins(sure_greek, greek), GREEK, 0))
+    # nothing is sure, but more letters are good Greek than Latin
+    goal = np.where((goal == 0) & (sure_latin == 0) & (count(t.similar[c]) > 0) & (greek > latin), GREEK, goal)
     goal = np.where((goal == 0) & ((latin > 0) | (letters <= 3) | (foreign == 0)), LATIN, goal)
     number = (digits >= 2) & (as_digit == letters) & (letters > 0)
     g = goal[w]

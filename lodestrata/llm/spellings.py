@@ -26,12 +26,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm import names
-from lodestrata.runtime import cut
+from lodestrata.runtime import cut, free
 
 GRAM = 3
 COSINE = 0.3
 #: Steps of 1 in which bounds are counted, rounded up; whole numbers are smaller to send.
 STEPS = 65_536
+#: Nodes of an n-gram that are joined in one piece.
+PIECE = 1_000
 LINKAGE = 0.35
 
 
@@ -91,7 +93,11 @@ def cosine_pairs(nodes: DataFrame, threshold: float = COSINE, check: bool = True
     # after the last common n-gram of both prefixes, one vector has only what follows its prefix,
     # so no cosine is above the sum over the common ones plus the product of these rests
     up = lambda c: F.ceil(c * STEPS).cast("int")
-    met = x.join(y, "g").where("x < y").groupBy("x", "y").agg(F.sum(up(own_dot)).alias("dot"), F.min(up(F.greatest(F.col("ex") * F.col("ry"), F.col("ey") * F.col("rx")))).alias("more"))
+    # the postings of frequent n-grams are cut by one side's nodes, and the other side's go to every piece
+    large = pre.groupBy("g").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_k")).where("_k > 1")
+    x = x.join(large, "g", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
+    y = y.join(large, "g", "left").withColumn("_p", F.pmod("y", F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
+    met = x.join(y, ["g", "_p"]).where("x < y").groupBy("x", "y").agg(F.sum(up(own_dot)).alias("dot"), F.min(up(F.greatest(F.col("ex") * F.col("ry"), F.col("ey") * F.col("rx")))).alias("more"))
     cand = cut(met.where(F.col("dot") + F.col("more") >= int(threshold * STEPS)).select("x", "y"), "candidates")
     x, y = (vec.select(F.col("id").alias(k), "g", F.col("w").alias(f"w{k}")) for k in "xy")
     pairs = cand.join(x, "x").join(y, ["y", "g"]).groupBy("x", "y").agg(F.sum(own_dot).alias("cosine")).where(F.col("cosine") >= threshold)
@@ -103,6 +109,19 @@ def cosine_pairs(nodes: DataFrame, threshold: float = COSINE, check: bool = True
     return pairs.join(cut(pairs.select("a", "b").mapInArrow(_checked, "a string, b string, words double"), "checked"), ["a", "b"])
 
 
+def nearest(nodes: DataFrame, n: int = 10, threshold: float = COSINE) -> DataFrame:
+    """(node, other, cosine, position): the ``n`` nearest nodes of each node by cosine,
+    the smaller one first where two are equally near.
+
+    ``clusters`` takes all pairs above the threshold instead: with more variants of
+    a name than ``n``, average linkage would miss links between them.
+    """
+    pairs = cosine_pairs(nodes, threshold, check=False)
+    both = pairs.selectExpr("a as node", "b as other", "cosine").unionByName(pairs.selectExpr("b as node", "a as other", "cosine"))
+    ranked = both.withColumn("position", F.row_number().over(W.partitionBy("node").orderBy(F.desc(F.round("cosine", 9)), "other")))
+    return ranked.where(F.col("position") <= n)
+
+
 def average_linkage(edges: DataFrame, threshold: float = LINKAGE) -> DataFrame:
     """(node, cluster) of all nodes that have an edge (a, b, sim), grouped by
     average linkage; pairs without an edge count as 0."""
@@ -120,11 +139,13 @@ def average_linkage(edges: DataFrame, threshold: float = LINKAGE) -> DataFrame:
         merged = cut(best.join(back, ["a", "b"]).where("a < b").select(F.col("a").alias("to"), F.col("b").alias("cluster")), "merges")
         if merged.isEmpty():
             break
+        old = members, e
         new = lambda df, col: df.join(merged.withColumnRenamed("cluster", col), col, "left").withColumn(col, F.coalesce("to", col)).drop("to")
         members = cut(new(members, "cluster"), "members")
         sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
         e = new(new(e, "a"), "b").where("a <> b")
         e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.sum("s").alias("s")), "edges")
+        free(*old, merged)
     return members
 
 

@@ -54,6 +54,9 @@ def test_documents(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, lang string, text string").selectExpr("*", "'x' as main", "'y' as label")
     got = {(r.doc_id, r.label, r.lang, r.main, r.n_langs) for r in L.segment_languages(df, "doc_id", "lang", "text", training).collect()}
     assert got == {(100, "fr", "fr", "fr", 1), (101, "fr", "fr", "fr", 2), (101, "fr", "en", "fr", 2), (102, None, "nl", "nl", 1), (105, None, "es", "es", 1)}
+    rows = [(1, None, "(" + TEXT["de"] + ")"), (2, None, "Titel\nDer Gemeinderat lehnt die Genehmigung für das Gebäude ab"), (3, None, "12 345"), (4, "de", "<p></p>")]
+    extra = {(r.doc_id, r.lang, r.n_sentences > 0) for r in L.segment_languages(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), "doc_id", "lang", "text", training).collect()}
+    assert extra == {(1, "de", True), (2, "de", False)}
     assert L.segment_languages(df.where("false"), "doc_id", "lang", "text", training).count() == 0
 
 

@@ -36,6 +36,18 @@ def test_selection(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, m.select(df.repartition(7), root, buckets=8).collect()))
 
 
+def test_shares_with_a_shortage_are_those_of_the_budget(spark):
+    """Planted: one source falls short; what it lacks goes to the others by their weights."""
+    rows = [(k, "small", "en", 10) for k in range(10)] + [(100 + k, "large", ("en", "fr")[k % 2], 10) for k in range(400)] + [(1000 + k, "other", "de", 10) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, tokens bigint")
+    sizes = [(r.source, r.lang, r.n) for r in df.groupBy("source", "lang").agg(F.sum("tokens").alias("n")).collect()]
+    got = m.select(df, m.plan(sizes, {"small": (0.5, 2), "large": (0.3, 1), "other": (0.2, 1)}, total=2200.0))
+    used = {r.source: r.n for r in got.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("n")).collect()}
+    assert used["small"] == 200 and abs(used["large"] - 1200) <= 20 and abs(used["other"] - 800) <= 10
+    langs = {r.lang: r.n for r in got.where("source = 'large'").groupBy("lang").agg(F.sum("tokens").alias("n")).collect()}
+    assert abs(langs["en"] - 600) <= 10 and abs(langs["fr"] - 600) <= 10
+
+
 def test_sizes(spark):
     df = spark.createDataFrame([(1, "a", "hello world", 1), (2, None, None, 1), (None, "a", "x", 1)], "k bigint, source string, text string, tokens int")
     assert sorted((r.doc_id, r.tokens) for r in m.sized(df, "k", "text", ["source"]).collect()) == [(1, 2), (2, 0)]

@@ -19,6 +19,11 @@ def test_cases():
     assert p.plain_array(pa.array(PLAIN)).to_pylist() == PLAIN
 
 
+def test_a_good_letter_is_not_spoiled():
+    for a, b in [("Pαris", "Paris"), ("ρaris", "paris"), ("campυs", "campus"), ("Ꮇunich", "Munich"), ("και", "και"), ("Πaρις", "Παρις"), ("Zυκα", "Ζυκα"), ("αυτό", "αυτό"), ("Сaнкт", "Санкт")]:
+        assert p.plain_array(pa.array([a])).to_pylist() == [b], a
+
+
 def test_nulls_slices_and_empty():
     a = pa.array(["x", None, "ＡＢ", "", None, "é"])
     assert p.plain_array(a).to_pylist() == ["x", None, "AB", "", None, "é"]
