@@ -72,3 +72,17 @@ def right_of(text: Column, mark: str, most: int = 160) -> Column:
 
 def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), 1), lambda x: x.try_cast("bigint"))
+
+
+def place_key(text: Column) -> Column:
+    """A municipality in comparison form, without a district's number."""
+    return F.trim(F.regexp_replace(accent_fold(text), r"\s*\b\d+(?:er|e|eme)\s+arrondissement\b", ""))
+
+
+def first_of(words: list[str], *texts: Column) -> Column:
+    """The first of the words that stands in any of the texts as a word, or null."""
+    folded = F.concat(F.lit(" "), F.regexp_replace(accent_fold(F.concat_ws(" ", *texts)), "[^a-z0-9]+", " "), F.lit(" "))
+    found = F.lit(None).cast("string")
+    for w in reversed(words):
+        found = F.when(F.contains(folded, F.lit(f" {w} ")), w).otherwise(found)
+    return found

@@ -8,6 +8,7 @@ table is a pass. ``all_gates`` puts them together in one table.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -78,6 +79,12 @@ def letters_in_prose(texts: DataFrame, key: str, text: str) -> DataFrame:
     return violations([("prose", _rows(texts.where(F.col(text).rlike(LETTER_IN_PROSE)), key), "the text names a grade")])
 
 
+def banned_terms(texts: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
+    """Texts that hold a term of a list as a word, whatever its case."""
+    any_of = "|".join(re.escape(t) for t in terms)
+    return violations([("terms", _rows(texts.where(F.col(text).rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{any_of})(?![\p{{L}}\p{{N}}])")) if terms else texts.where("false"), key), "the text holds a term that is not to be used")])
+
+
 def weights(defs: DataFrame, group: str, weight: str, tolerance: float = 1e-9) -> DataFrame:
     bad = defs.groupBy(group).agg(F.sum(weight).alias("_w")).where(F.abs(F.col("_w") - 1) > tolerance)
     return violations([("weights", _rows(bad, group), "weights do not sum to 1")])

@@ -86,6 +86,22 @@ def satellites(obs: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return df.select("key", "day", F.explode(F.array_compact(F.array(*new))).alias("_s")).select("_s.satellite", "key", "day", "_s.hash_diff", "_s.payload")
 
 
+def split_by_rate(obs: DataFrame, names: list[str], factor: float = 2.0) -> dict[str, list[str]]:
+    """Groups of attributes that change about as often, from the least: an attribute
+    that changes more than ``factor`` times as often as the first of a group begins
+    another. The rates are counted over all observations; only they reach the driver."""
+    w = W.partitionBy("key").orderBy("day")
+    before = obs.select("key", "day", *names, F.lit(True).alias("_is")).withColumns({f"_l_{n}": F.lag(n).over(w) for n in names} | {"_is": F.lag("_is").over(w)})
+    rate = before.where("_is").agg(*[F.count_if(~F.col(n).eqNullSafe(F.col(f"_l_{n}"))).alias(n) for n in names]).first()
+    groups: list[list[str]] = []
+    for n in sorted(names, key=lambda n: (rate[n], n)):
+        if groups and rate[n] <= factor * rate[groups[-1][0]]:
+            groups[-1].append(n)
+        else:
+            groups.append([n])
+    return {"+".join(g): g for g in groups}
+
+
 def versions(sats: DataFrame) -> DataFrame:
     """(key, valid_from, valid_to) of every version of the keys: a view over the
     satellites, in which a row of any satellite starts a version and ends the one

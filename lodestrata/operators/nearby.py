@@ -417,12 +417,40 @@ def points_in_regions(points: DataFrame, edges: DataFrame) -> DataFrame:
     rows = pts.count()
     strips = max(1, math.ceil(rows / BLOCK_QUERIES))
     at = sorted({float(x) for x in pts.approxQuantile("lon", [k / strips for k in range(1, strips)], 0.2 / strips)}) if strips > 1 else []
-    cuts = F.array(*[F.lit(x) for x in at]).cast("array<double>")
-    where = lambda x: F.size(F.filter(cuts, lambda c: c <= x))
-    load = {r["strip"]: r["n"] for r in pts.groupBy(where(F.col("lon")).alias("strip")).agg(F.count("*").alias("n")).collect()}
-    parts = F.array(*[F.lit(max(1, math.ceil(load.get(k, 0) / (2 * BLOCK_QUERIES)))) for k in range(len(at) + 1)])
-    p = pts.withColumn("strip", where(F.col("lon"))).withColumn("part", F.pmod(F.xxhash64("id"), F.get(parts, F.col("strip"))))
-    e = edges.withColumn("strip", F.explode(F.sequence(where(F.col("x1")), where(F.col("x2"))))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.get(parts, F.col("strip")).cast("bigint") - 1)))
+    cuts = np.array(at)
+
+    def strip_of(x: np.ndarray) -> np.ndarray:
+        return np.searchsorted(cuts, x, "right")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, n = np.unique(strip_of(b.column(2).to_numpy(zero_copy_only=False)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], names=["strip", "n"])
+
+    load = np.zeros(len(at) + 1)
+    for r in pts.mapInArrow(counted, "strip int, n bigint").groupBy("strip").agg(F.sum("n").alias("n")).collect():  # one row per strip
+        load[r["strip"]] = r["n"]
+    parts = np.maximum(1, np.ceil(load / (2 * BLOCK_QUERIES))).astype(np.int64)
+
+    def spread_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lat, lon = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            strip = strip_of(lon)
+            yield pa.RecordBatch.from_arrays([pa.array(strip.astype(np.int32)), pa.array((_mixed(ids).astype(np.int64) % parts[strip]).astype(np.int32)), *b.columns], names=["strip", "part", "id", "lat", "lon"])
+
+    def spread_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, last = strip_of(b.column(1).to_numpy(zero_copy_only=False)), strip_of(b.column(3).to_numpy(zero_copy_only=False))
+            n = last - first + 1
+            row = np.repeat(np.arange(b.num_rows), n)
+            strip = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            copies = parts[strip]
+            row, strip = np.repeat(row, copies), np.repeat(strip, copies)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+            yield pa.RecordBatch.from_arrays([pa.array(strip.astype(np.int32)), pa.array(part.astype(np.int32)), *(c.take(pa.array(row)) for c in b.columns)], names=["strip", "part", *names])
+
+    p = pts.mapInArrow(spread_points, "strip int, part int, id bigint, lat double, lon double")
+    e = edges.select(*names).mapInArrow(spread_edges, "strip int, part int, region bigint, x1 double, y1 double, x2 double, y2 double")
     schema = pa.schema([("id", pa.int64()), ("region", pa.int64())])
 
     def one(own: pa.Table, near: pa.Table) -> pa.Table:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import history, nearby, nested
-from lodestrata.runtime import shared_path, table
+from lodestrata.runtime import cut, shared_path, table
 
 NEAR_M = 2000.0
 
@@ -43,8 +43,10 @@ def audit_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The versions of each site's methodology and site grade."""
-    sats = history.satellites(audit_observations(spark, sf_dir), AUDIT_SATELLITES)
+    """The versions of each site's methodology and site grade, from satellites split by
+    the rates at which they change."""
+    obs = cut(audit_observations(spark, sf_dir), "observations", by=["key"])
+    sats = history.satellites(obs, history.split_by_rate(obs, ["methodology_version", "site_grade"]))
     return history.as_text(history.versions(sats), "dc_id")
 
 

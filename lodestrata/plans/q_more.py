@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import nearby, records
+from lodestrata.operators import artifacts, nearby, records
 from lodestrata.plans.core_problems import _PLACED
 from lodestrata.runtime import table
 
@@ -127,3 +127,34 @@ def _hmac_sql(secret: bytes, column: str) -> str:
 @query(f"SELECT DISTINCT id, {_hmac_sql(b'a public example', 'id')} AS token FROM scores WHERE id IS NOT NULL")
 def keyed_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scores").where("id is not null").select("id", records.keyed_hash(F.col("id"), b"a public example").alias("token")).distinct()
+
+
+_SITES = "SELECT id, max(grades.site.score) AS score, bool_or(project_status = 'operational') AS operating, max(name) AS name FROM scores WHERE id IS NOT NULL GROUP BY id"
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM ({_SITES})), p AS (SELECT watch_no, coordinates.lat AS lat, coordinates.lon AS lon FROM watchlist), k AS (SELECT site_id AS id, count(DISTINCT indicator_id) FILTER (status = 'measured') AS pillars, bool_or(status = 'not_collected' AND indicator_id = 'T2') AS contested FROM indicators GROUP BY site_id),
+    a AS (SELECT s.id, s.score, s.operating, coalesce(k.pillars, 0) AS pillars, k.contested, y.lat, y.lon FROM s LEFT JOIN k USING (id) LEFT JOIN (SELECT id, min(lat) AS lat, min(lon) AS lon FROM (SELECT 's' || site_no AS id, lat, lon FROM sample_sites) GROUP BY id) y ON y.id = s.id),
+    g AS (SELECT a.id, a.score, abs(a.score - round((SELECT median(score) FROM a), 1)) AS gap FROM a WHERE score IS NOT NULL AND operating AND NOT coalesce(contested, false) AND pillars >= 4)
+    SELECT id, score, round(gap, 2) AS gap FROM g ORDER BY gap, id LIMIT 25""")
+def showcase_ordinary(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "scores").where("id is not null").groupBy("id").agg(F.max("grades.site.score").alias("score"), F.bool_or(F.col("project_status") == "operational").alias("operating"))
+    k = table(spark, d, "indicators").groupBy(F.col("site_id").alias("id")).agg(F.count_distinct(F.when(F.col("status") == "measured", F.col("indicator_id"))).alias("pillars"), F.bool_or((F.col("status") == "not_collected") & (F.col("indicator_id") == "T2")).alias("contested"))
+    none = F.lit(None).cast("double")
+    sites = s.join(k, "id", "left").withColumns({"pillars": F.coalesce("pillars", F.lit(0)), "lat": none, "lon": none})
+    return artifacts.ordinary(sites, table(spark, d, "watchlist").select("coordinates.lat", "coordinates.lon"))
+
+
+@query("SELECT dc_id, dc_name, row_number() OVER (PARTITION BY dc_id ORDER BY audit_no) - 1 AS seq, event FROM (SELECT dc_id, any_value(dc_name) OVER (PARTITION BY dc_id ORDER BY audit_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS dc_name, audit_no, event FROM audit WHERE dc_id IS NOT NULL)")
+def audit_history(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "audit").where("dc_id is not null")
+    rows = F.array_sort(F.collect_list(F.struct("audit_no", "event")))
+    name = F.min_by("dc_name", F.when(F.col("dc_name").isNotNull(), F.col("audit_no")))
+    s = a.groupBy(F.col("dc_id").alias("id")).agg(F.struct(name.alias("name")).alias("identity"), rows.alias("score_history"))
+    return artifacts.history(s).select("dc_id", "dc_name", "seq", "event")
+
+
+@query("""SELECT watch_no, round(coordinates.lat, 2) AS lat, round(coordinates.lon, 2) AS lon, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(facts, lambda f: f.kind), lambda k: k IS NOT NULL))), ','), '') AS kinds
+    FROM watchlist WHERE coordinates.lat IS NOT NULL AND coordinates.lon IS NOT NULL""")
+def watch_map(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "watchlist").withColumn("id", F.col("watch_no"))
+    return artifacts.watch_features(w).select(F.col("id").alias("watch_no"), "lat", "lon", F.array_join("kinds", ",").alias("kinds"))

@@ -126,6 +126,56 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.get(at, F.lit(0)).alias("lon"), F.get(at, F.lit(1)).alias("lat"), F.col("f.properties").alias("properties"))
 
 
+def layers(spark: SparkSession, path: str, kinds: dict[str, str] | None = None) -> DataFrame:
+    """(shape, lon, lat, ring, kind, properties) of all features of collections: points
+    with their place, polygons with their outer ring and lines with their corners.
+    ``kinds`` gives classes to features by patterns on all their texts, the first that
+    fits; features without a shape are kept with nulls."""
+    schema = "type string, features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
+    f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select(F.col("f.geometry.type").alias("shape"), F.col("f.geometry.coordinates").alias("_c"), F.col("f.properties").alias("properties"))
+    line = lambda depth: F.from_json("_c", "array<" * depth + "double" + ">" * depth)
+    corners = F.when(F.col("shape") == "Polygon", F.get(line(3), F.lit(0))).when(F.col("shape") == "MultiPolygon", F.get(F.get(line(4), F.lit(0)), F.lit(0))).when(F.col("shape").isin("LineString", "MultiPoint"), line(2)).when(F.col("shape") == "MultiLineString", F.get(line(3), F.lit(0)))
+    ring = F.transform(corners, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))
+    at = F.when(F.col("shape") == "Point", line(1))
+    said = F.array_join(F.map_values("properties"), " ")
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(list((kinds or {}).items())):
+        kind = F.when(said.rlike(pattern), name).otherwise(kind)
+    return f.select("shape", F.get(at, F.lit(0)).alias("lon"), F.get(at, F.lit(1)).alias("lat"), ring.alias("ring"), kind.alias("kind"), "properties")
+
+
+def named_codes(spark: SparkSession, path: str, sep: str, code: int, names: list[int], keep: str) -> DataFrame:
+    """(code, name) of a delimited text: the lines whose code matches a pattern, once for
+    each of several name columns that isn't empty."""
+    parts = F.split("value", f"\\Q{sep}\\E", -1)
+    cols = F.array(*[F.trim(F.get(parts, F.lit(k))) for k in names])
+    rows = spark.read.text(path).select(F.trim(F.get(parts, F.lit(code))).alias("code"), cols.alias("_n")).where(F.col("code").rlike(keep))
+    return rows.select("code", F.explode(F.array_distinct(F.filter("_n", lambda x: F.length(x) > 0))).alias("name"))
+
+
+def latest(rows: DataFrame, key: str, period: str, value: str) -> DataFrame:
+    """(key, period, value) of long rows: of each key the last period that has a value."""
+    n = rows.select(key, F.col(period).try_cast("int").alias(period), F.col(value).try_cast("double").alias(value)).where(F.col(period).isNotNull() & F.col(value).isNotNull())
+    return n.groupBy(key).agg(F.max(F.struct(period, value)).alias("_m")).select(key, "_m.*")
+
+
+def tables_of(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of a dump of CSV files, by name; one that is missing is an error when read."""
+    return {n: spark.read.option("header", True).csv(f"{folder}/{n}.csv") for n in names}
+
+
+def gml_values(df: DataFrame, text: str, elements: list[str]) -> DataFrame:
+    """The first value of each named element of a GML or XML text, whatever its prefix;
+    entities are resolved."""
+    def value(e: str):
+        v = F.regexp_extract(text, rf"<(?:[\w-]+:)?{e}(?:\s[^>]*)?>\s*([^<]*?)\s*</", 1)
+        for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+            v = F.replace(v, F.lit(a), F.lit(b))
+        return F.nullif(v, F.lit(""))
+
+    return df.withColumns({e: value(e) for e in elements})
+
+
 # Spreadsheets
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -138,7 +188,21 @@ def column_index(ref: str) -> int:
     return n - 1
 
 
-def sheet_rows(raw: bytes, sheet: int = 1) -> list[list[str | None]]:
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def sheet_file(z: zipfile.ZipFile, sheet: int | str) -> str:
+    """Where a sheet lies, by number from 1 or by name."""
+    if isinstance(sheet, int):
+        return f"xl/worksheets/sheet{sheet}.xml"
+    ids = {s.get("name"): s.get(_REL) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet")}
+    if sheet not in ids:
+        raise ValueError(f"no sheet {sheet!r}, only {sorted(ids)}")
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    return "xl/" + targets[ids[sheet]].removeprefix("/xl/")
+
+
+def sheet_rows(raw: bytes, sheet: int | str = 1) -> list[list[str | None]]:
     """Rows of a sheet of a workbook, with shared and inline texts."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         shared = []
@@ -146,7 +210,7 @@ def sheet_rows(raw: bytes, sheet: int = 1) -> list[list[str | None]]:
             for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
                 shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
         out = []
-        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{{{_NS['m']}}}row"):
+        for row in ElementTree.fromstring(z.read(sheet_file(z, sheet))).iter(f"{{{_NS['m']}}}row"):
             cells: list[str | None] = []
             for c in row.findall("m:c", _NS):
                 k = column_index(c.get("r"))
@@ -162,7 +226,7 @@ def sheet_rows(raw: bytes, sheet: int = 1) -> list[list[str | None]]:
     return out
 
 
-def workbook(spark: SparkSession, path: str, columns: list[str], sheet: int = 1) -> DataFrame:
+def workbook(spark: SparkSession, path: str, columns: list[str], sheet: int | str = 1) -> DataFrame:
     """Named columns of workbooks, matched on the header row; all as text."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
 

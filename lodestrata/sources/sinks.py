@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import html
 import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import html_escape
+
 
 def canonical(value: object) -> str:
     """JSON with two blanks of indent, letters as they are and a final line end."""
@@ -52,3 +55,27 @@ def coverage_report(matrix: DataFrame, label: str, columns: list[str], most: int
         raise ValueError(f"more than {most} rows")
     lines = ["| " + " | ".join([label, *columns]) + " |", "|" + "---|" * (len(columns) + 1)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
+
+
+def write_with_provenance(df: DataFrame, path: str, by: list[str], provenance: dict[str, object]) -> None:
+    """Partitions that the rows belong to, replaced, and beside each a sidecar that says
+    where they come from; writing the same rows again changes nothing."""
+    write_partitioned(df, f"{path}/drafts", by, "json")
+    said = F.struct(*[F.lit(v).alias(k) for k, v in sorted(provenance.items())])
+    rows = df.groupBy(*by).agg(F.count("*").alias("n_rows")).withColumn("provenance", said)
+    write_partitioned(rows, f"{path}/provenance", by, "json")
+
+
+def review_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row as a line of an HTML table, with every value escaped."""
+    cells = [F.concat(F.lit("<td>"), html_escape(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in columns]
+    return df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("line"))
+
+
+def review_sheet(df: DataFrame, columns: list[str], title: str, most: int = 5000) -> str:
+    """A page to look rows over by hand; more rows than ``most`` are an error."""
+    rows = review_rows(df, columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><tr>{head}</tr>{''.join(r['line'] for r in rows)}</table>\n"

@@ -82,5 +82,28 @@ def test_traces_versions_and_provenance(spark, tmp_path):
     assert gates.declared_as_measured(ok).count() == 0 and gates.power_provenance(ok).count() == 0
 
 
+def test_banned_terms(spark):
+    t = spark.createDataFrame([(1, "A SCANDALE!"), (2, "scandaleux"), (3, None), (4, "c'est du green-washing (sic)")], "k int, t string")
+    assert sorted(r.entity for r in gates.banned_terms(t, "k", "t", ["scandale", "green-washing"]).collect()) == ["1", "4"] and gates.banned_terms(t, "k", "t", []).count() == 0
+
+
 def test_ids_twice(spark):
     assert [r.entity for r in gates.twice(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string"), "id").collect()] == ["a"]
+
+
+def test_the_set_of_artifacts(spark, tmp_path):
+    entry = {"id": "w1", "name": "W", "country": "AA", "coordinates": {"lat": 1.239, "lon": 2.349}, "facts": [{"kind": "b"}, {"kind": "a"}, {"kind": "b"}, {}]}
+    (tmp_path / "in").mkdir()
+    sites, facts = load(spark, tmp_path / "in", site(publication={"status": "published"}))
+    (tmp_path / "w.json").write_text(json.dumps([entry, {**entry, "id": "w2", "coordinates": None, "facts": None}]))
+    entries = readers.watch_entries(spark, str(tmp_path / "w.json"))
+    scores = spark.createDataFrame([("aa-x", "B", 70.0, "C", "high", {"p": "A", "q": "insufficient_data"})], "id string, site_grade string, site_score double, process_grade string, confidence string, pillars map<string,string>")
+    defs = spark.createDataFrame([("E1", "label", "p", "site")], "indicator_id string, label string, pillar string, block string")
+    got = artifacts.build(sites, facts, defs, scores, entries)
+    n = {k: df.count() for k, df in got.items()}
+    assert n == {"scores": 1, "map": 1, "details": 1, "audit": 1, "watchlist": 1, "ordinary": 0, "wall": 1}
+    assert got["watchlist"].first().kinds == ["a", "b"] and got["scores"].first().publication_status == "published" and got["audit"].first().seq == 0
+    artifacts.write(got, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "details")).where("part = 'aa'").count() == 1
+    own = spark.createDataFrame([("a", 50.0, True, 4, False, None, None), ("b", 51.0, True, 4, None, 1.0, 1.0), ("c", 60.0, True, 3, False, None, None), ("d", 49.0, True, 5, True, None, None), ("e", 52.0, None, 5, False, None, None), ("f", 90.0, True, 4, False, 5.0, 5.0)], "id string, score double, operating boolean, pillars int, contested boolean, lat double, lon double")
+    assert [r.id for r in artifacts.ordinary(own, spark.createDataFrame([(1.04, 1.04), (None, 1.0)], "lat double, lon double")).collect()] == ["a", "f"]
