@@ -55,6 +55,8 @@ from lodestrata.llm import names
 from lodestrata.runtime import cut, free, mark, names_in, shared_path
 
 BUCKETS = 1024
+#: Postings of a token, in one load, that are joined in one piece.
+PIECE = 1_000
 #: So many buckets are picked out of the files; a batch that needs more reads them all.
 FEW = 256
 #: Bytes of a part of a file that can be left out by its buckets.
@@ -301,7 +303,12 @@ class Index:
         mine = self.spark.read.schema(STORED["postings"]).parquet(f"{self.path}/postings/load={load}")
         probe = mine.select("token", F.col("kind").alias("kind_new"), F.col("named").alias("named_new"), F.col("sig").alias("new"))
         every = self.stored("postings", sorted(buckets), also=load).select("token", "named", F.col("sig").alias("old"))
-        found = probe.join(every, "token").where("new <> old and not (kind_new in ('o', 'u') and named_new and named)")
+        # tokens of many entries are cut by the signatures stored, and those that ask go to every piece;
+        # there are no more of them than postings of this load by PIECE
+        large = F.broadcast(mine.groupBy("token").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_k")).where("_k > 1"))
+        probe = probe.join(large, "token", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
+        every = every.join(large, "token", "left").withColumn("_p", F.pmod("old", F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
+        found = probe.join(every, ["token", "_p"]).where("new <> old and not (kind_new in ('o', 'u') and named_new and named)")
         return found.select("new", "old").distinct()
 
     def _links(self, pairs: DataFrame, new: DataFrame, buckets: list[int]) -> DataFrame:

@@ -145,10 +145,11 @@ def vectors(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b) of signatures that share a block; a unit that differs parts them."""
-    x = left.select(F.col("sig").alias("a"), F.explode("blocks").alias("block"))
-    y = right.select(F.col("sig").alias("b"), F.explode("blocks").alias("block"))
+    x = left.select(F.col("sig").alias("a"), F.explode("blocks").alias("block")).withColumn("block", F.xxhash64("block"))
+    y = right.select(F.col("sig").alias("b"), F.explode("blocks").alias("block")).withColumn("block", F.xxhash64("block"))
     # large blocks are cut by the right side's records, and the left side's go to every piece
-    large = y.groupBy("block").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_k")).where("_k > 1")
+    # (there are no more of these than rows by PIECE)
+    large = F.broadcast(y.groupBy("block").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_k")).where("_k > 1"))
     x = x.join(large, "block", "left").select("a", "block", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1)).alias("_p"))
     y = y.join(large, "block", "left").select("b", "block", F.pmod("b", F.coalesce("_k", F.lit(1))).cast("int").alias("_p"))
     return x.join(y, ["block", "_p"]).select("a", "b").distinct()

@@ -1,6 +1,6 @@
 """Mixing of sources to target weights, in tokens of a public tokenizer.
 
-Weights go down a tree (here source, then language). A node gets its weight's
+Weights go down a tree (domain if domains are given, source, language). A node gets its weight's
 share of its parent's budget but no more than its leaves can give, each at most
 so many times its size; what a node can't take goes to its siblings, and only
 what all of them can't take goes to the siblings of their parent. The tree has
@@ -129,29 +129,48 @@ def largest_exact(root: Node) -> float:
     return min((k.most() * total / k.share() for k in kids), default=0.0)
 
 
-def plan(sizes: list[tuple[str | None, str | None, int]], targets: dict[str, tuple[float, int]], total: float | None = None) -> Node:
+def plan(sizes: list[tuple[str | None, str | None, int]], targets: dict[str, tuple[float, int]], total: float | None = None, domains: dict[str, str] | None = None) -> Node:
     """The budget tree of (source, language, tokens) under targets (share, repeats);
-    without a total, the largest that meets every target."""
+    without a total, the largest that meets every target.
+
+    ``domains`` puts sources together: a domain's weight is the sum of its sources',
+    and what one of them lacks goes to the others of the domain before it goes to
+    other domains.
+    """
     root = Node()
     for source, lang, tokens in sizes:
         if source in targets:
             share, repeats = targets[source]
-            s = root.kids.setdefault(source, Node(weight=share))
-            leaf = s.kids.setdefault(lang, Node(repeats=repeats))
+            over = root
+            if domains is not None:
+                over = root.kids.setdefault(domains.get(source, source), Node(weight=0.0))
+            if source not in over.kids:
+                over.kids[source] = Node(weight=share)
+                if over is not root:
+                    over.weight += share
+            leaf = over.kids[source].kids.setdefault(lang, Node(repeats=repeats))
             leaf.tokens += tokens
     root.give(largest_exact(root) if total is None else total)
     return root
 
 
+def each_leaf(node: Node, path: tuple = ()) -> Iterator[tuple[tuple, Node]]:
+    """(path, leaf) of all leaves."""
+    for name, kid in node.kids.items():
+        if kid.kids:
+            yield from each_leaf(kid, (*path, name))
+        else:
+            yield (*path, name), kid
+
+
 def select(counted: DataFrame, root: Node, seed: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, source, lang, tokens, repeats) of the chosen documents."""
     spark = counted.sparkSession
     rows = []
-    for source, s in root.kids.items():
-        for lang, leaf in s.kids.items():
-            if leaf.tokens and leaf.budget > 0:
-                whole = min(leaf.repeats, int(leaf.budget // leaf.tokens))
-                rows.append((source, lang, whole, int(leaf.budget - whole * leaf.tokens)))
+    for (*_, source, lang), leaf in each_leaf(root):
+        if leaf.tokens and leaf.budget > 0:
+            whole = min(leaf.repeats, int(leaf.budget // leaf.tokens))
+            rows.append((source, lang, whole, int(leaf.budget - whole * leaf.tokens)))
     leaves = spark.createDataFrame(rows, "source string, lang string, epochs int, rest bigint")
     same = counted["source"].eqNullSafe(leaves["source"]) & counted["lang"].eqNullSafe(leaves["lang"])
     # one row per source and language

@@ -61,6 +61,7 @@ class Tables:
     ccc: np.ndarray
     pair: np.ndarray  # letter << 21 | mark, sorted
     whole: np.ndarray
+    joins: np.ndarray  # no mark by its class, but joined to the letter before it
     script: np.ndarray
     wordy: np.ndarray  # letter, digit or mark
     digit: np.ndarray
@@ -165,7 +166,7 @@ def tables() -> Tables:
     simple[0x1100:0x1200] = False
     control = np.isin(same, CONTROLS_AS_BLANK)
     simple |= control
-    return Tables(length, start, data, ccc, np.array([p for p, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int32), script, wordy, digit, to_latin, to_cyrillic, to_greek, to_digit, np.isin(same, [ord(x) for x in SIMILAR_TWINS[0]]), key_length, key_start, key_data, (~simple).astype(np.uint8) | digit.astype(np.uint8) << 1 | (script > 0).astype(np.uint8) << 2 | control.astype(np.uint8) << 3)
+    return Tables(length, start, data, ccc, np.array([p for p, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int32), np.isin(same, [p & 0x1FFFFF for p, _ in pairs]) & (ccc == 0), script, wordy, digit, to_latin, to_cyrillic, to_greek, to_digit, np.isin(same, [ord(x) for x in SIMILAR_TWINS[0]]), key_length, key_start, key_data, (~simple).astype(np.uint8) | digit.astype(np.uint8) << 1 | (script > 0).astype(np.uint8) << 2 | control.astype(np.uint8) << 3)
 
 
 # Arrow text <-> code points
@@ -245,6 +246,20 @@ def _compose(cp: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np
             keep[a[hit]] = False
             last[o[~hit]] = ccc[a[~hit]]
     cp, row = cp[keep], row[keep]
+    while len(cp) > 1:
+        inside = np.minimum(cp, TOP - 1)
+        a = np.nonzero(t.joins[inside[1:]] & (cp[1:] < TOP) & (row[1:] == row[:-1]))[0]
+        want = cp[a].astype(np.int64) << 21 | cp[a + 1]
+        i = np.minimum(np.searchsorted(t.pair, want), len(t.pair) - 1)
+        hit = t.pair[i] == want
+        a, i = a[hit], i[hit]
+        first = np.concatenate(([True], np.diff(a) > 1)) if len(a) else np.zeros(0, bool)
+        if not len(a):
+            break
+        cp[a[first]] = t.whole[i[first]]
+        keep = np.ones(len(cp), bool)
+        keep[a[first] + 1] = False
+        cp, row = cp[keep], row[keep]
     for low, count, at_least in ((HANGUL_V, 21, "L"), (HANGUL_T + 1, 27, "S")):
         nxt = (cp[1:] >= low) & (cp[1:] < low + count) & (row[1:] == row[:-1]) if len(cp) > 1 else np.zeros(0, bool)
         if not nxt.any():

@@ -94,7 +94,8 @@ def cosine_pairs(nodes: DataFrame, threshold: float = COSINE, check: bool = True
     # so no cosine is above the sum over the common ones plus the product of these rests
     up = lambda c: F.ceil(c * STEPS).cast("int")
     # the postings of frequent n-grams are cut by one side's nodes, and the other side's go to every piece
-    large = pre.groupBy("g").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_k")).where("_k > 1")
+    # (there are no more of these than rows by PIECE)
+    large = F.broadcast(pre.groupBy("g").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_k")).where("_k > 1"))
     x = x.join(large, "g", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
     y = y.join(large, "g", "left").withColumn("_p", F.pmod("y", F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
     met = x.join(y, ["g", "_p"]).where("x < y").groupBy("x", "y").agg(F.sum(up(own_dot)).alias("dot"), F.min(up(F.greatest(F.col("ex") * F.col("ry"), F.col("ey") * F.col("rx")))).alias("more"))

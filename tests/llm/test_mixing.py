@@ -24,6 +24,18 @@ def test_shortage_goes_to_siblings_first():
     assert m.plan([], {}).budget == 0 and m.plan(sizes, {"a": (0.0, 1)}).budget == 0
 
 
+def test_shortage_stays_in_the_domain():
+    sizes = [("a", "en", 100), ("b", "en", 10_000), ("c", "en", 10_000)]
+    targets = {"a": (0.4, 1), "b": (0.2, 1), "c": (0.4, 1)}
+    root = m.plan(sizes, targets, total=1000.0, domains={"a": "x", "b": "x"})
+    got = {p: leaf.budget for p, leaf in m.each_leaf(root)}
+    assert got == {("x", "a", "en"): 100, ("x", "b", "en"): pytest.approx(500), ("c", "c", "en"): pytest.approx(400)}
+    flat = {p: leaf.budget for p, leaf in m.each_leaf(m.plan(sizes, targets, total=1000.0))}
+    assert flat == {("a", "en"): 100, ("b", "en"): pytest.approx(300), ("c", "en"): pytest.approx(600)}
+    full = m.plan(sizes, targets, total=20_050.0, domains={"a": "x", "b": "x"})
+    assert sum(leaf.budget for _, leaf in m.each_leaf(full)) == pytest.approx(20_050) and full.kids["x"].budget == pytest.approx(10_100)
+
+
 def test_selection(spark):
     rows = [(k, "a", "en" if k % 2 else None, 10) for k in range(200)] + [(1000 + k, "b", "en", 7) for k in range(5)] + [(2000, "x", "en", 5), (2001, "a", "en", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, tokens bigint")

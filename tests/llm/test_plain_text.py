@@ -9,7 +9,7 @@ from lodestrata.llm import plain_text as p
 
 CASES = [
     ("Stіwu", "Stiwu"), ("Ｒｅｌｅｖｅ́ ｄｅｓ", "Relevé des"), ("Sаnta　Deden", "Santa Deden"), ("Œ​uvry-Kïwe‍x", "Œuvry-Kïwex"), ("d'eau IΙ", "d'eau II"), ("𝚁𝚎gistro", "Registro"), ("Cизaвο", "Сизаво"),
-    ("993O7", "99307"), ("Regiﬆre Ⅱ", "Registre II"), ("a b", "a b"), ("tab\there", "tab here"), ("Legrethłόw", "Legrethłów"), ("각", "각"),
+    ("993O7", "99307"), ("Regiﬆre Ⅱ", "Registre II"), ("a b", "a b"), ("tab\there", "tab here"), ("Legrethłόw", "Legrethłów"), ("각", "각"), ("\U000114b9\U000114ba", "\U000114bb"),
 ]
 PLAIN = ["", "Τοφεζιπε", "Лимаиижуград", "L’stúzos — «x» “y” Straße łœ", "Château-Stúges (XA)", "é à ü", "Ζυκα", "bât. B – 2", "10 000"]
 
