@@ -81,13 +81,13 @@ def cosine_pairs(nodes: DataFrame, threshold: float = COSINE, check: bool = True
     n = nodes.count()
     df = post.groupBy("g").agg(F.count("*").alias("df"))
     own = W.partitionBy("node")
-    rest = own.orderBy(F.desc("df"), F.desc("g")).rowsBetween(W.unboundedPreceding, 0)
-    weighed = post.join(df, "g").withColumn("w", F.log1p(F.lit(float(n)) / F.col("df")))
+    weighed = post.join(df, "g").select("node", F.xxhash64("node").alias("id"), F.struct("df", F.xxhash64("g").alias("g")).alias("rank"), F.log1p(F.lit(float(n)) / F.col("df")).alias("w"))
+    rest = own.orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
     vec = weighed.withColumn("_rest", F.sum(F.col("w") * F.col("w")).over(rest)).withColumn("_all", F.sum(F.col("w") * F.col("w")).over(own))
     vec = vec.withColumn("rest", F.sqrt(F.greatest(F.lit(0.0), (F.col("_rest") - F.col("w") * F.col("w")) / F.col("_all"))))
-    vec = cut(vec.select("node", F.xxhash64("node").alias("id"), F.xxhash64("g").alias("g"), (F.col("w") / F.sqrt("_all")).alias("w"), (F.sqrt(F.col("_rest") / F.col("_all")) >= threshold).alias("prefix"), "rest"), "vectors")
     # numbers instead of names where all pairs with a common n-gram meet
-    pre = vec.where("prefix").withColumn("end", F.min("rest").over(own))
+    vec = cut(vec.select("id", "rank", F.col("rank.g").alias("g"), (F.col("w") / F.sqrt("_all")).alias("w"), (F.sqrt(F.col("_rest") / F.col("_all")) >= threshold).alias("prefix"), "rest"), "vectors")
+    pre = vec.where("prefix").withColumn("end", F.min("rest").over(W.partitionBy("id")))
     x, y = (pre.select(F.col("id").alias(k), "g", F.col("w").alias(f"w{k}"), F.col("rest").alias(f"r{k}"), F.col("end").alias(f"e{k}")) for k in "xy")
     own_dot = F.col("wx") * F.col("wy")
     # after the last common n-gram of both prefixes, one vector has only what follows its prefix,
@@ -98,10 +98,18 @@ def cosine_pairs(nodes: DataFrame, threshold: float = COSINE, check: bool = True
     large = F.broadcast(pre.groupBy("g").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_k")).where("_k > 1"))
     x = x.join(large, "g", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
     y = y.join(large, "g", "left").withColumn("_p", F.pmod("y", F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
-    met = x.join(y, ["g", "_p"]).where("x < y").groupBy("x", "y").agg(F.sum(up(own_dot)).alias("dot"), F.min(up(F.greatest(F.col("ex") * F.col("ry"), F.col("ey") * F.col("rx")))).alias("more"))
-    cand = cut(met.where(F.col("dot") + F.col("more") >= int(threshold * STEPS)).select("x", "y"), "candidates")
-    x, y = (vec.select(F.col("id").alias(k), "g", F.col("w").alias(f"w{k}")) for k in "xy")
-    pairs = cand.join(x, "x").join(y, ["y", "g"]).groupBy("x", "y").agg(F.sum(own_dot).alias("cosine")).where(F.col("cosine") >= threshold)
+    met = x.join(y, ["g", "_p"]).where("x < y").groupBy("x", "y").agg(F.sum(own_dot).alias("dot"), F.min(up(F.greatest(F.col("ex") * F.col("ry"), F.col("ey") * F.col("rx")))).alias("more"))
+    cand = cut(met.where(up(F.col("dot")) + F.col("more") >= int(threshold * STEPS)).select("x", "y", "dot"), "candidates")
+    # what the sum lacks are n-grams after the end of both prefixes, or of the one that ends first:
+    # they are all in what follows the prefix of that one
+    ends = vec.where("prefix").groupBy("id").agg(F.max("rank").alias("end"))
+    for k in "xy":
+        cand = cand.join(ends.select(F.col("id").alias(k), F.col("end").alias(f"end_{k}")), k)
+    short, other = F.when(F.col("end_x") <= F.col("end_y"), F.col("x")).otherwise(F.col("y")), F.when(F.col("end_x") <= F.col("end_y"), F.col("y")).otherwise(F.col("x"))
+    sides = cand.select("x", "y", "dot", short.alias("s"), other.alias("o"))
+    after = vec.where("not prefix").select(F.col("id").alias("s"), "g", F.col("w").alias("ws"))
+    more = sides.select("s", "o").join(after, "s").join(vec.select(F.col("id").alias("o"), "g", F.col("w").alias("wo")), ["o", "g"]).groupBy("s", "o").agg(F.sum(F.col("ws") * F.col("wo")).alias("_more"))
+    pairs = sides.join(more, ["s", "o"], "left").select("x", "y", (F.col("dot") + F.coalesce("_more", F.lit(0.0))).alias("cosine")).where(F.col("cosine") >= threshold)
     ids = nodes.select(F.xxhash64("node").alias("id"), "node")
     pairs = pairs.join(ids.select(F.col("id").alias("x"), F.col("node").alias("u")), "x").join(ids.select(F.col("id").alias("y"), F.col("node").alias("v")), "y")
     pairs = cut(pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "cosine"), "pairs")
