@@ -47,6 +47,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -223,6 +224,17 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(k).filter(keep) for k in range(3)), follows.filter(keep), pa.array(got, pa.float64()).filter(keep)], names=["new", "old", "seen", "follows", "score"])
 
 
+def observed(seen: Observation, name: str, none: object, written: DataFrame) -> object:
+    """What was observed while a table was written. A result without rows may never be
+    observed; ``none`` stands for that, but only where nothing was written."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        if not written.isEmpty():
+            raise
+        return none
+
+
 class Index:
     """The index in its folder. ``Index(spark, path)`` opens what is there or makes
     a new one; the number of buckets is fixed when it is made."""
@@ -284,7 +296,8 @@ class Index:
             self._append("order", new.selectExpr(f"explode({GRAMS}) as gram").groupBy("gram").agg(F.count("*").cast("int").alias("df")), load)
         seen = Observation()
         self._append("postings", postings(new, self.stored("order", also=load), self.buckets).observe(seen, F.collect_set("bucket").alias("buckets")), load)
-        pairs = self._candidates(load, seen.get["buckets"])
+        mine = self.spark.read.schema(STORED["postings"]).parquet(f"{self.path}/postings/load={load}")
+        pairs = self._candidates(load, observed(seen, "buckets", [], mine))
         links = cut(self._links(pairs, new, near), "links")
         self._label(new, links, load)
         if not first_load and about["least"] <= self.highest:
@@ -342,15 +355,16 @@ class Index:
         after, seen = twice(new.join(before, "sig", "left").select("sig", F.least("no", F.coalesce("seen", "no")).alias("first_no")))
         whole = lambda df: new.drop("words").join(df.select("sig", "first_no"), "sig")
         self._append("signatures", whole(after), load)
-        if not seen.get["moved"]:
+        written = self.spark.read.schema(STORED["signatures"]).parquet(f"{self.path}/signatures/load={load}")
+        if not observed(seen, "moved", 0, written):
             return
-        labels = cut(self.spark.read.schema(STORED["signatures"]).parquet(f"{self.path}/signatures/load={load}").select("sig", "first_no"), "labels")
+        labels = cut(written.select("sig", "first_no"), "labels")
         while True:  # until no number moves
             after, seen = twice(labels)
             now = cut(after, "labels")
             free(labels)
             labels = now
-            if not seen.get["moved"]:
+            if not observed(seen, "moved", 0, now):
                 break
         self._append("signatures", whole(labels), load)
         free(labels)
@@ -365,7 +379,7 @@ class Index:
             seen = Observation()
             now = got.join(moved, "first_no", "left").select("sig", F.least("first_no", F.coalesce("to_no", "first_no")).alias("first_no"), (F.col("to_no") < F.col("first_no")).alias("_gone"))
             got = cut(now.observe(seen, F.count_if("_gone").alias("gone")), "first").select("sig", "first_no")
-            if not seen.get["gone"]:
+            if not observed(seen, "gone", 0, got):
                 return got
 
 

@@ -184,9 +184,10 @@ def test_an_index_is_opened_again_and_read_in_part(spark, tmp_path):
         seen = []
         stored = late.stored
         late.stored = lambda what, only=None, also=None: seen.append((what, only, stored(what, only, also))) or seen[-1][2]
-        late.add(read_entries(spark, [entry(90_000 + k, "Brutagnud Campus")]))
+        variant = read_entries(spark, [entry(90_000 + k, ("Brutagnud", "Brutagudn", "Brutganud")[k] + " Campus")])
+        late.add(variant)
         sizes.append({what: len(only) for what, only, _ in seen if only is not None})
-        assert {(r.sig, r.first_no) for r in late.first_numbers().collect()} >= {(r.sig, 9) for r in read_entries(spark, [entry(90_000, "Brutagnud Campus")]).collect()}
+        assert {(r.sig, r.first_no) for r in late.first_numbers().collect()} >= {(r.sig, 9) for r in variant.collect()}
     # as many buckets whatever was accepted before, and a small part of all
     assert sizes[0] == sizes[1] == sizes[2] and all(n <= 60 for n in sizes[0].values()) and {"postings", "signatures"} <= set(sizes[0])
     # what a broken run left behind is not read
