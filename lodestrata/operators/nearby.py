@@ -22,13 +22,15 @@ no harm.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import cut
+
 EARTH_M = 6_371_000.0
 #: Rows of either side that the splits are drawn from, at most about.
 SAMPLE_ROWS = 60_000
@@ -154,7 +156,8 @@ def _spread(tree: dict, is_cand: bool):
             row, leaf, part = (np.repeat(x, copies) for x in (row, leaf, part))
             k = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
             block = tree["first"][leaf] + (part * tree["qp"][leaf] + k if is_cand else k * tree["qp"][leaf] + part)
-            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(ids[row]), pa.array(lat[row]), pa.array(lon[row])], names=["block", "id", "lat", "lon"])
+            more = [c.take(pa.array(row)) for c in b.columns[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(ids[row]), pa.array(lat[row]), pa.array(lon[row]), *more], names=["block", "id", "lat", "lon", *b.schema.names[3:]])
 
     return run
 
@@ -183,9 +186,10 @@ class BallTree:
             self.nodes[me] = (lo, hi, d, cut, a, b)
         return me
 
-    def pairs(self, query: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) indexes of all pairs at most ``reach`` apart."""
-        found_q, found_p, near = [], [], reach * reach * (1 + 1e-9)
+    def parts(self, query: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, point) indexes of all pairs at most ``reach`` apart, no more than
+        ``MATRIX_CELLS`` at once."""
+        near = reach * reach * (1 + 1e-9)
         stack = [(0, np.arange(len(query)))]
         while stack:
             node, q = stack.pop()
@@ -204,11 +208,12 @@ class BallTree:
                 part = q[k : k + step]
                 gap = query[part][:, None, :] - pts[None, :, :]
                 i, j = np.nonzero(np.einsum("ijk,ijk->ij", gap, gap) <= near)
-                found_q.append(part[i])
-                found_p.append(own[j])
-        none = np.zeros(0, int)
-        return np.concatenate(found_q or [none]), np.concatenate(found_p or [none])
+                yield part[i], own[j]
 
+    def pairs(self, query: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) indexes of all pairs at most ``reach`` apart."""
+        found, none = list(self.parts(query, reach)), np.zeros(0, int)
+        return np.concatenate([q for q, _ in found] or [none]), np.concatenate([p for _, p in found] or [none])
 
     def nearest(self, query: np.ndarray, reach: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(point or -1, squared distance) of the nearest point of each query within its
@@ -290,6 +295,56 @@ def points_within(
     return q.groupBy("block").cogroup(c.groupBy("block")).applyInArrow(_answer(reach, radius_m, schema), "query_id bigint, candidate_id bigint, metres double")
 
 
+def _first(reach: float, edges_m: Sequence[float], schema: pa.Schema):
+    """Grouped Arrow function: each query's first candidate of one block. Pairs are
+    looked at in parts of bounded size, and none is kept."""
+    edges = np.array(edges_m, float)
+
+    def run(query: pa.Table, cand: pa.Table) -> pa.Table:
+        if not query.num_rows or not cand.num_rows:
+            return schema.empty_table()
+        qi, qa, qo = (query.column(k).to_numpy() for k in ("id", "lat", "lon"))
+        ci, ca, co, layer = (cand.column(k).to_numpy() for k in ("id", "lat", "lon", "layer"))
+        order = np.lexsort((ci, layer))
+        rank = np.empty(len(ci), np.int64)
+        rank[order] = np.arange(len(ci))
+        none = len(edges) * len(ci)
+        best = np.full(len(qi), none)
+        for i, j in BallTree(unit_vectors(ca, co)).parts(unit_vectors(qa, qo), reach):
+            ring = np.searchsorted(edges, great_circle_m(qa[i], qo[i], ca[j], co[j]))
+            np.minimum.at(best, i, np.minimum(ring * len(ci) + rank[j], none))
+        hit = best < none
+        ring, at = best[hit] // len(ci), order[best[hit] % len(ci)]
+        return pa.table([pa.array(qi[hit]), pa.array(ring.astype(np.int32)), pa.array(layer[at]), pa.array(ci[at])], schema=schema)
+
+    return run
+
+
+def first_within(queries: DataFrame, candidates: DataFrame, edges_m: Sequence[float]) -> DataFrame:
+    """(query_id, ring, layer, candidate_id): of all candidates within the last of
+    ``edges_m`` (rising) the one in the innermost ring, there of the smallest layer,
+    there with the smallest id. Queries without any give no row.
+
+    Candidates have (id bigint, lat double, lon double, layer bigint), without nulls.
+    Of candidates at one place only the first can be an answer, and queries at one
+    place have the same answer, so each place is asked and answers once; a block
+    gives one row per place that asks, however many candidates are near.
+    """
+    reach = chord(edges_m[-1])
+    q = cut(queries.groupBy("lat", "lon").agg(F.min(F.col("id").cast("bigint")).alias("id")).select("id", "lat", "lon"), "asked")
+    c = candidates.groupBy("lat", "lon").agg(F.min(F.struct(F.col("layer").cast("bigint").alias("layer"), F.col("id").cast("bigint").alias("id"))).alias("_c"))
+    c = cut(c.select("_c.id", "lat", "lon", "_c.layer"), "places")
+    q_xyz, q_scale = _sample(q, q.count())
+    c_xyz, c_scale = _sample(c, c.count())
+    tree = Splits(c_xyz, q_xyz, c_scale, q_scale, reach).frozen()
+    kind = "block int, id bigint, lat double, lon double"
+    schema = pa.schema([("id", pa.int64()), ("ring", pa.int32()), ("layer", pa.int64()), ("candidate_id", pa.int64())])
+    blocks = q.mapInArrow(_spread(tree, False), kind).groupBy("block").cogroup(c.mapInArrow(_spread(tree, True), f"{kind}, layer bigint").groupBy("block"))
+    found = blocks.applyInArrow(_first(reach, edges_m, schema), "id bigint, ring int, layer bigint, candidate_id bigint").groupBy("id").agg(F.min(F.struct("ring", "layer", "candidate_id")).alias("_m"))
+    at = q.join(found, "id").select("lat", "lon", "_m")
+    return queries.select(F.col("id").alias("query_id"), "lat", "lon").join(at, ["lat", "lon"]).select("query_id", "_m.ring", "_m.layer", "_m.candidate_id")
+
+
 def nearest_of(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_id, candidate_id, metres): the nearest candidate of each query, the one
     with the smaller id where two are equally near.

@@ -160,10 +160,8 @@ def ring_category(spark: SparkSession, d: str) -> DataFrame:
     SELECT id AS c_custkey, arg_min(sid, (buf, layer, sid)) AS s_suppkey, min(buf)::INT AS buffer FROM m GROUP BY id""")
 def escalating_match(spark: SparkSession, d: str) -> DataFrame:
     c, s = _both(spark, d)
-    near = nearby.points_within(c, s.where("s_acctbal > 0"), 1_200_000.0)
-    buf = rules.ladder([(F.col("metres") <= 200_000, 0), (F.col("metres") <= 600_000, 1)], 2)
-    best = near.withColumn("buf", buf).groupBy("query_id").agg(F.min(F.struct("buf", F.pmod("candidate_id", F.lit(3)), "candidate_id")).alias("m"))
-    return best.select(F.col("query_id").alias("c_custkey"), F.col("m.candidate_id").alias("s_suppkey"), F.col("m.buf").alias("buffer"))
+    best = nearby.first_within(c, s.where("s_acctbal > 0").withColumn("layer", F.pmod("id", F.lit(3))), [200_000.0, 600_000.0, 1_200_000.0])
+    return best.select(F.col("query_id").alias("c_custkey"), F.col("candidate_id").alias("s_suppkey"), F.col("ring").alias("buffer"))
 
 
 @query(f"WITH {_PTS}, n AS (SELECT c.id, count(*) FILTER ({_DIST} <= 200000) AS a, count(*) FILTER ({_DIST} <= 500000) AS b FROM c CROSS JOIN s GROUP BY c.id) SELECT id AS c_custkey, a AS n_close, b AS n_near, CASE WHEN a > 0 THEN 'high' WHEN b > 0 THEN 'low' ELSE 'none' END AS hazard FROM n")

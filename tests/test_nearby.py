@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestrata.operators import nearby
@@ -36,6 +37,42 @@ def test_splits_and_hot_places(spark, monkeypatch):
     assert {(r[0], r[1]) for r in rows} == brute(a, b, 5000.0) and len(rows) == len({(r[0], r[1]) for r in rows})
 
 
+def test_first_within_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "BLOCK_CANDIDATES", 20)
+    monkeypatch.setattr(nearby, "BLOCK_QUERIES", 10)
+    a = around(80, 10, 10, 0.5) + [(1000 + k, 10.0, 10.0) for k in range(40)] + [(2000, -60.0, 10.0)]
+    b = around(150, 10, 10, 0.5) + [(1000 + k, 10.0, 10.0) for k in range(60)]
+    edges, want = [3000.0, 9000.0, 30000.0], {}
+    for i, x, y in a:
+        for j, u, v in b:
+            ring = int(np.searchsorted(edges, nearby.great_circle_m(x, y, u, v)))
+            if ring < 3:
+                want[i] = min(want.get(i, (9, 9, 9)), (ring, j % 3, j))
+    layered = frame(spark, b).selectExpr("*", "pmod(id, 3) as layer")
+    rows = nearby.first_within(frame(spark, a), layered, edges).collect()
+    assert {r.query_id: (r.ring, r.layer, r.candidate_id) for r in rows} == want and len(rows) == len(want) and {r[0] for r in want.values()} == {0, 1, 2}
+    assert nearby.first_within(frame(spark, a), layered.where("false"), edges).count() == nearby.first_within(frame(spark, []), layered, edges).count() == 0
+
+
+def test_no_block_of_escalating_match_holds_all_its_pairs(spark, monkeypatch):
+    from lodestrata.plans import q_relational
+
+    seen, real = [], nearby.great_circle_m
+    monkeypatch.setattr(nearby, "MATRIX_CELLS", 5000)
+    monkeypatch.setattr(nearby, "great_circle_m", lambda *x: seen.append(len(x[0])) or real(*x))
+    made = {}
+    for name in ("_answer", "_first"):
+        if hasattr(nearby, name):  # the function that a block is given to
+            f = getattr(nearby, name)
+            monkeypatch.setattr(nearby, name, lambda *x, f=f: made.setdefault("run", f(*x)))
+    tables = spark.range(10).selectExpr("id as c_custkey", "id as s_suppkey", "1.0 as s_acctbal")
+    monkeypatch.setattr(q_relational, "table", lambda *x: tables)
+    q_relational.escalating_match(spark, "")
+    n = 400
+    pts = pa.table({"id": np.arange(n), "lat": RNG.normal(0, 1, n), "lon": RNG.normal(0, 1, n), "layer": np.arange(n) % 3})
+    assert made["run"](pts, pts).num_rows == n and sum(seen) == n * n and max(seen) <= 5000
+
+
 def test_places_that_are_none(spark):
     rows = [(1, 0.0, 0.0, 1), (2, None, 1.0, 1), (3, 1.0, float("nan"), 1), (4, 91.0, 1.0, 1), (5, 1.0, -181.0, 1), (None, 1.0, 1.0, 1), (6, 1.0, 1.0, 1), (6, 2.0, 2.0, 2), (6, 2.0, 2.0, 2), (7, 0.0, 5.0, None)]
     df = spark.createDataFrame(rows, "k bigint, lat double, lon double, at int").selectExpr("*", "'x' as id")
