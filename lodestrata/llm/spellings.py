@@ -2,11 +2,12 @@
 
 Each spelling is reduced to its own words (``names.organisation``); spellings with
 the same words are one node. A node is a vector of character n-grams weighted by
-rarity over all nodes. A sparse cosine join finds the pairs of nodes above a
-threshold: n-grams are ordered from rare to frequent, and only the prefix of each
-vector is joined whose rest is too short to reach the threshold alone, which
-loses no pair. Pairs that can't reach it with what follows the prefixes are left
-out; the others are checked word by word, and average linkage groups the nodes.
+rarity over all nodes. Only nodes whose words go together are paired: they meet by
+keys of their words (``meeting``), are checked word by word, and those whose cosine
+is above a threshold are grouped by average linkage. The nearest nodes of a node,
+whatever their words, are found by a sparse cosine join: n-grams are ordered from
+rare to frequent, and only the prefix of each vector is joined whose rest is too
+short to reach the threshold alone, which loses no pair.
 The linkage merges all pairs that are each other's nearest at once, round by
 round; for average linkage that gives the same groups as one merge at a time,
 and no group has to fit into one task.
@@ -18,6 +19,7 @@ ties between equally near groups go to the smaller key.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,8 @@ STEPS = 65_536
 #: Nodes of an n-gram that are joined in one piece.
 PIECE = 1_000
 LINKAGE = 0.35
+#: Nodes whose keys are made at once.
+SLICE = 200
 
 
 def grams(key: str, n: int = GRAM) -> list[str]:
@@ -74,14 +78,135 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([s for s in score if s > 0], pa.float64())], names=["a", "b", "words"])
 
 
-def cosine_pairs(nodes: DataFrame, threshold: float = COSINE, check: bool = True) -> DataFrame:
-    """(a, b, cosine, words), a < b: pairs of nodes at least ``threshold`` alike."""
+def _weighed(nodes: DataFrame) -> DataFrame:
+    """(node, id, rank, w): the n-grams of each node with their weights."""
     gram_udf = F.arrow_udf(lambda k: pa.array([grams(x) for x in k.to_pylist()], pa.list_(pa.string())), "array<string>")
     post = cut(nodes.select("node", F.explode(gram_udf("node")).alias("g")), "postings")
     n = nodes.count()
     df = post.groupBy("g").agg(F.count("*").alias("df"))
-    own = W.partitionBy("node")
-    weighed = post.join(df, "g").select("node", F.xxhash64("node").alias("id"), F.struct("df", F.xxhash64("g").alias("g")).alias("rank"), F.log1p(F.lit(float(n)) / F.col("df")).alias("w"))
+    return post.join(df, "g").select("node", F.xxhash64("node").alias("id"), F.struct("df", F.xxhash64("g").alias("g")).alias("rank"), F.log1p(F.lit(float(n)) / F.col("df")).alias("w"))
+
+
+def _listed(word: str) -> bool:
+    return word in names.NICKNAMES or word in names.FULL_NAME
+
+
+def _left(word: str) -> set[str]:
+    """What is left of a word, and of the full name it is short for, without as many
+    letters as ``names`` lets differ."""
+    full = names.FULL_NAME.get(word, word)
+    out = names.shortened(word, 2 if len(word) >= 6 else 1 if len(word) >= 3 else 0)
+    return out if full == word else out | names.shortened(full)
+
+
+@functools.lru_cache(2)
+def _near_listed(n: int) -> dict[str, set[str]]:
+    """Listed first names by what is left of them."""
+    out: dict[str, set[str]] = {}
+    for w in {*names.NICKNAMES, *names.FULL_NAME}:
+        for k in _left(w):
+            out.setdefault(k, set()).add(w)
+    return out
+
+
+@functools.lru_cache(2_000)
+def _word(word: str) -> tuple[tuple[str, ...], ...]:
+    """Of one word: keys of equal words, keys of words with slips, prefixes that a short
+    form may be, keys if its first letter slipped, its possible initials, its last letters."""
+    x = word.rstrip(".") or word
+    left, known = _left(x), _near_listed(len(names.FULL_NAME))
+    listed = set().union(*(known.get(k, ()) for k in left))
+    full = names.FULL_NAME.get(x, x)
+    first = {w[0] for w in (x, full, *listed, *(names.FULL_NAME.get(n, n) for n in listed))}
+    if _listed(x):
+        sure, left, slipped = {f"N{x}"}, set(), set()
+    else:
+        sure = {f"N{n}" for n in listed} | {f"e{x}"}
+        left = left if len(x) >= 3 else set()
+        slipped = set().union(*(names.shortened(x[k:], 1 if len(x) >= 6 else 0) for k in range(3))) if len(x) >= 4 else set()
+    starts = {f"p{w[:k]}" for w in (x, full) for k in (2, 3, 4) if len(w) >= k}
+    return tuple(sure), tuple(left), tuple(starts), tuple(slipped), tuple(first), tuple(x[-2:])
+
+
+def meeting(node: str) -> tuple[set[tuple[str, str]], set[tuple[str, str]]]:
+    """(key, mark) of a node; those of the second set ask no other that doesn't ask.
+    Two nodes meet where they have a key in common and no mark or different ones.
+
+    ``names.same_name`` needs two pairs of words that go together (one, where both
+    names are one word), of which one is sure: no listed first names, and alike but
+    for two letters, or short forms. So two nodes of the same name share a key of the
+    sure pair with an initial of the other one; or, where both pairs differ in their
+    first letters, what is left of one word behind that, with one of the last two
+    letters of the other, since no more than one other slip is allowed. Equal words
+    have a key of their own, so that their nodes don't meet at all other keys, too.
+    """
+    asks, silent = set(), set()
+    words = node.split()
+    read = [_word(w) for w in words]
+    for k, (w, (sure, left, starts, slipped, _, _)) in enumerate(zip(words, read)):
+        others = [r for n, r in enumerate(read) if n != k]
+        first = set().union(*(r[4] for r in others)) if others else {"-"}
+        x = w.rstrip(".")
+        (silent if _listed(x) else asks).update((f"{s}|{t}", "") for s in sure for t in first)
+        asks.update((f"w{s}|{t}", x) for s in left for t in first)
+        silent.update((f"{s}|{t}", "") for s in starts for t in first)
+        if w.endswith(".") and len(x) > 1:
+            asks.update((f"p{x[:4]}|{t}", "") for t in first)
+        if slipped:
+            last = {c for r in others if r[3] for c in r[5]}
+            asks.update((f"z{s}|{t}", x[0]) for s in slipped for t in last)
+    return asks, silent - asks
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, SLICE):
+            ids, keys, asks = [], [], []
+            for i, n in zip(*(c.to_pylist() for c in b.slice(k, SLICE).columns)):
+                for own, ask in zip(meeting(n), (True, False)):
+                    ids += [i] * len(own)
+                    keys += own
+                    asks += [ask] * len(own)
+            cols = [pa.array(ids, pa.int64()), pa.array([x for x, _ in keys], pa.string()), pa.array([c or None for _, c in keys], pa.string()), pa.array(asks, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "k", "mark", "asks"])
+
+
+def same_pairs(nodes: DataFrame) -> DataFrame:
+    """(x, y, a, b, words): all pairs of nodes that ``names.same_name`` takes for the
+    same, by number and name; found by keys of their words, so that nodes that have
+    only n-grams in common never meet."""
+    kept = nodes.select(F.xxhash64("node").alias("id"), "node")
+    keys = kept.mapInArrow(_meeting, "id bigint, k string, mark string, asks boolean")
+    keys = keys.select("id", F.xxhash64("k").alias("k"), F.when(F.col("mark").isNotNull(), F.xxhash64("mark")).alias("mark"), "asks")
+    group = keys.groupBy("k").agg(F.expr("collect_list(struct(id, mark)) filter (where asks)").alias("asks"), F.expr("collect_list(id) filter (where not asks)").alias("silent"), F.expr("min(mark) <> max(mark)").alias("differ"))
+    group = group.where("size(asks) > 0 and size(asks) + size(silent) > 1 and coalesce(differ, true)").select(F.explode("asks").alias("x"), "asks", "silent")
+    later = "transform(filter(asks, v -> v.id > x.id and coalesce(v.mark <> x.mark, true)), v -> v.id)"
+    met = group.select("x.id", F.expr(f"explode(concat({later}, silent))").alias("y")).withColumnRenamed("id", "x").where("x <> y")
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    shown = met.join(kept.select(F.col("id").alias("x"), F.col("node").alias("u")), "x").join(kept.select(F.col("id").alias("y"), F.col("node").alias("v")), "y")
+    return cut(shown.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).mapInArrow(_checked, "a string, b string, words double"), "candidates")
+
+
+def same_cosine_pairs(nodes: DataFrame, threshold: float = COSINE) -> DataFrame:
+    """(a, b, cosine, words), a < b: pairs of nodes of the same name that are at least
+    ``threshold`` alike. The same pairs as those of ``cosine_pairs`` that are checked
+    afterwards, but only these are ever formed."""
+    pairs = same_pairs(nodes)
+    weighed = _weighed(nodes)
+    lengths = weighed.groupBy("node").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
+    of = lambda k: weighed.select(F.col("node").alias(k), F.col("rank.g").alias("g"), F.col("w").alias(f"w{k}"))
+    dots = pairs.join(of("a"), "a").join(of("b"), ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("_dot"), F.first("words").alias("words"))
+    for k in "ab":
+        dots = dots.join(lengths.select(F.col("node").alias(k), F.col("_l").alias(f"_l{k}")), k)
+    return cut(dots.select("a", "b", (F.col("_dot") / (F.col("_la") * F.col("_lb"))).alias("cosine"), "words").where(F.col("cosine") >= threshold), "pairs")
+
+
+def cosine_pairs(nodes: DataFrame, threshold: float = COSINE, check: bool = True) -> DataFrame:
+    """(a, b, cosine, words), a < b: pairs of nodes at least ``threshold`` alike; with
+    ``check`` only those of the same name, else without words."""
+    if check:
+        return same_cosine_pairs(nodes, threshold)
+    own, weighed = W.partitionBy("node"), _weighed(nodes)
     rest = own.orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
     vec = weighed.withColumn("_rest", F.sum(F.col("w") * F.col("w")).over(rest)).withColumn("_all", F.sum(F.col("w") * F.col("w")).over(own))
     vec = vec.withColumn("rest", F.sqrt(F.greatest(F.lit(0.0), (F.col("_rest") - F.col("w") * F.col("w")) / F.col("_all"))))
@@ -112,10 +237,7 @@ def cosine_pairs(nodes: DataFrame, threshold: float = COSINE, check: bool = True
     pairs = sides.join(more, ["s", "o"], "left").select("x", "y", (F.col("dot") + F.coalesce("_more", F.lit(0.0))).alias("cosine")).where(F.col("cosine") >= threshold)
     ids = nodes.select(F.xxhash64("node").alias("id"), "node")
     pairs = pairs.join(ids.select(F.col("id").alias("x"), F.col("node").alias("u")), "x").join(ids.select(F.col("id").alias("y"), F.col("node").alias("v")), "y")
-    pairs = cut(pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "cosine"), "pairs")
-    if not check:
-        return pairs
-    return pairs.join(cut(pairs.select("a", "b").mapInArrow(_checked, "a string, b string, words double"), "checked"), ["a", "b"])
+    return cut(pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "cosine"), "pairs")
 
 
 def nearest(nodes: DataFrame, n: int = 10, threshold: float = COSINE) -> DataFrame:

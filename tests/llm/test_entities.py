@@ -61,6 +61,27 @@ def test_no_pair_above_the_threshold_is_lost(spark):
     assert {(r.a, r.b) for r in spellings.cosine_pairs(df, 0.3).collect()} >= {("smith", "smyth")}
 
 
+def test_only_nodes_of_the_same_name_become_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [" ".join(sorted("".join(rng.choice(list("abdeor"), 7)) for _ in range(2))) for _ in range(50)]
+
+    def slipped(w):
+        k = int(rng.choice([0, 0, int(rng.integers(len(w) - 1))]))
+        return [w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + "z" + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + "q" + w[k:]][int(rng.integers(4))]
+
+    keys = sorted({*base, *(" ".join(sorted(slipped(w) for w in k.split())) for k in base), *(f"{k.split()[0]} {k.split()[1][0]}" for k in base[:20]), *(f"{k.split()[0]} {k.split()[1][:3]}." for k in base[20:40])})
+    keys += ["bob sterakor", "robert sterakor", "dobert sterakor", "rober terakor", "robert smitakor", "single", "sinlge"]
+    seen, real = {}, spellings.cut
+    monkeypatch.setattr(spellings, "cut", lambda df, name, *x: seen.setdefault(name, real(df, name, *x)))
+    got = {(r.a, r.b): r.words for r in spellings.cosine_pairs(spark.createDataFrame([(k,) for k in keys], "node string"), 0.3).collect()}
+    g = {k: set(spellings.grams(k)) for k in keys}
+    w = {x: np.log1p(len(keys) / sum(x in v for v in g.values())) for v in g.values() for x in v}
+    norm = {k: np.sqrt(sum(w[x] ** 2 for x in v)) for k, v in g.items()}
+    same = {(a, b): s for a, b in itertools.combinations(sorted(keys), 2) if (s := names.same_name(a, b))}
+    assert got == {(a, b): s for (a, b), s in same.items() if sum(w[x] ** 2 for x in g[a] & g[b]) / norm[a] / norm[b] >= 0.3} and len(got) > 60
+    assert seen["candidates"].count() == len(same)  # and not all that have n-grams in common
+
+
 def test_linkage_equals_one_merge_at_a_time(spark):
     rng = np.random.default_rng(8)
     n = 24
