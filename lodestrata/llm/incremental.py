@@ -6,29 +6,31 @@ number of the first entry of its project. It is opened again by any later
 session; a batch counts as taken in when its mark is written, and what a broken
 run left behind is never read.
 
-A batch is reduced to signatures. Those that the index knows are answered by
-their number; the tokens of the others probe the index. Tokens are
-
-* ``n``: what is left of the project's own name without one letter, or two where
-  verification allows two: names as far apart as that, swapped letters included,
-  share one of these at least, so no prefix has to be long enough for them;
-* ``g``: for names of over ``LONG`` letters, the prefix of the rarest 3-grams: two
-  edits spoil ``SPOILED`` at most, so one more than that is sure to meet;
-* ``o``: organisation and place, and ``u``: the address of an article with place or
-  neighbouring cells; these lead from or to an entry that carries no project's
-  name. Two entries with names of their own are found by ``n`` or ``g`` whenever
-  verification could accept them.
-
-Candidates are filtered by length, verified on their words, unit, place,
-coordinates and addresses, and the batch's signatures and postings are appended.
-
-Postings lie in buckets by what an edit hardly moves (country, unit, length and
-first letter of the token), signatures in buckets by country and length of name;
-files are sorted by bucket and in small parts that say which buckets they hold.
-A batch reads only the parts of the buckets that its own tokens and possible
-candidates name, so a small batch reads a small part of the index, however much
-has been accepted. Nothing is rewritten. Labels are settled per batch: signatures
-of earlier batches bring their first number along with the candidate pair.
+Entries are reduced to signatures. Those that the index knows are answered by
+their number. The others are compared
+
+* with entries that have a name of their own, too, within country and unit: names
+  meet if they have in common what is left without one letter, or two where
+  verification allows two. Names as far apart as that, swapped letters included,
+  have something of this in common, so no pair is lost. What is left is hashed in
+  the task, on whole arrays, and is neither stored nor shuffled; pairs without any
+  of the evidence that different names need are dropped there by bounds on letters
+  of the place, cells and addresses, which lose none that verification accepts;
+* by tokens, which are stored: ``g``: for names of over ``LONG`` letters, the prefix
+  of the rarest 3-grams: two edits spoil ``SPOILED`` at most, so one more than that
+  is sure to meet; ``o``: organisation and place, and ``u``: the address of an
+  article with place or neighbouring cells; these lead from or to an entry that
+  carries no project's name.
+
+Several batches that are there are taken in at once: one pass compares each entry
+with those of its own batch and of all before it. A later batch, in this session
+or another, is held against what is stored: signatures in buckets by country and
+length of name, postings in buckets by token; files are sorted by bucket and in
+small parts that say which buckets they hold. It reads only the parts of the
+buckets that its own tokens and possible candidates name, so a small batch reads a
+small part of the index, however much has been accepted. Nothing is rewritten.
+Labels are settled per load: signatures of earlier loads bring their first number
+along with the candidate pair.
 
 Edge cases: entries without a country, or whose name and organisation both have
 no letters, match nothing; missing places and coordinates are no evidence; an
@@ -46,6 +48,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -64,6 +67,14 @@ FEW = 256
 PART_BYTES = 1 << 20
 #: Lengths of names that have buckets of their own; longer ones share the last.
 LENGTHS = 60
+#: Entries of one country and unit, in one load, whose names are compared in one piece.
+GROUP = 20_000
+#: Pairs that are looked at in one go.
+CHUNK = 1_000_000
+#: A cell that no place is in.
+NOWHERE = -(1 << 40)
+#: Fixed value: multiplier of the hashes of letters.
+BASE = 0x9E3779B97F4A7C15
 GRAM = 3
 #: 3-grams that two edits can spoil; a swap of neighbours spoils four.
 SPOILED = 8
@@ -83,6 +94,8 @@ STORED = {
     "order": "gram string, df int",
 }
 NAMES = [c.split()[0] for c in SIGNATURE.split(", ")]
+LINKS = "new bigint, old bigint, seen bigint, earlier boolean, follows boolean, score double"
+LINK_NAMES = [c.split()[0] for c in LINKS.split(", ")]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,19 +138,8 @@ def read(df: DataFrame, no: str, batch: str, name: str, operator: str, place: st
     return got.withColumn("sig", F.xxhash64(*said, F.array_join("pages", " ")))
 
 
-def _without_one(word: str) -> str:
-    """SQL: what is left of a word without one of its letters."""
-    return f"transform(sequence(1, length({word})), i -> concat(substring({word}, 1, i - 1), substring({word}, i + 1)))"
-
-
 #: SQL: the distinct 3-grams of a name with its edges.
 GRAMS = f"array_distinct(transform(sequence(1, greatest(1, length(core) + 3 - {GRAM})), i -> substring(concat('_', core, '_'), i, {GRAM})))"
-#: SQL: two edits only count where the place is known.
-TWO = "(length(core) >= 6 and place <> '')"
-#: SQL: what is left of a name without the letters that verification lets go.
-LEFT = f"""case when core = '' then array() when length(core) > {LONG} then array(core) when {TWO}
-    then concat(array(core), {_without_one('core')}, flatten(transform({_without_one('core')}, w -> {_without_one('w').replace('i ->', 'k ->').replace('i - 1', 'k - 1').replace('i + 1', 'k + 1')})))
-    else concat(array(core), {_without_one('core')}) end"""
 #: SQL: cells at most one apart share a block of two.
 CELLS = ", ".join(f"concat('{x}{y}|', floor((cell_a + {x}) / 2), '|', floor((cell_b + {y}) / 2))" for x in (0, 1) for y in (0, 1))
 #: SQL: where an entry is; without two places or common cells, an address is no evidence.
@@ -152,16 +154,145 @@ def signature_bucket(buckets: int) -> Column:
     return F.expr(f"cast(pmod(crc32(cast(country as binary)) + least(length(core), {LENGTHS}), {buckets}) as int)")
 
 
-def postings(sigs: DataFrame, order: DataFrame, buckets: int) -> DataFrame:
-    """(token, kind, named, sig, bucket): the tokens of each signature."""
+def postings(sigs: DataFrame, order: DataFrame | None, buckets: int) -> DataFrame:
+    """(token, kind, named, sig, bucket): the tokens of each signature; order is None
+    if no name is long."""
     s = sigs.where("country is not null")
-    one = s.selectExpr("country", "unit", "core <> '' as named", "sig", f"explode(array_distinct({LEFT})) as w")
-    by_name = one.selectExpr("xxhash64('n', country, unit, w) as token", "'n' as kind", "named", "sig", f"cast(pmod(xxhash64('n', country, unit, length(w), substring(w, 1, 1)), {buckets}) as int) as bucket")
-    rest = s.selectExpr("core <> '' as named", "sig", f"explode(array_distinct({REST})) as w").selectExpr("xxhash64(w) as token", "substring(w, 1, 1) as kind", "named", "sig")
-    long = s.where(f"length(core) >= {LONG - 1}").selectExpr("core <> '' as named", "sig", "country", "unit", f"explode({GRAMS}) as gram")
-    rare = long.join(order, "gram", "left").groupBy("named", "sig", "country", "unit").agg(F.expr(f"slice(array_sort(collect_set(struct(coalesce(df, 0) as df, xxhash64(gram) as h, gram))), 1, {SPOILED + 1}) as r"))
-    rare = rare.selectExpr("named", "sig", "country", "unit", "explode(r.gram) as g").selectExpr("xxhash64('g', country, unit, g) as token", "'g' as kind", "named", "sig")
-    return by_name.unionByName(rest.unionByName(rare).withColumn("bucket", F.expr(f"cast(pmod(token, {buckets}) as int)")))
+    got = s.selectExpr("core <> '' as named", "sig", f"explode(array_distinct({REST})) as w").selectExpr("xxhash64(w) as token", "substring(w, 1, 1) as kind", "named", "sig")
+    if order is not None:
+        long = s.where(f"length(core) >= {LONG - 1}").selectExpr("core <> '' as named", "sig", "country", "unit", f"explode({GRAMS}) as gram")
+        rare = long.join(order, "gram", "left").groupBy("named", "sig", "country", "unit").agg(F.expr(f"slice(array_sort(collect_set(struct(coalesce(df, 0) as df, xxhash64(gram) as h, gram))), 1, {SPOILED + 1}) as r"))
+        got = got.unionByName(rare.selectExpr("named", "sig", "country", "unit", "explode(r.gram) as g").selectExpr("xxhash64('g', country, unit, g) as token", "'g' as kind", "named", "sig"))
+    return got.withColumn("bucket", F.expr(f"cast(pmod(token, {buckets}) as int)"))
+
+
+def _left(codes: np.ndarray, times: int) -> np.ndarray:
+    """Hashes of what is left of words of one length (a row of code points each)
+    without ``times`` letters, one column for each choice of letters."""
+    m, n = codes.shape
+    power = np.array([pow(BASE, k, 1 << 64) for k in range(n + 1)], np.uint64)
+    sums = np.zeros((m, n + 1), np.uint64)  # of the first k letters
+    for k in range(n):
+        sums[:, k + 1] = sums[:, k] * power[1] + codes[:, k]
+    part = lambda i, j: sums[:, j] - sums[:, i] * power[j - i]  # of letters i to j
+    if times == 0:
+        return sums[:, n:]
+    if times == 1:
+        return np.stack([sums[:, i] * power[n - 1 - i] + part(i + 1, n) for i in range(n)], 1)
+    return np.stack([sums[:, i] * power[n - 2 - i] + part(i + 1, j) * power[n - 1 - j] + part(j + 1, n) for i in range(n) for j in range(i + 1, n)], 1)
+
+
+def _met(tokens: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different words that have a token in common, some more than once."""
+    by = np.argsort(tokens, kind="stable")
+    tokens, of = tokens[by], of[by]
+    at, k = np.arange(len(tokens)), 1
+    while len(at):
+        at = at[at + k < len(tokens)]
+        at = at[tokens[at + k] == tokens[at]]
+        for p in range(0, len(at), CHUNK):
+            x, y = of[at[p : p + CHUNK]], of[at[p : p + CHUNK] + k]
+            other = x != y
+            yield x[other], y[other]
+        k += 1
+
+
+def _each(i: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each row of i with the rows start on, as many as size."""
+    ends, p = np.cumsum(size), 0
+    while p < len(i):
+        q = max(p + 1, int(np.searchsorted(ends, (ends[p - 1] if p else 0) + CHUNK, "right")))
+        n = size[p:q]
+        yield np.repeat(i[p:q], n), np.repeat(start[p:q], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        p = q
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """Bits of the letters that each word has once, and twice, at least: an edit changes two at most."""
+    out = np.zeros((len(words), 2), np.uint64)
+    for k, w in enumerate(words):
+        once = twice = 0
+        for c in w:
+            b = 1 << (ord(c) & 63)
+            twice |= once & b
+            once |= b
+        out[k] = once, twice
+    return out
+
+
+def _named_pairs(core: list[str], place: list[str], org: list[str], cells: tuple[np.ndarray, np.ndarray], pages: list, mine: np.ndarray, piece: int, pieces: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (of one country and unit, sorted by core) that verification could
+    accept, each once: names with a letter or two left out that are the same, and
+    what can be seen at once of the evidence that different names need. Equal names
+    are paired for the rows that are ``mine``, others by the tokens of the piece."""
+    words, start, word, size = np.unique(np.array(core, dtype=object), return_index=True, return_inverse=True, return_counts=True)
+    own = np.flatnonzero(mine)
+    yield from _each(own, own + 1, (start + size)[word[own]] - own - 1)
+
+    spots, spot = np.unique(np.array(place, dtype=object), return_inverse=True)
+    squeezed = [p.replace(" ", "") for p in spots]
+    bits, wide = _letters(squeezed), np.array([len(p) for p in spots])
+    # the end of one may be the other
+    tails = np.array([hash(p[-4:]) if len(p) >= 4 else k for k, p in enumerate(squeezed)])
+    known, worked, (a, b) = wide > 0, np.array([o != "" for o in org]), cells
+    paged = np.array([functools.reduce(lambda x, u: x | 1 << (hash(u) & 63), urls or (), 0) for urls in pages], np.uint64)
+
+    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        p, q = spot[i], spot[j]
+        apart = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=int)
+        most = (np.maximum(wide[p], wide[q]) * 0.3 + 1e-6).astype(int)
+        return known[p] & known[q] & ((apart <= 2 * most) | (tails[p] == tails[q]))
+
+    def backed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        close = (a[i] != NOWHERE) & (a[j] != NOWHERE) & (abs(a[i] - a[j]) <= 1) & (abs(b[i] - b[j]) <= 1)
+        return alike(i, j) | close | (paged[i] & paged[j] != 0) | (worked[i] & worked[j])
+
+    lengths = np.array([len(w) for w in words])
+    placed = np.bincount(word, known[spot], len(words)) > 0
+    tokens: list[list] = [[], [], []]
+    for n in np.unique(lengths[lengths <= LONG]):
+        for times in (0, 1, 2) if n >= 6 else (0, 1):
+            # two edits only count where the place is known
+            of = np.flatnonzero((lengths == n) & (placed | (times < 2)))
+            left = _left(np.array([[ord(c) + 1 for c in words[w]] for w in of], np.uint64).reshape(-1, n), times)
+            of, left = np.repeat(of, left.shape[1]), left.ravel()
+            if pieces > 1:
+                here = (left ^ (left >> np.uint64(29))) % np.uint64(pieces) == piece
+                left, of = left[here], of[here]
+            tokens[times].append((left, of))
+    found = [np.zeros(0, int)]
+    for times, seem in ((1, backed), (2, alike)):
+        got = [x for t in range(times + 1) for x in tokens[t]]
+        for x, y in _met(*(np.concatenate(c) for c in zip(*got))) if got else ():
+            for k, i in _each(np.arange(len(x)), start[x], size[x]):
+                for i_, j in _each(i, start[y[k]], size[y[k]]):
+                    ok = seem(i_, j)
+                    found.append(np.unique(np.minimum(i_, j)[ok] * len(core) + np.maximum(i_, j)[ok]))
+    both = np.unique(np.concatenate(found))
+    yield both // len(core), both % len(core)
+
+
+def _named_links(key: tuple, group: pa.Table) -> pa.Table:
+    """Verified pairs of a group (country, unit, piece, pieces) of entries with names of their own."""
+    piece, pieces = key[2].as_py(), key[3].as_py()
+    group = group.sort_by([("core", "ascending"), ("sig", "ascending")])
+    said = {n: group[n].to_pylist() for n in NAMES}
+    told, seen, batch = list(zip(*said.values())), group["seen"].to_pylist(), group["batch"].to_pylist()
+    cells = tuple(np.array([NOWHERE if c is None else c for c in said[n]]) for n in ("cell_a", "cell_b"))
+    # what was taken in before comes first, what has no batch number after all others
+    order = {x: k for k, x in enumerate(sorted({x for x in batch if x is not None}))} | {None: len(batch)}
+    rank = np.array([-1 if s is not None else order[x] for s, x in zip(seen, batch)])
+    sig = group["sig"].to_numpy()
+    out = []
+    for i, j in _named_pairs(said["core"], said["place"], said["org"], cells, said["pages"], sig % pieces == piece, piece, pieces):
+        for x, y in ((i, j), (j, i)):
+            ok = (rank[x] >= 0) & (rank[y] <= rank[x])
+            for n, o in zip(x[ok].tolist(), y[ok].tolist()):
+                score = same_project(told[n], told[o])
+                if score > 0:
+                    out.append((sig[n], sig[o], seen[o], bool(rank[o] < rank[n]), False, score))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.float64())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds)], names=LINK_NAMES)
 
 
 def near_cells(a: tuple, b: tuple) -> bool | None:
@@ -217,11 +348,11 @@ def same_project(a: tuple, b: tuple) -> float:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = len(NAMES)
     for b in batches:
-        cols = [c.to_pylist() for c in b.columns[3:]]
+        cols = [c.to_pylist() for c in b.columns[4:]]
         got = [same_project(row[:n], row[n:]) for row in zip(*cols)]
         keep = pa.array([s > 0 for s in got], pa.bool_())
         follows = pa.array([not c for c in cols[1]], pa.bool_())
-        yield pa.RecordBatch.from_arrays([*(b.column(k).filter(keep) for k in range(3)), follows.filter(keep), pa.array(got, pa.float64()).filter(keep)], names=["new", "old", "seen", "follows", "score"])
+        yield pa.RecordBatch.from_arrays([*(b.column(k).filter(keep) for k in range(4)), follows.filter(keep), pa.array(got, pa.float64()).filter(keep)], names=LINK_NAMES)
 
 
 def observed(seen: Observation, name: str, none: object, written: DataFrame) -> object:
@@ -277,42 +408,62 @@ class Index:
         return sorted(own), sorted(near)
 
     def add(self, entries: DataFrame) -> None:
-        """Take in a batch of ``read`` entries."""
+        """Take in ``read`` entries of a batch, or of several in the order of their
+        numbers: each is held against itself, those before it and what the index has."""
         load, first_load = uuid.uuid4().hex, not self.loads
         told = entries.where("country is not null and (core <> '' or org <> '')")
-        # as many kinds as countries and lengths
-        about = told.agg(F.min("no").alias("least"), F.max("no").alias("most"), F.collect_set(F.concat_ws("|", "country", F.least(F.length("core"), F.lit(LENGTHS)))).alias("kinds")).first()
-        if about["least"] is None:
+        kind = F.concat_ws("|", "country", F.least(F.length("core"), F.lit(LENGTHS)))
+        # a row per batch, as many kinds as countries and lengths
+        about = sorted(told.groupBy("batch").agg(F.min("no").alias("least"), F.max("no").alias("most"), F.collect_set(kind).alias("kinds")).collect(), key=lambda r: (r["batch"] is None, r["batch"]))
+        if not about:
             return
-        own, near = self._reach(about["kinds"])
-        sigs = told.groupBy("sig").agg(F.min("no").alias("no"), *[F.first(c).alias(c) for c in (*NAMES, "words")]).withColumn("bucket", signature_bucket(self.buckets))
+        kinds = sorted({k for r in about for k in r["kinds"]})
+        long = any(int(k.rpartition("|")[2]) >= LONG - 1 for k in kinds)
+        highest, late = self.highest, False
+        for r in about:
+            late = late or highest is not None and r["least"] <= highest
+            highest = r["most"] if highest is None else max(highest, r["most"])
+        own, near = self._reach(kinds)
+        first = F.min(F.struct(F.isnull("batch"), "batch", "no"))  # of the first batch that has it
+        sigs = told.groupBy("sig").agg(first.alias("_f"), F.min("no").alias("least"), *[F.first(c).alias(c) for c in (*NAMES, "words")])
+        sigs = sigs.select("sig", "_f.no", "_f.batch", "least", *NAMES, "words").withColumn("bucket", signature_bucket(self.buckets))
         if not first_load:
             known = self.stored("signatures", own).groupBy("sig").agg(F.min("first_no").alias("seen"))
             sigs = sigs.join(known, "sig", "left")
         both = cut(sigs, "new")
         new = both if first_load else both.where("seen is null").drop("seen")
-        if first_load:
-            # the order of rarity is that of the first batch; it decides the work, not the result
-            self._append("order", new.selectExpr(f"explode({GRAMS}) as gram").groupBy("gram").agg(F.count("*").cast("int").alias("df")), load)
+        if first_load and long:
+            # the order of rarity is that of the first load; it decides the work, not the result
+            self._append("order", new.where(f"length(core) >= {LONG - 1}").selectExpr(f"explode({GRAMS}) as gram").groupBy("gram").agg(F.count("*").cast("int").alias("df")), load)
         seen = Observation()
-        self._append("postings", postings(new, self.stored("order", also=load), self.buckets).observe(seen, F.collect_set("bucket").alias("buckets")), load)
+        self._append("postings", postings(new, self.stored("order", also=load) if long else None, self.buckets).observe(seen, F.collect_set("bucket").alias("buckets")), load)
         mine = self.spark.read.schema(STORED["postings"]).parquet(f"{self.path}/postings/load={load}")
+        every = new.select("sig", "no", "batch", *NAMES, F.lit(None).cast("bigint").alias("seen"))
+        if not first_load:
+            before = self.stored("signatures", near)
+            every = every.unionByName(before.select("sig", "no", F.lit(None).cast("bigint").alias("batch"), *NAMES, F.col("first_no").alias("seen")))
         pairs = self._candidates(load, observed(seen, "buckets", [], mine))
-        links = cut(self._links(pairs, new, near), "links")
+        links = cut(self._links(pairs, new, every).unionByName(self._named(every)), "links")
         self._label(new, links, load)
-        if not first_load and about["least"] <= self.highest:
+        if late:
             # entries that come late with smaller numbers: the first of their projects give way to them
-            now = self.spark.read.schema(STORED["signatures"]).parquet(f"{self.path}/signatures/load={load}").select(F.col("sig").alias("new"), "first_no")
-            late = links.where("seen is not null and not follows").join(now, "new").where("first_no < seen").join(new.select(F.col("no").alias("first_no")), "first_no", "left_semi")
-            again = both.where("no < seen").select(F.col("seen").alias("first_no"), F.col("no").alias("to_no"))
-            self._append("moved", again.unionByName(late.select(F.col("seen").alias("first_no"), F.col("first_no").alias("to_no"))), load)
-        self.highest = about["most"] if first_load else max(about["most"], self.highest)
+            now = self.spark.read.schema(STORED["signatures"]).parquet(f"{self.path}/signatures/load={load}").groupBy("sig").agg(F.min("first_no").alias("first_no"))
+            at = new.select("sig", F.struct(F.isnull("batch"), F.coalesce("batch", F.lit(0))).alias("_b"), "no")
+            ahead = links.where("earlier and not follows").join(now.join(at, "sig").select(F.col("sig").alias("new"), "first_no", "_b"), "new")
+            ahead = ahead.join(now.select(F.col("sig").alias("old"), F.col("first_no").alias("_o")), "old", "left").withColumn("seen", F.coalesce("seen", "_o")).where("first_no < seen")
+            ahead = ahead.join(at.select("_b", F.col("no").alias("first_no")), ["_b", "first_no"], "left_semi").select(F.col("seen").alias("first_no"), F.col("first_no").alias("to_no"))
+            again = new.join(now, "sig").where("least < first_no").select("first_no", F.col("least").alias("to_no"))
+            if not first_load:
+                again = again.unionByName(both.where("least < seen").select(F.col("seen").alias("first_no"), F.col("least").alias("to_no")))
+            self._append("moved", again.unionByName(ahead), load)
+        self.highest = highest
         mark(self.spark, f"{self.path}/loads/{len(self.loads):08d}-{load}-{self.highest}")
         self.loads.append(load)
         free(both, links)
 
     def _candidates(self, load: str, buckets: list[int]) -> DataFrame:
-        """(new, old): signatures of this load with all others that share a token."""
+        """(new, old): signatures of this load with all others that share a token, one
+        without a project's name or both long."""
         mine = self.spark.read.schema(STORED["postings"]).parquet(f"{self.path}/postings/load={load}")
         probe = mine.select("token", F.col("kind").alias("kind_new"), F.col("named").alias("named_new"), F.col("sig").alias("new"))
         every = self.stored("postings", sorted(buckets), also=load).select("token", "named", F.col("sig").alias("old"))
@@ -324,20 +475,25 @@ class Index:
         found = probe.join(every, ["token", "_p"]).where("new <> old and not (kind_new in ('o', 'u') and named_new and named)")
         return found.select("new", "old").distinct()
 
-    def _links(self, pairs: DataFrame, new: DataFrame, buckets: list[int]) -> DataFrame:
-        """(new, old, seen, follows) of verified pairs; seen is the first number of a
-        signature accepted before."""
-        attributes = lambda df, k, *more: df.selectExpr(f"sig as {k}", *more, *[f"{n} as {n}_{k}" for n in NAMES])
-        every = attributes(new, "old", "cast(null as bigint) as seen")
-        if self.loads:
-            every = every.unionByName(attributes(self.stored("signatures", buckets), "old", "first_no as seen"))
-        both = pairs.join(attributes(new, "new"), "new").join(every, "old")
+    def _named(self, every: DataFrame) -> DataFrame:
+        """Links between entries with names of their own, found within country and unit;
+        a large group comes as often as it has pieces, each with its own tokens."""
+        named = every.where("core <> ''")
+        large = F.broadcast(named.groupBy("country", "unit").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_k")).where("_k > 1"))
+        cut_up = named.join(large, ["country", "unit"], "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        return cut_up.groupBy("country", "unit", "_p", "_k").applyInArrow(_named_links, LINKS).select("new", "old", "seen", "earlier", "follows")
+
+    def _links(self, pairs: DataFrame, new: DataFrame, every: DataFrame) -> DataFrame:
+        """(new, old, seen, earlier, follows) of verified pairs; seen is the first number
+        of a signature accepted before, earlier says if the old one is of a batch before."""
+        attributes = lambda df, k, *more: df.select(F.col("sig").alias(k), *more, F.struct(F.isnull("batch"), F.coalesce("batch", F.lit(0))).alias(f"_b_{k}"), *[F.col(n).alias(f"{n}_{k}") for n in NAMES])
+        both = pairs.join(attributes(new, "new"), "new").join(attributes(every, "old", "seen"), "old").where("seen is not null or _b_old <= _b_new")
         # lengths apart by more than verification allows
         both = both.where("core_new = '' or core_old = '' or abs(length(core_new) - length(core_old)) <= 2")
-        shown = both.select("new", "old", "seen", *[f"{n}_new" for n in NAMES], *[f"{n}_old" for n in NAMES])
-        held = shown.mapInArrow(_verified, "new bigint, old bigint, seen bigint, follows boolean, score double")
+        shown = both.select("new", "old", "seen", F.expr("seen is not null or _b_old < _b_new").alias("earlier"), *[f"{n}_new" for n in NAMES], *[f"{n}_old" for n in NAMES])
+        held = shown.mapInArrow(_verified, LINKS)
         # an entry without a project's name follows the one it fits best, and joins no others
-        return held.withColumn("top", F.max("score").over(W.partitionBy("new"))).where("not follows or score = top").select("new", "old", "seen", "follows")
+        return held.withColumn("top", F.max("score").over(W.partitionBy("new"))).where("not follows or score = top").select("new", "old", "seen", "earlier", "follows")
 
     def _label(self, new: DataFrame, links: DataFrame, load: str) -> None:
         """Store the signatures with ``first_no``, the smallest number that each leads to."""
@@ -353,7 +509,7 @@ class Index:
             return step(step(now).drop("_last")).observe(seen, F.count_if(F.col("first_no") < F.col("_last")).alias("moved")), seen
 
         after, seen = twice(new.join(before, "sig", "left").select("sig", F.least("no", F.coalesce("seen", "no")).alias("first_no")))
-        whole = lambda df: new.drop("words").join(df.select("sig", "first_no"), "sig")
+        whole = lambda df: new.drop("words", "batch", "least").join(df.select("sig", "first_no"), "sig")
         self._append("signatures", whole(after), load)
         written = self.spark.read.schema(STORED["signatures"]).parquet(f"{self.path}/signatures/load={load}")
         if not observed(seen, "moved", 0, written):
@@ -385,13 +541,9 @@ class Index:
 
 def duplicates(entries: DataFrame, index: Index | None = None) -> DataFrame:
     """(first_no, dup_no) of ``read`` entries that come in numbered batches: each
-    batch is checked against the index of those before it and then taken in."""
-    spark = entries.sparkSession
-    path = shared_path(spark, "entries")
-    entries.repartition("batch").write.partitionBy("batch").parquet(path)
-    stored = spark.read.schema(entries.schema).parquet(path)
-    index = index or Index(spark)
-    # one number per batch
-    for k in sorted((r["batch"] for r in stored.select("batch").distinct().collect()), key=lambda k: (k is None, k)):
-        index.add(stored.where(F.col("batch").eqNullSafe(F.lit(k))))
+    batch is checked against those before it and the index, and taken in; all that
+    are there are taken in at once, so none goes through the batches before it again."""
+    stored = cut(entries, "entries")
+    index = index or Index(entries.sparkSession)
+    index.add(stored)
     return stored.select("no", "sig").join(index.first_numbers(), "sig").where("first_no < no").select("first_no", F.col("no").alias("dup_no"))

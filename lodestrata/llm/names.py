@@ -98,11 +98,17 @@ def shortened(word: str, times: int = 1) -> set[str]:
     return out
 
 
+@functools.lru_cache(50_000)
+def _shorter(word: str) -> frozenset[str]:
+    """``shortened`` by one; one word is looked up in several lists."""
+    return frozenset(shortened(word))
+
+
 class Words:
     """Words found also if a letter is wrong, from five letters on."""
 
-    def __init__(self, words) -> None:
-        self.words = set(words)
+    def __init__(self, words, least: int = 5) -> None:
+        self.words, self.least = set(words), least
         self.short: dict[str, list[str]] = {}
         for w in self.words:
             if len(w) >= 5:
@@ -112,9 +118,9 @@ class Words:
     def find(self, word: str) -> str | None:
         if word in self.words:
             return word
-        if len(word) >= 5:
-            for s in shortened(word):
-                for w in self.short.get(s, ()):
+        if len(word) >= self.least:
+            for s in _shorter(word) & self.short.keys():
+                for w in self.short[s]:
                     if near(word, w, 1) <= 1:
                         return w
         return None
@@ -122,6 +128,8 @@ class Words:
 
 _PARTICLE = Words(PARTICLES)
 _FACILITY, _UNIT, _BUSINESS = Words(FACILITY), Words([*PHASE, *BUILDING, *(w for w in WINGS if len(w) >= 5)]), Words(BUSINESS)
+_BEGINNINGS = {b[:n] for b in BUSINESS for n in range(3, len(b) + 1)}
+_GROUP = Words((g for g in GROUPS if len(g) >= 5), least=4)
 
 
 def joined_initials(text: str) -> str:
@@ -141,9 +149,9 @@ def organisation(folded: str) -> str:
         every.append(w)
         if w in LEGAL or w in GROUPS or w in SHORT or (w in TITLES and (len(w) > 1 or not dot)):
             continue
-        if _BUSINESS.find(w) or (len(w) >= 3 and any(b.startswith(w) for b in BUSINESS)):
+        if _BUSINESS.find(w) or w in _BEGINNINGS:
             continue
-        if any(near(w, g, 1) <= 1 for g in GROUPS if len(g) >= 5):
+        if _GROUP.find(w):
             continue
         own.append(w + "." if dot and 1 < len(w) <= 4 else w)
     return " ".join(sorted(own or every))

@@ -249,3 +249,57 @@ def test_candidates_cover_all_that_verification_allows(spark):
     read = {r.no: r.core for r in read_entries(spark, rows).collect()}
     want = {(k, 1000 + k) for k in range(len(base)) if names.near(read[k], read[1000 + k], 2) <= 2 and min(len(read[k]), len(read[1000 + k])) >= 6}
     assert len(want) > 50 and want <= batches(spark, rows)
+
+
+def test_more_batches_read_no_more(spark, monkeypatch):
+    read, stored = [], incremental.Index.stored
+    monkeypatch.setattr(incremental.Index, "stored", lambda self, what, *a, **k: read.append(what) or stored(self, what, *a, **k))
+    words = [c for c, _, _, _ in made()[:24]]
+    rows = [entry(k, f"{w.title()} Campus", 0) for k, w in enumerate(words)] + [entry(100 + k, f"{w[1::-1].title()}{w[2:]} Campus", 0) for k, w in enumerate(words)]
+    sizes = []
+    for n in (1000, 6):
+        assert batches(spark, [(no, no // n, *rest) for no, _, *rest in rows]) >= {(k, 100 + k) for k in range(24)}
+        sizes.append(len(read))
+        read.clear()
+    assert sizes[0] == sizes[1]
+
+
+def test_batches_at_once_or_one_by_one(spark):
+    words = [c for c, _, _, _ in made()[:12]]
+    rows = [entry((7 * k) % 36, f"{(w if k % 3 else w[1::-1] + w[2:]).title()} Campus", k % 4 or None) for k, w in enumerate(words * 3)]
+    rows += [(100, 1, "Kodrodo & Tokom", None, "Luzi", "XA", None, None, ["https://b.example/bewanart-77"]), (98, 2, "Bewanart", "Tokom Kodrodo SA", "Luzi", "XA", None, None, ["https://b.example/bewanart-77"])]
+    whole, index = read_entries(spark, rows), incremental.Index(spark)
+    for k in (1, 2, 3, None):
+        index.add(whole.where(F.col("batch").eqNullSafe(F.lit(k))))
+    parts = {(r.first_no, r.no) for r in whole.join(index.first_numbers(), "sig").where("first_no < no").collect()}
+    assert parts == batches(spark, rows) and {d for _, d in parts} & {100, 98}
+
+
+def test_names_meet_whenever_verification_accepts_them():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("bdgkmnrstaeio"), n))
+
+    def slip(w, times):
+        for _ in range(times):
+            k = int(rng.integers(0, max(1, len(w) - 1)))
+            w = (w[:k] + w[k + 1 :], w[:k] + "x" + w[k:], w[:k] + "y" + w[k + 1 :], w[:k] + w[k + 1 : k + 2] + w[k : k + 1] + w[k + 2 :])[rng.integers(0, 4)] or w
+        return w
+
+    rows = []
+    for base in (word(rng.integers(2, 19)) for _ in range(150)):
+        town, at = word(9), int(rng.integers(-500, 500))
+        for _ in range(5):
+            place = ("", slip(town, 1), slip(town, 2), town, town[3:])[rng.integers(0, 5)]
+            cell = None if rng.random() < 0.3 else at + int(rng.integers(-1, 2))
+            rows.append(("XA", slip(base, rng.integers(0, 3)), "", place, ("", "tokom kodrodo", "tokon kodrodo")[rng.integers(0, 3)], "", cell, cell, [["a/1"], None, []][rng.integers(0, 3)]))
+    batch = [None if k % 5 == 0 else k % 4 for k in range(len(rows))]
+    order = [9 if b is None else b for b in batch]
+    table = pa.table([list(c) for c in zip(*rows)] + [list(range(len(rows))), batch, [None] * len(rows)], names=[*incremental.NAMES, "sig", "batch", "seen"])
+    want = {(n, o) for n, a in enumerate(rows) for o, b in enumerate(rows) if n != o and order[o] <= order[n] and incremental.same_project(a, b)}
+    assert len(want) > 400
+    for pieces in (1, 3):
+        got = [r for p in range(pieces) for r in incremental._named_links((None, None, pa.scalar(p), pa.scalar(pieces)), table).to_pylist()]
+        assert {(r["new"], r["old"]) for r in got} == want
+        assert all(r["earlier"] == (order[r["old"]] < order[r["new"]]) for r in got)
