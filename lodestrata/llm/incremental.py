@@ -111,7 +111,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pages = [names.address(u) for u in urls[k] or [] if u]
             hint = names.slug(pages[0]) if pages and (urls[k] or [None])[0] else ""
             squeezed = place.replace(" ", "")
-            if hint in PAGE_WORDS or squeezed and (squeezed in hint or hint in squeezed or names.likeness(hint, squeezed) > 0.6):
+            if hint in PAGE_WORDS or squeezed and (squeezed in hint or hint in squeezed or names.more_alike(hint, squeezed, 0.6)):
                 hint = ""
             a = b_ = None
             if _valid(lat[k]) and _valid(lon[k]) and not (lat[k] == 0 and lon[k] == 0):
@@ -140,10 +140,10 @@ def read(df: DataFrame, no: str, batch: str, name: str, operator: str, place: st
 
 #: SQL: the distinct 3-grams of a name with its edges.
 GRAMS = f"array_distinct(transform(sequence(1, greatest(1, length(core) + 3 - {GRAM})), i -> substring(concat('_', core, '_'), i, {GRAM})))"
-#: SQL: cells at most one apart share a block of two.
-CELLS = ", ".join(f"concat('{x}{y}|', floor((cell_a + {x}) / 2), '|', floor((cell_b + {y}) / 2))" for x in (0, 1) for y in (0, 1))
+#: SQL: an entry without a project's name asks the cells around its own, too.
+CELLS = "if(core <> '', array(concat_ws('|', cell_a, cell_b)), flatten(transform(sequence(cell_a - 1, cell_a + 1), x -> transform(sequence(cell_b - 1, cell_b + 1), y -> concat_ws('|', x, y)))))"
 #: SQL: where an entry is; without two places or common cells, an address is no evidence.
-WHERE = f"concat(if(place <> '', array('p'), array()), if(cell_a is not null, array({CELLS}), array()))"
+WHERE = f"concat(if(place <> '', array('p'), array()), if(cell_a is not null, {CELLS}, array()))"
 REST = f"""concat(
     if(place <> '', flatten(transform(words, w -> transform(array(substring(place, 1, 3), substring(place, -3, 3)), e -> concat_ws('|', 'o', country, w, e)))), array()),
     flatten(transform(coalesce(pages, array()), p -> transform({WHERE}, w -> concat_ws('|', 'u', country, p, w)))),
@@ -442,7 +442,7 @@ class Index:
         if not first_load:
             before = self.stored("signatures", near)
             every = every.unionByName(before.select("sig", "no", F.lit(None).cast("bigint").alias("batch"), *NAMES, F.col("first_no").alias("seen")))
-        pairs = self._candidates(load, observed(seen, "buckets", [], mine))
+        pairs = self._candidates(mine, sorted(observed(seen, "buckets", [], mine)), long)
         links = cut(self._links(pairs, new, every).unionByName(self._named(every)), "links")
         self._label(new, links, load)
         if late:
@@ -461,19 +461,30 @@ class Index:
         self.loads.append(load)
         free(both, links)
 
-    def _candidates(self, load: str, buckets: list[int]) -> DataFrame:
+    def _candidates(self, mine: DataFrame, buckets: list[int], long: bool) -> DataFrame:
         """(new, old): signatures of this load with all others that share a token, one
         without a project's name or both long."""
-        mine = self.spark.read.schema(STORED["postings"]).parquet(f"{self.path}/postings/load={load}")
-        probe = mine.select("token", F.col("kind").alias("kind_new"), F.col("named").alias("named_new"), F.col("sig").alias("new"))
-        every = self.stored("postings", sorted(buckets), also=load).select("token", "named", F.col("sig").alias("old"))
+        every, before = mine.withColumn("fresh", F.lit(True)), None
+        if self.loads:
+            before = self.stored("postings", buckets).withColumn("fresh", F.lit(False))
+            every = every.unionByName(before)
         # tokens of many entries are cut by the signatures stored, and those that ask go to every piece;
         # there are no more of them than postings of this load by PIECE
         large = F.broadcast(mine.groupBy("token").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_k")).where("_k > 1"))
-        probe = probe.join(large, "token", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
-        every = every.join(large, "token", "left").withColumn("_p", F.pmod("old", F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
-        found = probe.join(every, ["token", "_p"]).where("new <> old and not (kind_new in ('o', 'u') and named_new and named)")
-        return found.select("new", "old").distinct()
+
+        def met(ask: DataFrame, there: DataFrame) -> DataFrame:
+            ask = ask.select("token", F.col("sig").alias("new")).join(large, "token", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
+            there = there.select("token", F.col("sig").alias("old"), "fresh").join(large, "token", "left").withColumn("_p", F.pmod("old", F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
+            return ask.join(there, ["token", "_p"]).where("new <> old").select("new", "old", "fresh")
+
+        found = met(mine.where("not named"), every.where("kind in ('o', 'u')"))
+        # those of this load ask back
+        found = found.select(F.explode(F.when(F.col("fresh"), F.array(F.struct("new", "old"), F.struct(F.col("old").alias("new"), F.col("new").alias("old")))).otherwise(F.array(F.struct("new", "old")))).alias("_f")).select("_f.*")
+        if before is not None:
+            found = found.unionByName(met(mine.where("named and kind in ('o', 'u')"), before.where("not named")).drop("fresh"))
+        if long:
+            found = found.unionByName(met(mine.where("kind in ('f', 'g')"), every.where("kind in ('f', 'g')")).drop("fresh"))
+        return found.distinct()
 
     def _named(self, every: DataFrame) -> DataFrame:
         """Links between entries with names of their own, found within country and unit;
@@ -508,21 +519,14 @@ class Index:
             seen = Observation()
             return step(step(now).drop("_last")).observe(seen, F.count_if(F.col("first_no") < F.col("_last")).alias("moved")), seen
 
-        after, seen = twice(new.join(before, "sig", "left").select("sig", F.least("no", F.coalesce("seen", "no")).alias("first_no")))
-        whole = lambda df: new.drop("words", "batch", "least").join(df.select("sig", "first_no"), "sig")
-        self._append("signatures", whole(after), load)
-        written = self.spark.read.schema(STORED["signatures"]).parquet(f"{self.path}/signatures/load={load}")
-        if not observed(seen, "moved", 0, written):
-            return
-        labels = cut(written.select("sig", "first_no"), "labels")
-        while True:  # until no number moves
+        after, seen = twice(new.select("sig", "no").join(before, "sig", "left").select("sig", F.least("no", F.coalesce("seen", "no")).alias("first_no")))
+        labels = cut(after, "labels")
+        while observed(seen, "moved", 0, labels):  # until no number moves
             after, seen = twice(labels)
             now = cut(after, "labels")
             free(labels)
             labels = now
-            if not observed(seen, "moved", 0, now):
-                break
-        self._append("signatures", whole(labels), load)
+        self._append("signatures", new.drop("words", "batch", "least").join(labels.select("sig", "first_no"), "sig"), load)
         free(labels)
 
     def first_numbers(self) -> DataFrame:

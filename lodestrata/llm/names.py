@@ -89,6 +89,12 @@ def likeness(a: str, b: str) -> float:
     return 1 - near(a, b, size) / size if size else 1.0
 
 
+def more_alike(a: str, b: str, than: float) -> bool:
+    """Whether the likeness is more than this; words farther apart are not compared to the end."""
+    size = max(len(a), len(b))
+    return not size or 1 - near(a, b, int((1 - than) * size + 1e-9)) / size > than
+
+
 def shortened(word: str, times: int = 1) -> set[str]:
     """The word and all that is left of it without up to ``times`` letters."""
     out, new = {word}, {word}
@@ -236,7 +242,7 @@ _ARCHIVE = re.compile(r"^(?:https?://)?[^/]*archive[^/]*/(?:web/)?\d{6,14}[a-z_]
 def address(url: str | None) -> str:
     """A web address without what doesn't change the page."""
     u = (url or "").strip().lower()
-    while True:
+    while "archive" in u:
         new = _ARCHIVE.sub("", u)
         if new == u:
             break

@@ -10,7 +10,7 @@ from lodestrata.runtime import table
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = F.concat(F.array("source.url"), F.coalesce(F.expr("transform(facts, f -> f.source.url)"), F.array().cast("array<string>")))
+    pages = F.concat(F.array("source.url"), F.coalesce(F.col("facts.source.url"), F.array().cast("array<string>")))
     return incremental.read(table(spark, sf_dir, "watchlist"), "watch_no", "batch_no", "name", "operator", "municipality", "country", "coordinates.lat", "coordinates.lon", pages)
 
 
